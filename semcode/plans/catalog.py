@@ -1,121 +1,4 @@
-"""Registered queries: one DataFrame-returning callable per operator of the
-inventory, each with its DuckDB twin where the result is expressible in SQL.
+"""All registered queries (importing the query modules fills the registry)."""
 
-Every query reads the driver tables in full (or data Spark derives from
-them); numeric outputs are rounded to 6 decimals and counts are BIGINT so the
-two engines hash alike.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from semcode.operators import match as M
-from semcode.plans import inputs as I
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql.strip()
-        return fn
-    return deco
-
-
-def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-T = I.THRESHOLD
-
-
-def best_matches(spark, sf_dir) -> DataFrame:
-    return M.match(I.embedding_corpus(spark, sf_dir), I.embedding_reference(spark, sf_dir))
-
-
-def thresholded(spark, sf_dir, t=T) -> DataFrame:
-    return M.apply_threshold(best_matches(spark, sf_dir), t)
-
-
-# ---------------------------------------------------------------- matching
-@register("match_top1", f"""
-WITH {I.EMB_SQL}
-SELECT doc_id, best_ref_id, best_class, best_node, round(similarity_score, 6) AS similarity_score FROM best""")
-def q_match_top1(spark, sf_dir):
-    return best_matches(spark, sf_dir).select(
-        "doc_id", "best_ref_id", "best_class", "best_node", r6("similarity_score").alias("similarity_score"))
-
-
-PRED_SQL = f"""
-pred AS (SELECT *, CASE WHEN similarity_score >= {T} THEN best_class ELSE 'Other' END AS predicted_class,
-                   CASE WHEN similarity_score >= {T} THEN best_node ELSE '' END AS matched_node FROM best)"""
-
-
-@register("match_threshold", f"""
-WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, predicted_class, matched_node, round(similarity_score, 6) AS similarity_score FROM pred""")
-def q_match_threshold(spark, sf_dir):
-    return thresholded(spark, sf_dir).select(
-        "doc_id", "predicted_class", "matched_node", r6("similarity_score").alias("similarity_score"))
-
-
-@register("class_distribution", f"""
-WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT predicted_class AS class, count(*)::BIGINT AS n FROM pred GROUP BY 1 ORDER BY n DESC, class LIMIT 10""")
-def q_class_distribution(spark, sf_dir):
-    return M.class_distribution(thresholded(spark, sf_dir), top=10)
-
-
-@register("match_rate", f"""
-WITH {I.EMB_SQL}
-SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE similarity_score >= {T})::BIGINT AS n_matched,
-       round(avg(CASE WHEN similarity_score >= {T} THEN 1.0 ELSE 0.0 END), 6) AS match_share FROM best""")
-def q_match_rate(spark, sf_dir):
-    r = M.match_rate(best_matches(spark, sf_dir), T)
-    return r.select("n_rows", "n_matched", r6("match_share").alias("match_share"))
-
-
-@register("match_all_similarities", f"""
-WITH {I.EMB_SQL}
-SELECT doc_id, count(*)::BIGINT AS n_similarities, round(sum(s), 6) AS sum_similarity,
-       round(min(s), 6) AS min_similarity, round(max(s), 6) AS max_similarity
-FROM sim GROUP BY doc_id""")
-def q_match_all_similarities(spark, sf_dir):
-    m = M.match(I.embedding_corpus(spark, sf_dir), I.embedding_reference(spark, sf_dir), keep_all=True)
-    a = F.col("all_similarities")
-    return m.select("doc_id", F.size(a).cast("bigint").alias("n_similarities"),
-                    r6(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)).alias("sum_similarity"),
-                    r6(F.array_min(a)).alias("min_similarity"),
-                    r6(F.array_max(a)).alias("max_similarity"))
-
-
-@register("classify_corpus", f"""
-WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, true_label, predicted_class, matched_node, round(similarity_score, 6) AS similarity_score FROM pred""")
-def q_classify_corpus(spark, sf_dir):
-    return thresholded(spark, sf_dir).select(
-        "doc_id", "true_label", "predicted_class", "matched_node", r6("similarity_score").alias("similarity_score"))
-
-
-@register("out_of_domain", f"""
-WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, true_label, round(similarity_score, 6) AS similarity_score FROM pred WHERE predicted_class = 'Other'""")
-def q_out_of_domain(spark, sf_dir):
-    return (thresholded(spark, sf_dir).where(F.col("predicted_class") == M.OTHER)
-            .select("doc_id", "true_label", r6("similarity_score").alias("similarity_score")))
-
-
-@register("avg_similarity_by_class", f"""
-WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT predicted_class AS class, round(avg(similarity_score), 6) AS avg_similarity, count(*)::BIGINT AS n
-FROM pred GROUP BY 1""")
-def q_avg_similarity_by_class(spark, sf_dir):
-    r = M.avg_similarity_by_class(thresholded(spark, sf_dir))
-    return r.select("class", r6("avg_similarity").alias("avg_similarity"), "n")
+from semcode.plans.registry import QUERIES, ORACLE  # noqa: F401
+from semcode.plans import q_match, q_evaluate  # noqa: F401
