@@ -72,3 +72,29 @@ def doc_class_expr() -> F.Column:
 
 
 DOC_CLASS_SQL = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END"
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    """``labels`` with a class and the reference role (no text needed)."""
+    lab = table(spark, sf_dir, "labels")
+    return lab.select("doc_id", "quality", "toxic", doc_class_expr().alias("class"),
+                      is_reference("doc_id").alias("is_ref"))
+
+
+def doc_reference(spark, sf_dir) -> DataFrame:
+    """Coded examples: ``ref_id, class, node`` (node = the document text)."""
+    ref = labelled(spark, sf_dir).where("is_ref").select("doc_id", "class")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ref.join(docs, "doc_id").select(F.col("doc_id").alias("ref_id"), "class",
+                                           F.col("text").alias("node"))
+
+
+def doc_labelled(spark, sf_dir) -> DataFrame:
+    """Labelled documents kept for evaluation: ``doc_id, label``."""
+    return labelled(spark, sf_dir).where(~F.col("is_ref")).select("doc_id", F.col("class").alias("label"))
+
+
+DOC_SQL = f"""
+lab AS (SELECT doc_id, quality, toxic, {DOC_CLASS_SQL} AS class, {is_reference_sql('doc_id')} AS is_ref FROM labels),
+dref AS (SELECT l.doc_id AS ref_id, l.class, d.text AS node FROM lab l JOIN documents d USING (doc_id) WHERE l.is_ref),
+dlab AS (SELECT doc_id, class AS label FROM lab WHERE NOT is_ref)"""
