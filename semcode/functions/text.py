@@ -62,9 +62,12 @@ def topic_tokens(text, stop_words=ENGLISH_STOP_WORDS) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     cleaned = F.regexp_replace(F.lower(text.cast("string")), topic_strip_pattern(), "")
     toks = F.split(cleaned, topic_split_pattern())
-    stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    return F.filter(toks, lambda t: (F.length(t) >= TOPIC_MIN_LEN) & (F.length(t) <= TOPIC_MAX_LEN)
-                    & ~F.array_contains(stops, t))
+    stops = list(stop_words or ())
+
+    def keep(t):
+        ok = (F.length(t) >= TOPIC_MIN_LEN) & (F.length(t) <= TOPIC_MAX_LEN)
+        return ok & ~t.isin(*stops) if stops else ok  # IN over many literals becomes a hash set
+    return F.filter(toks, keep)
 
 
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
