@@ -55,13 +55,25 @@ def topic_split_pattern(dialect: str = "spark") -> str:
     return f"[{_space_class(dialect)}]+"
 
 
+def _extra_spaces() -> str:
+    """Python white space that Java's ASCII ``\\s`` does not know."""
+    java = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20}
+    return "".join(chr(c) for lo, hi in _PY_SPACE_RANGES for c in range(lo, hi + 1) if c not in java)
+
+
 def topic_tokens(text, stop_words=ENGLISH_STOP_WORDS) -> Column:
     """Lower-case, delete non a-z letters (accented letters vanish, they are
     not folded), split on white space, keep tokens of 3..15 letters that are
-    not stop words.  Duplicates and order are kept."""
+    not stop words.  Duplicates and order are kept.
+
+    The few Unicode spaces Java's ``\\s`` lacks are first mapped to ' ' by
+    ``translate`` (a char map), so the deletion can use the plain ASCII class —
+    an order of magnitude faster in the JVM than spelling the class out."""
     text = F.col(text) if isinstance(text, str) else text
-    cleaned = F.regexp_replace(F.lower(text.cast("string")), topic_strip_pattern(), "")
-    toks = F.split(cleaned, topic_split_pattern())
+    extra = _extra_spaces()
+    spaced = F.translate(F.lower(text.cast("string")), extra, " " * len(extra))
+    cleaned = F.regexp_replace(spaced, r"[^a-z\s]", "")
+    toks = F.split(cleaned, r"\s+")
     stops = list(stop_words or ())
 
     def keep(t):

@@ -15,6 +15,7 @@ from semcode.operators import evaluate as E
 from semcode.operators import match as M
 from semcode.operators import prep as P
 from semcode.operators import threshold as TH
+from semcode.operators.partitioning import spread
 
 
 def prepare_reference(reference: DataFrame, key: str = "ref_id", class_col: str = "class",
@@ -29,9 +30,10 @@ def prepare_reference(reference: DataFrame, key: str = "ref_id", class_col: str
 
 
 def encode_corpus(corpus: DataFrame, text_col: str = "text", dim: int = EN.DEFAULT_DIM,
-                  encoder=None, null_policy: str = "empty") -> DataFrame:
+                  encoder=None, null_policy: str = "empty", key: str | None = "doc_id") -> DataFrame:
     """``null_policy``: ``"empty"`` encodes null text as "" (library rule),
     ``"drop"`` drops those rows (add-on rule)."""
+    corpus = spread(corpus, key if key in corpus.columns else None)
     if null_policy == "drop":
         corpus = P.drop_missing(corpus, [text_col])
     elif null_policy != "empty":
@@ -48,7 +50,7 @@ def classify(corpus: DataFrame, reference: DataFrame, threshold: float, *, key:
     predicted_class, matched_node``."""
     M.check_threshold(threshold)
     ref = prepare_reference(reference, dim=dim, encoder=encoder)
-    enc = encode_corpus(corpus, text_col, dim, encoder, null_policy)
+    enc = encode_corpus(corpus, text_col, dim, encoder, null_policy, key)
     out = M.apply_threshold(M.match(enc, ref, key=key), threshold)
     return out if keep_embedding else out.drop("embedding")
 
