@@ -64,15 +64,21 @@ def draw_rows(df: DataFrame, key: str, cell_cols, n_iterations: int, seed: int)
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def collect_cells(cells: DataFrame, cell_cols, count_col: str = "n") -> pd.DataFrame:
+    """The confusion cells on the driver, after checking they are bounded
+    (at most ``MAX_BROADCAST_CELLS`` rows; one job)."""
+    pdf = (cells.select(*cell_cols, F.col(count_col).cast("long").alias("n"))
+           .limit(MAX_BROADCAST_CELLS + 1).toPandas())
+    if len(pdf) > MAX_BROADCAST_CELLS:
+        raise ValueError(f"more than {MAX_BROADCAST_CELLS} confusion cells; use method='rows'")
+    return pdf.sort_values(list(cell_cols), kind="stable").reset_index(drop=True)
+
+
 def draw_cells(cells: DataFrame, cell_cols, n_iterations: int, seed: int,
-               count_col: str = "n") -> DataFrame:
+               count_col: str = "n", collected: pd.DataFrame | None = None) -> DataFrame:
     """``(iteration, cell cols..., n)`` — one multinomial draw per iteration."""
     spark = cells.sparkSession
-    n_cells = cells.count()
-    if n_cells > MAX_BROADCAST_CELLS:
-        raise ValueError(f"{n_cells} confusion cells exceed the broadcast bound; use method='rows'")
-    pdf = cells.select(*cell_cols, F.col(count_col).cast("long").alias("n")).toPandas()
-    pdf = pdf.sort_values(list(cell_cols), kind="stable").reset_index(drop=True)
+    pdf = collected if collected is not None else collect_cells(cells, cell_cols, count_col)
     total = int(pdf["n"].sum())
     shares = (pdf["n"] / total).to_numpy() if total else np.zeros(len(pdf))
     bc = spark.sparkContext.broadcast((pdf[list(cell_cols)], shares, total))
@@ -81,6 +87,7 @@ def draw_cells(cells: DataFrame, cell_cols, n_iterations: int, seed: int,
     def draw(batches):
         cols, p, n = bc.value
         for b in batches:
+            parts = []
             for it in b["id"].tolist():
                 rng = np.random.default_rng([seed, int(it)])
                 k = rng.multinomial(n, p) if n else np.zeros(len(p), dtype=np.int64)
@@ -88,13 +95,34 @@ def draw_cells(cells: DataFrame, cell_cols, n_iterations: int, seed: int,
                 out = cols[keep].copy()
                 out["iteration"] = int(it)
                 out["n"] = k[keep].astype(np.int64)
-                yield out
+                parts.append(out)
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     parts = max(1, min(n_iterations, spark.sparkContext.defaultParallelism))
     return (spark.range(0, n_iterations, numPartitions=parts).mapInPandas(draw, schema)
             .select("iteration", *cell_cols, "n"))
 
 
+def bootstrap(df: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_class",
+              n_iterations: int = 1000, levels=(0.9, 0.95, 0.99), seed: int = 0,
+              method: str = "cells", key: str = "doc_id"):
+    """(replicates, intervals with point estimates).  With ``cells`` the
+    bounded confusion table is computed once and feeds both the draws and the
+    point estimate."""
+    if method != "cells":
+        reps = replicates(df, true_col, pred_col, n_iterations, seed, method, key)
+        return reps, intervals(reps, levels, point=E.summary(E.confusion(df, true_col, pred_col)))
+    spark = df.sparkSession
+    cells = E.confusion(df, true_col, pred_col)
+    cols = ["true_class", "predicted_class"]
+    pdf = collect_cells(cells, cols)
+    fixed = spark.createDataFrame(pdf, "true_class string, predicted_class string, n long")
+    drawn = draw_cells(fixed, cols, n_iterations, seed, collected=pdf)
+    reps = long_metrics(E.summary(drawn, ["iteration"]), ["iteration"])
+    return reps, intervals(reps, levels, point=E.summary(fixed))
+
+
 def replicates(df: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_class",
                n_iterations: int = 1000, seed: int = 0, method: str = "cells",
                key: str = "doc_id") -> DataFrame:

@@ -34,16 +34,16 @@ def confusion(df: DataFrame, true_col: str = "true_label", pred_col: str = "pred
 
 def class_counts(cells: DataFrame, group_cols=()) -> DataFrame:
     """``(group..., class, support, predicted, tp)`` for every class seen on
-    either side — one small aggregate over the two margins of ``cells``."""
-    g = [F.col(c) for c in group_cols]
-    t_side = cells.select(*g, F.col("true_class").alias("class"), F.col("n").alias("support"),
-                          F.lit(0).cast("bigint").alias("predicted"),
-                          F.when(F.col("true_class") == F.col("predicted_class"), F.col("n"))
-                          .otherwise(F.lit(0)).cast("bigint").alias("tp"))
-    p_side = cells.select(*g, F.col("predicted_class").alias("class"),
-                          F.lit(0).cast("bigint").alias("support"),
-                          F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("tp"))
-    return (t_side.unionByName(p_side).groupBy(*group_cols, "class")
+    either side.  Each cell contributes to its true and its predicted class
+    through one ``explode`` (a single pass, no self-union)."""
+    t, p, n = F.col("true_class"), F.col("predicted_class"), F.col("n").cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(t.alias("class"), n.alias("support"), zero.alias("predicted"),
+                 F.when(t == p, n).otherwise(zero).alias("tp")),
+        F.struct(p.alias("class"), zero.alias("support"), n.alias("predicted"), zero.alias("tp")))
+    ex = cells.select(*group_cols, F.explode(sides).alias("_s")).select(*group_cols, "_s.*")
+    return (ex.groupBy(*group_cols, "class")
             .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
                  F.sum("tp").alias("tp")))
 
@@ -76,21 +76,16 @@ def per_class(cells: DataFrame, group_cols=(), classes=None) -> DataFrame:
 
 
 def summary(cells: DataFrame, group_cols=()) -> DataFrame:
-    """``(group..., accuracy, precision_macro, recall_macro, f1_macro, n_samples)``."""
-    acc = cells.groupBy(*group_cols).agg(
-        F.sum("n").cast("bigint").alias("n_samples"),
-        F.sum(F.when(F.col("true_class") == F.col("predicted_class"), F.col("n"))
-              .otherwise(F.lit(0))).alias("_hits"))
-    macro = _ratios(class_counts(cells, group_cols)).groupBy(*group_cols).agg(
+    """``(group..., accuracy, precision_macro, recall_macro, f1_macro, n_samples)``
+    from one aggregation over the per-class table (hits = sum of tp, n = sum
+    of support)."""
+    per = _ratios(class_counts(cells, group_cols))
+    agg = per.groupBy(*group_cols).agg(
+        F.sum("support").cast("bigint").alias("n_samples"), F.sum("tp").alias("_hits"),
         F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"),
         F.avg("f1").alias("f1_macro"))
-    keys = list(group_cols)
-    if not keys:  # one-row tables: join on a constant key
-        acc, macro, keys = acc.withColumn("_g", F.lit(0)), macro.withColumn("_g", F.lit(0)), ["_g"]
-    joined = acc.join(macro, keys, "inner")
-    return joined.select(*group_cols,
-                         (F.col("_hits").cast("double") / F.col("n_samples")).alias("accuracy"),
-                         "precision_macro", "recall_macro", "f1_macro", "n_samples")
+    return agg.select(*group_cols, (F.col("_hits").cast("double") / F.col("n_samples")).alias("accuracy"),
+                      "precision_macro", "recall_macro", "f1_macro", "n_samples")
 
 
 def evaluate(df: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_class",

@@ -141,7 +141,10 @@ def _broadcast_udf(bc, keep_all: bool, block_bytes: int):
         out["similarity_score"] = out["similarity_score"].astype("float64")
         return out
 
-    return best_reference
+    # Marked non-deterministic only so the optimizer never copies the GEMM
+    # into a pushed-down filter or a collapsed projection (it would then run
+    # once per reference to a result field).  The function itself is pure.
+    return best_reference.asNondeterministic()
 
 
 def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",

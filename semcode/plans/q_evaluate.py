@@ -156,9 +156,8 @@ def q_boot_hist(spark, sf_dir):
 @register("bootstrap_cells_intervals")
 def q_boot_cells(spark, sf_dir):
     """Scale-free bootstrap (multinomial over confusion cells), 1,000 replicates."""
-    point = E.summary(cells(spark, sf_dir))
-    reps = B.replicates(thresholded(spark, sf_dir), n_iterations=1000, seed=42, method="cells")
-    return _r6_all(B.intervals(reps, LEVELS, point=point), skip=("level",))
+    _, iv = B.bootstrap(thresholded(spark, sf_dir), n_iterations=1000, levels=LEVELS, seed=42, method="cells")
+    return _r6_all(iv, skip=("level",))
 
 
 # ------------------------------------------------------------------ sweep
