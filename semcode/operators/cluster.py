@@ -201,7 +201,7 @@ def silhouette_samples(df: DataFrame, key: str, vec: str = "embedding",
     per = sums.join(sizes, "_oc")  # one row per cluster; AQE broadcasts it when small
     own = F.col("_oc") == F.col("_c")
     agg = per.groupBy("_k", "_c").agg(
-        F.max(F.when(own, F.col("_s") / (F.col("_n") - 1))).alias("_a_in"),
+        F.max(F.when(own, F.try_divide(F.col("_s"), F.col("_n") - 1))).alias("_a_in"),
         F.max(F.when(own, F.col("_n"))).alias("_own_n"),
         F.min(F.when(~own, F.col("_s") / F.col("_n"))).alias("_b_out"))
     s = (F.when((F.col("_own_n") <= 1) | F.col("_b_out").isNull(), F.lit(0.0))

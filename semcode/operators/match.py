@@ -201,8 +201,11 @@ def _match_blocked(corpus, reference, key, vec, ref_key, class_col, node_col,
 
     def block(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
-            return pd.DataFrame({"_key": [], "best_ref_id": [], "best_class": [],
-                                 "best_node": [], "similarity_score": []})
+            return pd.DataFrame({"_key": pd.Series([], dtype=q["_key"].dtype if "_key" in q else "int64"),
+                                 "best_ref_id": pd.Series([], dtype="int64"),
+                                 "best_class": pd.Series([], dtype=object),
+                                 "best_node": pd.Series([], dtype=object),
+                                 "similarity_score": pd.Series([], dtype="float64")})
         r = r.sort_values("_rid")
         mat = _stack(r["_v"].tolist(), dim)
         p = {"mat": mat, "norm": np.sqrt(np.einsum("ij,ij->i", mat, mat))}
