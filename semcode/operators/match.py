@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,12 +159,19 @@ def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",
     The best match does not depend on the threshold, so this table is computed
     once and every threshold (``apply_threshold``, the sweep) reads it.
     """
-    n_ref, dim = reference_stats(reference, vec)
-    if n_ref == 0:
-        raise ValueError("The reference set is empty.")
+    # the size check and the collection read one materialised copy of the
+    # reference (it is usually itself a job: a join + an encoder)
+    ref = reference.select(ref_key, class_col, node_col, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_ref, dim = reference_stats(ref, vec)
+        if n_ref == 0:
+            raise ValueError("The reference set is empty.")
+        fits = n_ref * dim * 8 <= max_broadcast_bytes
+        payload = _load_reference(ref, ref_key, vec, class_col, node_col) if fits else None
+    finally:
+        ref.unpersist()
     spark = corpus.sparkSession
-    if n_ref * dim * 8 <= max_broadcast_bytes:
-        payload = _load_reference(reference, ref_key, vec, class_col, node_col)
+    if fits:
         bc = spark.sparkContext.broadcast(payload)
         udf = _broadcast_udf(bc, keep_all, block_bytes)
         tmp = "__match"
