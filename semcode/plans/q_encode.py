@@ -180,7 +180,7 @@ def q_evaluate_per_class_documents(spark, sf_dir):
 
 
 _DG = TH.threshold_grid(*DOC_GRID)
-_DG_SQL = " UNION ALL ".join(f"SELECT {i} AS threshold_idx, {t} AS threshold" for i, t in enumerate(_DG))
+_DG_SQL = " UNION ALL ".join(f"SELECT {i} AS threshold_idx, CAST({t!r} AS DOUBLE) AS threshold" for i, t in enumerate(_DG))
 _DPTS = "[" + ", ".join(repr(float(t)) for t in _DG) + "]"
 
 

@@ -129,7 +129,7 @@ def q_boot_reps(spark, sf_dir):
 
 
 _IV_SQL = " UNION ALL ".join(
-    f"SELECT metric, {lv} AS level, quantile_cont(value, {(1 - lv) / 2!r}) AS lower, "
+    f"SELECT metric, CAST({lv!r} AS DOUBLE) AS level, quantile_cont(value, {(1 - lv) / 2!r}) AS lower, "
     f"quantile_cont(value, {1 - (1 - lv) / 2!r}) AS upper FROM reps GROUP BY metric" for lv in LEVELS)
 
 
@@ -161,7 +161,7 @@ def q_boot_cells(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ sweep
-_GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS threshold_idx, {t} AS threshold" for i, t in enumerate(GRID))
+_GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS threshold_idx, CAST({t!r} AS DOUBLE) AS threshold" for i, t in enumerate(GRID))
 _PTS = "[" + ", ".join(repr(float(t)) for t in GRID) + "]"
 SWEEP_SQL = f"""{I.EMB_SQL},
 grid AS ({_GRID_SQL}),
@@ -240,7 +240,7 @@ btc AS (SELECT b.iteration, g.threshold_idx, b.true_class,
                CAST(sum(b.n) AS BIGINT) AS n FROM bc b JOIN grid g ON true GROUP BY ALL),
 {S.metric_ctes('btc', ['iteration', 'threshold_idx'], 'w')},
 wr AS ({S.long_metrics('w_sum', ['iteration', 'threshold_idx'])})
-SELECT threshold_idx, metric, 0.95 AS level, round(quantile_cont(value, 0.025), 6) AS lower,
+SELECT threshold_idx, metric, CAST(0.95 AS DOUBLE) AS level, round(quantile_cont(value, 0.025), 6) AS lower,
        round(quantile_cont(value, 0.975), 6) AS upper FROM wr GROUP BY threshold_idx, metric""")
 def q_sweep_intervals(spark, sf_dir):
     out = TH.sweep_intervals(best_matches(spark, sf_dir), START, END, STEP, n_iterations=N_BOOT,
