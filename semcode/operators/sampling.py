@@ -43,15 +43,22 @@ def _ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - BUCKET_BITS))
 
 
+def bucket_counts(df: DataFrame, key: str, strata, seed: int) -> DataFrame:
+    """``(strata..., _b, _c)``: rows per stratum and rank bucket — a partial +
+    final aggregate whose size is bounded by strata x 65,536, whatever the
+    data size.  It also yields N and every stratum size."""
+    return _ranked(df, key, seed).groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
+
+
 def take_lowest(df: DataFrame, key: str, quotas: DataFrame, strata, seed: int,
-                n_strata: int | None = None) -> DataFrame:
+                n_strata: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose rank is among the ``quota`` lowest of their stratum;
     ``quotas`` has the stratum columns and ``quota``."""
     strata = list(strata)
     r = _ranked(df, key, seed)
-    cum = (r.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
-           .withColumn("_cum", F.sum("_c").over(Window.partitionBy(*strata).orderBy("_b")
-                                                .rowsBetween(Window.unboundedPreceding, 0)))
+    counts = counts if counts is not None else bucket_counts(df, key, strata, seed)
+    cum = (counts.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*strata).orderBy("_b")
+                                                      .rowsBetween(Window.unboundedPreceding, 0)))
            .join(_bcast(quotas, n_strata), strata))
     # first bucket where the running count reaches the quota, and rows needed from it
     need = F.col("quota") - F.col("_cum") + F.col("_c")
@@ -81,29 +88,35 @@ def sample(df: DataFrame, sampling_type: str = "random", sample_size_=0.1,
 
     Stratified quotas follow the reference: ``max(1, int(n * share))`` capped
     at the stratum size, so the total can differ from n.
+
+    The data is read twice: once for the bounded (stratum, rank-bucket) count
+    table — it gives N, the stratum sizes and the cut buckets — and once to
+    select the rows.
     """
     if sampling_type not in ("random", "stratified"):
         raise ValueError(f"Unknown sampling type: {sampling_type}")
-    spark = df.sparkSession
-    if sampling_type == "random":
-        n_rows = df.count()
-        n = sample_size(n_rows, sample_size_)
-        quotas = spark.createDataFrame([(0, n)], "_s int, quota long")
-        out = take_lowest(df.withColumn("_s", F.lit(0)), key, quotas, ["_s"], seed, 1).drop("_s")
-    else:
+    if sampling_type == "stratified":
         if stratify_column is None:
             raise ValueError("stratify_column must be provided for stratified sampling.")
         if stratify_column not in df.columns:
             raise ValueError(f"Stratification column '{stratify_column}' not found in DataFrame.")
-        counts = df.groupBy(stratify_column).agg(F.count(F.lit(1)).alias("_cnt"))
-        stats = counts.agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("k"),
-                           F.sum(F.when(F.col(stratify_column).isNull(), F.col("_cnt"))).alias("nulls")).first()
-        if stats["nulls"]:
-            raise ValueError(f"NaN values found in stratification column '{stratify_column}'.")
-        n_rows = int(stats["n"] or 0)
-        n = sample_size(n_rows, sample_size_)
-        quotas = stratum_quotas(counts, stratify_column, n, n_rows)
-        out = take_lowest(df, key, quotas, [stratify_column], seed, int(stats["k"]))
+        src, strata = df, [stratify_column]
+    else:
+        src, strata = df.withColumn("_s", F.lit(0)), ["_s"]
+    # one pass over the data; the small count table is checkpointed to the
+    # shared folder and every later step (N, stratum sizes, quotas, cut
+    # buckets) reads it instead of the data
+    counts = bucket_counts(src, key, strata, seed).checkpoint(eager=True)
+    sizes = counts.groupBy(*strata).agg(F.sum("_c").alias("_cnt"))
+    stats = sizes.agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("k"),
+                      F.sum(F.when(F.col(strata[0]).isNull(), F.col("_cnt"))).alias("nulls")).first()
+    if stats["nulls"]:
+        raise ValueError(f"NaN values found in stratification column '{stratify_column}'.")
+    n_rows = int(stats["n"] or 0)
+    n = sample_size(n_rows, sample_size_)
+    quotas = stratum_quotas(sizes, strata[0], n, n_rows)
+    quotas_cut = take_lowest(src, key, quotas, strata, seed, int(stats["k"]), counts=counts)
+    out = quotas_cut.drop("_s") if sampling_type == "random" else quotas_cut
     if label_column and label_column not in out.columns:
         out = out.withColumn(label_column, F.lit(None).cast("string"))
     return out
