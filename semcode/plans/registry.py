@@ -23,10 +23,38 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = positive_zero_rounding(sql.strip())
         return fn
     return deco
 
 
+def positive_zero_rounding(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` of the DuckDB text as ``(round(x, d) +
+    0.0)``: DuckDB keeps the sign of a rounded tiny negative (-0.0) where
+    Spark returns 0.0, and the two would hash differently."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero_rounding(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
