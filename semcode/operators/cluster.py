@@ -26,25 +26,44 @@ from pyspark.sql import functions as F
 
 TILE_BYTES = 64 << 20
 KNEE_SENSITIVITY = 1.0
+# Fixed values of the reference's KMeans: relative tolerance 1e-4 (scaled by
+# the mean per-dimension variance), at most 300 iterations.
+REL_TOL = 1e-4
+MAX_ITER = 300
+
+
+def kmeans_tolerance(data: DataFrame, vec: str) -> float:
+    """Absolute centre-shift tolerance for MLlib from the relative one: the
+    reference stops when the summed squared shift <= 1e-4 x mean variance;
+    MLlib compares each centre's shift with ``tol`` — one aggregate."""
+    ex = data.select(F.posexplode(vec).alias("_d", "_x"))
+    var = ex.groupBy("_d").agg(F.var_pop("_x").alias("_v")).agg(F.avg("_v")).first()[0] or 0.0
+    return max(math.sqrt(REL_TOL * var), 1e-12)
 
 
 def features(df: DataFrame, vec: str = "embedding", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(vec)))
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 100,
-               tol: float = 1e-4, features_col: str = "features"):
-    """Best of ``n_init`` k-means|| fits (seeds seed, seed+1, …) by inertia.
-    Returns (model, inertia)."""
-    best = None
-    for i in range(n_init):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features_col,
-                    predictionCol="cluster")
-        model = km.fit(df)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+def _fit_one(df, k, seed, max_iter, tol, features_col):
+    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol=features_col, predictionCol="cluster")
+    model = km.fit(df)
+    return model, model.summary.trainingCost
+
+
+def _pool_size(spark, parallelism):
+    return max(1, parallelism or spark.sparkContext.defaultParallelism)
+
+
+def fit_kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = MAX_ITER,
+               tol: float = 1e-4, features_col: str = "features", parallelism: int | None = None):
+    """Best of ``n_init`` k-means|| fits (seeds seed, seed+1, …) by inertia,
+    first seed on ties; the restarts run concurrently (each is a distributed
+    job).  Returns (model, inertia)."""
+    with ThreadPoolExecutor(max_workers=_pool_size(df.sparkSession, parallelism)) as pool:
+        fits = list(pool.map(lambda i: _fit_one(df, k, seed + i, max_iter, tol, features_col), range(n_init)))
+    best = min(range(n_init), key=lambda i: (fits[i][1], i))
+    return fits[best]
 
 
 def k_range(n_rows: int, max_k: int = 20) -> list[int]:
@@ -53,28 +72,34 @@ def k_range(n_rows: int, max_k: int = 20) -> list[int]:
 
 
 def k_search(df: DataFrame, key: str, vec: str = "embedding", max_k: int = 20, n_init: int = 10,
-             seed: int = 42, silhouette: str = "exact", parallelism: int = 4) -> DataFrame:
+             seed: int = 42, silhouette: str = "exact", parallelism: int | None = None) -> DataFrame:
     """``(k, inertia, silhouette)`` for every k of the range.
 
-    Fits run from a small driver thread pool (each fit is a distributed job);
-    the input is persisted once for all of them.
+    All (k, restart) fits are independent distributed jobs submitted from one
+    driver thread pool; the input is persisted once for all of them.
     """
     data = features(df.select(key, vec), vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = data.count()
         ks = k_range(n, max_k)
-
-        def one(k):
-            model, cost = fit_kmeans(data, k, seed, n_init)
-            labelled = model.transform(data).select(key, vec, "features", "cluster")
-            if silhouette == "exact":
-                sil = silhouette_exact(labelled, key, vec, "cluster").first()["silhouette"]
-            else:
-                sil = silhouette_fast(labelled, "cluster")
-            return k, float(cost), float(sil)
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = list(pool.map(one, ks))
+        tol = kmeans_tolerance(data, vec)
+        jobs = [(k, i) for k in ks for i in range(n_init)]
+        with ThreadPoolExecutor(max_workers=_pool_size(df.sparkSession, parallelism)) as pool:
+            fits = dict(zip(jobs, pool.map(lambda j: _fit_one(data, j[0], seed + j[1], MAX_ITER, tol, "features"),
+                                           jobs)))
+            best = {k: min(((fits[(k, i)], i) for i in range(n_init)), key=lambda t: (t[0][1], t[1]))[0]
+                    for k in ks}
+
+            def score(k):
+                model, cost = best[k]
+                labelled = model.transform(data).select(key, vec, "features", "cluster")
+                if silhouette == "exact":
+                    sil = silhouette_exact(labelled, key, vec, "cluster").first()["silhouette"]
+                else:
+                    sil = silhouette_fast(labelled, "cluster")
+                return k, float(cost), float(sil)
+
+            rows = list(pool.map(score, ks))
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
@@ -124,9 +149,12 @@ def choose_k(metrics: DataFrame) -> tuple[int, str]:
 
 
 def kmeans_assign(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10) -> DataFrame:
-    data = features(df, vec)
-    model, _ = fit_kmeans(data, k, seed, n_init)
-    return model.transform(data).drop("features")
+    data = features(df, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, _ = fit_kmeans(data, k, seed, n_init, tol=kmeans_tolerance(data, vec))
+        return model.transform(data).drop("features").checkpoint(eager=True)
+    finally:
+        data.unpersist()
 
 
 def cluster_sizes(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
