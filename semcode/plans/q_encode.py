@@ -12,7 +12,7 @@ from semcode.operators import threshold as TH
 from semcode.plans import classify as C
 from semcode.plans import inputs as I
 from semcode.plans import sqlgen as S
-from semcode.plans.registry import register, r6
+from semcode.plans.registry import register, r6, r9
 
 DIM = EN.DEFAULT_DIM
 DOC_T = 0.90
@@ -123,10 +123,10 @@ def doc_predictions(spark, sf_dir, t=DOC_T):
 
 
 @register("classify_documents", f"""WITH {DOC_MATCH_SQL}
-SELECT doc_id, best_ref_id, predicted_class, round(similarity_score, 6) AS similarity_score FROM dpred""")
+SELECT doc_id, best_ref_id, predicted_class, round(similarity_score, 9) AS similarity_score FROM dpred""")
 def q_classify_documents(spark, sf_dir):
     return doc_predictions(spark, sf_dir).select("doc_id", "best_ref_id", "predicted_class",
-                                                 r6("similarity_score").alias("similarity_score"))
+                                                 r9("similarity_score").alias("similarity_score"))
 
 
 @register("classify_rounded", f"""WITH {DOC_MATCH_SQL}

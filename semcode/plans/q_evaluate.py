@@ -11,7 +11,7 @@ from semcode.operators import threshold as TH
 from semcode.plans import inputs as I
 from semcode.plans import sqlgen as S
 from semcode.plans.q_match import PRED_SQL, best_matches, thresholded
-from semcode.plans.registry import register, r6
+from semcode.plans.registry import register, r6, r9
 
 N_BOOT = 100
 LEVELS = (0.9, 0.95, 0.99)
@@ -97,7 +97,7 @@ _H20 = S.md5_u32("'42:' || CAST(doc_id AS VARCHAR)")
 
 
 @register("sample_predictions", f"""WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, true_label, predicted_class, round(similarity_score, 6) AS similarity_score,
+SELECT doc_id, true_label, predicted_class, round(similarity_score, 9) AS similarity_score,
        predicted_class IS NOT DISTINCT FROM true_label AS correct
 FROM pred ORDER BY {_H20}, doc_id LIMIT 20""")
 def q_sample_predictions(spark, sf_dir):
@@ -105,7 +105,7 @@ def q_sample_predictions(spark, sf_dir):
     df = E.mark_correct(thresholded(spark, sf_dir))
     h = md5_u32(seeded_key(42, "doc_id"))
     return (df.orderBy(h, "doc_id").limit(20)
-            .select("doc_id", "true_label", "predicted_class", r6("similarity_score").alias("similarity_score"),
+            .select("doc_id", "true_label", "predicted_class", r9("similarity_score").alias("similarity_score"),
                     "correct"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from semcode.operators import match as M
 from semcode.plans import inputs as I
-from semcode.plans.registry import register, r6
+from semcode.plans.registry import register, r6, r9
 
 T = I.THRESHOLD
 
@@ -23,10 +23,10 @@ def thresholded(spark, sf_dir, t=T) -> DataFrame:
 # ---------------------------------------------------------------- matching
 @register("match_top1", f"""
 WITH {I.EMB_SQL}
-SELECT doc_id, best_ref_id, best_class, best_node, round(similarity_score, 6) AS similarity_score FROM best""")
+SELECT doc_id, best_ref_id, best_class, best_node, round(similarity_score, 9) AS similarity_score FROM best""")
 def q_match_top1(spark, sf_dir):
     return best_matches(spark, sf_dir).select(
-        "doc_id", "best_ref_id", "best_class", "best_node", r6("similarity_score").alias("similarity_score"))
+        "doc_id", "best_ref_id", "best_class", "best_node", r9("similarity_score").alias("similarity_score"))
 
 
 PRED_SQL = f"""
@@ -36,10 +36,10 @@ pred AS (SELECT *, CASE WHEN similarity_score >= {T} THEN best_class ELSE 'Other
 
 @register("match_threshold", f"""
 WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, predicted_class, matched_node, round(similarity_score, 6) AS similarity_score FROM pred""")
+SELECT doc_id, predicted_class, matched_node, round(similarity_score, 9) AS similarity_score FROM pred""")
 def q_match_threshold(spark, sf_dir):
     return thresholded(spark, sf_dir).select(
-        "doc_id", "predicted_class", "matched_node", r6("similarity_score").alias("similarity_score"))
+        "doc_id", "predicted_class", "matched_node", r9("similarity_score").alias("similarity_score"))
 
 
 @register("class_distribution", f"""
@@ -60,32 +60,32 @@ def q_match_rate(spark, sf_dir):
 
 @register("match_all_similarities", f"""
 WITH {I.EMB_SQL}
-SELECT doc_id, count(*)::BIGINT AS n_similarities, round(sum(s), 6) AS sum_similarity,
-       round(min(s), 6) AS min_similarity, round(max(s), 6) AS max_similarity
+SELECT doc_id, count(*)::BIGINT AS n_similarities, round(sum(s), 9) AS sum_similarity,
+       round(min(s), 9) AS min_similarity, round(max(s), 9) AS max_similarity
 FROM sim GROUP BY doc_id""")
 def q_match_all_similarities(spark, sf_dir):
     m = M.match(I.embedding_corpus(spark, sf_dir), I.embedding_reference(spark, sf_dir), keep_all=True)
     a = F.col("all_similarities")
     return m.select("doc_id", F.size(a).cast("bigint").alias("n_similarities"),
-                    r6(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)).alias("sum_similarity"),
-                    r6(F.array_min(a)).alias("min_similarity"),
-                    r6(F.array_max(a)).alias("max_similarity"))
+                    r9(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)).alias("sum_similarity"),
+                    r9(F.array_min(a)).alias("min_similarity"),
+                    r9(F.array_max(a)).alias("max_similarity"))
 
 
 @register("classify_corpus", f"""
 WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, true_label, predicted_class, matched_node, round(similarity_score, 6) AS similarity_score FROM pred""")
+SELECT doc_id, true_label, predicted_class, matched_node, round(similarity_score, 9) AS similarity_score FROM pred""")
 def q_classify_corpus(spark, sf_dir):
     return thresholded(spark, sf_dir).select(
-        "doc_id", "true_label", "predicted_class", "matched_node", r6("similarity_score").alias("similarity_score"))
+        "doc_id", "true_label", "predicted_class", "matched_node", r9("similarity_score").alias("similarity_score"))
 
 
 @register("out_of_domain", f"""
 WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, true_label, round(similarity_score, 6) AS similarity_score FROM pred WHERE predicted_class = 'Other'""")
+SELECT doc_id, true_label, round(similarity_score, 9) AS similarity_score FROM pred WHERE predicted_class = 'Other'""")
 def q_out_of_domain(spark, sf_dir):
     return (thresholded(spark, sf_dir).where(F.col("predicted_class") == M.OTHER)
-            .select("doc_id", "true_label", r6("similarity_score").alias("similarity_score")))
+            .select("doc_id", "true_label", r9("similarity_score").alias("similarity_score")))
 
 
 @register("avg_similarity_by_class", f"""

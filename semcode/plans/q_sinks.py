@@ -15,7 +15,7 @@ from semcode.plans import q_encode as QE
 from semcode.plans import q_topics as QT
 from semcode.plans.q_evaluate import CELLS_SQL
 from semcode.plans.q_match import PRED_SQL, best_matches, thresholded
-from semcode.plans.registry import register, r6
+from semcode.plans.registry import register, r6, r9
 from semcode.session import checkpoint_dir
 from semcode.sources import sinks as SK
 
@@ -30,7 +30,7 @@ def _csv_back(spark, path, schema):
 
 
 @register("save_results", f"""WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, true_label, predicted_class, matched_node, round(similarity_score, 6) AS similarity_score FROM pred""")
+SELECT doc_id, true_label, predicted_class, matched_node, round(similarity_score, 9) AS similarity_score FROM pred""")
 def q_save_results(spark, sf_dir):
     df = thresholded(spark, sf_dir).select("doc_id", "true_label", "predicted_class", "matched_node",
                                            "similarity_score")
@@ -41,7 +41,7 @@ def q_save_results(spark, sf_dir):
     # CSV writes "" and null alike as empty: the empty node of "Other" rows comes back null
     return back.select("doc_id", "true_label", "predicted_class",
                        F.coalesce("matched_node", F.lit("")).alias("matched_node"),
-                       r6("similarity_score").alias("similarity_score"))
+                       r9("similarity_score").alias("similarity_score"))
 
 
 @register("save_reference_set", f"""WITH {I.EMB_SQL}
@@ -65,13 +65,13 @@ def q_export_class_metrics(spark, sf_dir):
 
 
 @register("export_predictions", f"""WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, predicted_class, round(similarity_score, 6) AS similarity_score FROM pred""")
+SELECT doc_id, predicted_class, round(similarity_score, 9) AS similarity_score FROM pred""")
 def q_export_predictions(spark, sf_dir):
     df = thresholded(spark, sf_dir).select("doc_id", "predicted_class", "similarity_score")
     path = _out(spark, "predictions")
     SK.save_results(df, path, fmt="csv")
     back = _csv_back(spark, path, "doc_id long, predicted_class string, similarity_score double")
-    return back.select("doc_id", "predicted_class", r6("similarity_score").alias("similarity_score"))
+    return back.select("doc_id", "predicted_class", r9("similarity_score").alias("similarity_score"))
 
 
 @register("export_classified", f"""WITH {QE.DOC_MATCH_SQL}
@@ -99,8 +99,8 @@ def q_export_topic_table(spark, sf_dir):
 
 
 @register("cosine_pairs", f"""WITH {I.EMB_SQL}
-SELECT doc_id, list(round(s, 6) ORDER BY ref_id) AS similarities FROM sim GROUP BY doc_id""")
+SELECT doc_id, list(round(s, 9) ORDER BY ref_id) AS similarities FROM sim GROUP BY doc_id""")
 def q_cosine_pairs(spark, sf_dir):
     """The full similarity matrix, one row per text (array in ref_id order)."""
     m = M.match(I.embedding_corpus(spark, sf_dir), I.embedding_reference(spark, sf_dir), keep_all=True)
-    return m.select("doc_id", F.transform("all_similarities", lambda x: F.round(x, 6)).alias("similarities"))
+    return m.select("doc_id", F.transform("all_similarities", lambda x: F.round(x, 9)).alias("similarities"))

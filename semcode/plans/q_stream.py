@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from semcode.plans import inputs as I
 from semcode.plans.q_match import PRED_SQL
-from semcode.plans.registry import register, r6
+from semcode.plans.registry import register, r6, r9
 from semcode.session import checkpoint_dir
 from semcode.streaming import classify_stream as CS
 
 
 @register("stream_classify", f"""WITH {I.EMB_SQL}, {PRED_SQL}
-SELECT doc_id, true_label, predicted_class, round(similarity_score, 6) AS similarity_score FROM pred""")
+SELECT doc_id, true_label, predicted_class, round(similarity_score, 9) AS similarity_score FROM pred""")
 def q_stream_classify(spark, sf_dir):
     """Files of ``embeddings`` read as a stream (availableNow), classified
     against the broadcast reference, appended to Parquet in the shared
@@ -30,4 +30,4 @@ def q_stream_classify(spark, sf_dir):
     CS.run_available(out.select("doc_id", "true_label", "predicted_class", "similarity_score"),
                      base + "/out", base + "/state")
     res = spark.read.parquet(base + "/out")
-    return res.select("doc_id", "true_label", "predicted_class", r6("similarity_score").alias("similarity_score"))
+    return res.select("doc_id", "true_label", "predicted_class", r9("similarity_score").alias("similarity_score"))

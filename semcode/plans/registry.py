@@ -58,3 +58,10 @@ def positive_zero_rounding(sql: str) -> str:
 
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def r9(c):
+    """Scores are decided on 9 decimals; they are reported on the same 9 so a
+    second rounding cannot meet a half-way tie (which the two engines break
+    differently)."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 9)
