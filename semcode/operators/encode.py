@@ -140,7 +140,7 @@ def encode_remote(df: DataFrame, key: str, text_col: str, client_factory: Callab
     leaves its rows null with status ``"missing"``.
     """
     key_type = df.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, embedding array<float>, status string"
+    schema = f"{key} {key_type}, embedding array<double>, status string"
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
@@ -155,7 +155,7 @@ def encode_remote(df: DataFrame, key: str, text_col: str, client_factory: Callab
                 vecs = _with_retry(lambda: client.embed(texts), attempts, backoff_s, sleep)
                 out = pd.DataFrame({key: part[key].to_numpy()})
                 if vecs is not None and len(vecs) == len(texts):
-                    out["embedding"] = [np.asarray(v, dtype=np.float32) for v in vecs]
+                    out["embedding"] = [np.asarray(v, dtype=np.float64) for v in vecs]
                     out["status"] = "ok"
                 else:
                     out["embedding"] = None
@@ -168,6 +168,31 @@ def encode_remote(df: DataFrame, key: str, text_col: str, client_factory: Callab
     return src.mapInPandas(call, schema)
 
 
+class HashingService:
+    """In-process stand-in for a remote embedding endpoint (no network): the
+    built-in hashing encoder computed in Python per request — used to drive
+    ``encode_remote`` over real tables and check it against SQL."""
+
+    _split = None
+
+    def __init__(self, dim: int = DEFAULT_DIM):
+        import regex
+        self.dim = dim
+        self._split = regex.compile(r"[^\p{L}\p{N}]+")
+
+    def embed(self, texts):
+        import hashlib
+        out = []
+        for t in texts:
+            c = np.zeros(self.dim)
+            for w in self._split.split((t or "").lower()):
+                if w:
+                    c[int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % self.dim] += 1
+            n = np.sqrt(c @ c)
+            out.append((c / n if n > 0 else c).tolist())
+        return out
+
+
 def _with_retry(fn, attempts, backoff_s, sleep):
     delay = backoff_s
     for i in range(attempts):

@@ -48,6 +48,18 @@ def q_embed_corpus(spark, sf_dir):
     return _long(EN.hashed_encode(docs, "text", dim=DIM), "doc_id")
 
 
+@register("embed_remote", f"""WITH {_vec_sql('v', 'documents', 'doc_id', 'text')}
+SELECT doc_id, bucket, round(value, 6) AS value, 'ok' AS status FROM v""")
+def q_embed_remote(spark, sf_dir):
+    """Remote-encoder host over all documents: batches of 32 per request,
+    retries and per-row status, against an in-process hashing service (no
+    network, so no pause between batches)."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = EN.encode_remote(docs, "doc_id", "text", lambda: EN.HashingService(DIM), dim=DIM,
+                           batch_size=32, pause_s=0.0)
+    return _long(out, "doc_id", extra=("status",)).select("doc_id", "bucket", "value", "status")
+
+
 @register("embed_corpus_sql", f"""WITH {_vec_sql('v', 'documents', 'doc_id', 'text')}
 SELECT doc_id, bucket, round(value, 6) AS value FROM v""")
 def q_embed_corpus_sql(spark, sf_dir):
@@ -129,6 +141,26 @@ def q_classify_documents(spark, sf_dir):
                                                  r9("similarity_score").alias("similarity_score"))
 
 
+@register("classify", f"""WITH {DOC_MATCH_SQL}
+SELECT doc_id, predicted_class, md5(matched_node) AS matched_node_md5, round(similarity_score, 9) AS similarity_score
+FROM dpred""")
+def q_classify(spark, sf_dir):
+    """End to end as the library's classify: load the corpus, encode, match,
+    threshold, write the result (CSV, shared folder) and read it back."""
+    import os
+    import uuid
+    from semcode.session import checkpoint_dir
+    from semcode.sources import sinks as SK
+    path = os.path.join(checkpoint_dir(spark), "exports", f"classify-{uuid.uuid4().hex}")
+    pred = doc_predictions(spark, sf_dir).select("doc_id", "predicted_class", "matched_node", "similarity_score")
+    SK.save_results(pred, path, fmt="csv")
+    back = (spark.read.schema("doc_id long, predicted_class string, matched_node string, similarity_score double")
+            .option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
+    return back.select("doc_id", "predicted_class",
+                       F.md5(F.coalesce("matched_node", F.lit(""))).alias("matched_node_md5"),
+                       r9("similarity_score").alias("similarity_score"))
+
+
 @register("classify_rounded", f"""WITH {DOC_MATCH_SQL}
 SELECT doc_id, lang, predicted_class AS "Predicted Tag", round(similarity_score, 4) AS "Cosine Similarity Score",
        md5(matched_node) AS "Matched Reference Sentence md5"
