@@ -255,3 +255,28 @@ def q_sweep_cells_intervals(spark, sf_dir):
     out = TH.sweep_intervals(best_matches(spark, sf_dir), START, END, STEP, n_iterations=N_BOOT,
                              level=0.95, seed=42, method="cells")
     return _r6_all(out, skip=("level",))
+
+
+@register("optimal_threshold_intervals", f"""WITH {SWEEP_SQL},
+best_t AS (SELECT threshold_idx, threshold FROM curve ORDER BY round(f1_macro, 9) DESC, threshold_idx LIMIT 1),
+idx AS {S.dense_index('bk', 'doc_id')},
+draws AS {S.row_draws(N_BOOT, 42, 'idx')},
+bc AS (SELECT d.iteration, i.true_class, i.best_class, i.bucket, count(*) AS n
+       FROM draws d JOIN idx i USING (row_idx) GROUP BY ALL),
+btc AS (SELECT b.iteration, g.threshold_idx, b.true_class,
+               CASE WHEN b.bucket > g.threshold_idx THEN b.best_class ELSE 'Other' END AS predicted_class,
+               CAST(sum(b.n) AS BIGINT) AS n FROM bc b JOIN best_t g ON true GROUP BY ALL),
+{S.metric_ctes('btc', ['iteration', 'threshold_idx'], 'w')},
+wr AS ({S.long_metrics('w_sum', ['iteration', 'threshold_idx'])})
+SELECT wr.threshold_idx, round(any_value(best_t.threshold), 6) AS threshold, metric, CAST(0.95 AS DOUBLE) AS level,
+       round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper
+FROM wr JOIN best_t USING (threshold_idx) GROUP BY wr.threshold_idx, metric""")
+def q_optimal_intervals(spark, sf_dir):
+    """Bootstrap interval of the four metrics at the optimal threshold (the
+    same shared draws as the sweep, `rows` method, 100 iterations)."""
+    matches = best_matches(spark, sf_dir)
+    curve, _ = TH.sweep(matches, START, END, STEP)
+    best = TH.optimum(curve, "f1_macro").select("threshold_idx", "threshold")
+    iv = TH.sweep_intervals(matches, START, END, STEP, n_iterations=N_BOOT, level=0.95, seed=42, method="rows")
+    out = iv.join(F.broadcast(best), "threshold_idx")  # one-row optimum
+    return _r6_all(out.select("threshold_idx", "threshold", "metric", "level", "lower", "upper"), skip=("level",))
