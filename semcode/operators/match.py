@@ -90,7 +90,7 @@ def reference_stats(reference: DataFrame, vec: str = "embedding"):
     return int(row["n"]), int(row["d"] or 0)
 
 
-def _best_in_block(x, p, idx_rows, chunk_rows, keep_all):
+def _best_in_block(x, p, chunk_rows, keep_all):
     """Winners for the rows of ``x`` against the reference payload ``p``."""
     n = x.shape[0]
     best = np.full(n, -1, dtype=np.int64)
@@ -131,7 +131,7 @@ def _broadcast_udf(bc, keep_all: bool, block_bytes: int):
             out["all_similarities"] = pd.Series([None] * n, dtype=object)
         if ok.any():
             x = _stack(vs[ok].tolist(), p["dim"])
-            j, sc, sims = _best_in_block(x, p, None, chunk, keep_all)
+            j, sc, sims = _best_in_block(x, p, chunk, keep_all)
             rows = np.flatnonzero(ok)
             out.loc[rows, "best_ref_id"] = p["ids"][j]
             out.loc[rows, "best_class"] = p["classes"][j]
@@ -217,7 +217,7 @@ def _match_blocked(corpus, reference, key, vec, ref_key, class_col, node_col,
         r = r.sort_values("_rid")
         mat = _stack(r["_v"].tolist(), dim)
         p = {"mat": mat, "norm": np.sqrt(np.einsum("ij,ij->i", mat, mat))}
-        j, sc, _ = _best_in_block(_stack(q["_v"].tolist(), dim), p, None, chunk_rows, False)
+        j, sc, _ = _best_in_block(_stack(q["_v"].tolist(), dim), p, chunk_rows, False)
         return pd.DataFrame({"_key": q["_key"].to_numpy(),
                              "best_ref_id": r["_rid"].to_numpy()[j],
                              "best_class": r["_cls"].to_numpy()[j],

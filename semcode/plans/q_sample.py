@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from semcode.operators import sampling as SA
 from semcode.plans import inputs as I

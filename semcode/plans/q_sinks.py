@@ -14,7 +14,7 @@ from semcode.plans import inputs as I
 from semcode.plans import q_encode as QE
 from semcode.plans import q_topics as QT
 from semcode.plans.q_evaluate import CELLS_SQL
-from semcode.plans.q_match import PRED_SQL, best_matches, thresholded
+from semcode.plans.q_match import PRED_SQL, thresholded
 from semcode.plans.registry import register, r6, r9
 from semcode.session import checkpoint_dir
 from semcode.sources import sinks as SK

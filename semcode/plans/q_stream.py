@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semcode.plans import inputs as I
 from semcode.plans.q_match import PRED_SQL
-from semcode.plans.registry import register, r6, r9
+from semcode.plans.registry import register, r9
 from semcode.session import checkpoint_dir
 from semcode.streaming import classify_stream as CS
 

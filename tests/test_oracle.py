@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB twin (row count, columns and
 order-insensitive values), on the smallest driver tables."""
 
-import pytest
 
 from tests.conftest import SF_SMALL
 from tools.oracle_compare import compare
