@@ -280,3 +280,16 @@ def q_optimal_intervals(spark, sf_dir):
     iv = TH.sweep_intervals(matches, START, END, STEP, n_iterations=N_BOOT, level=0.95, seed=42, method="rows")
     out = iv.join(F.broadcast(best), "threshold_idx")  # one-row optimum
     return _r6_all(out.select("threshold_idx", "threshold", "metric", "level", "lower", "upper"), skip=("level",))
+
+
+@register("confusion_wide", f"""WITH {CELLS_SQL},
+cls AS (SELECT true_class AS c FROM cells UNION SELECT predicted_class FROM cells),
+dense AS (SELECT a.c AS true_class, b.c AS predicted_class, CAST(coalesce(cells.n, 0) AS BIGINT) AS n
+          FROM cls a JOIN cls b ON true LEFT JOIN cells ON cells.true_class = a.c AND cells.predicted_class = b.c)
+PIVOT dense ON predicted_class USING first(n) GROUP BY true_class""")
+def q_confusion_wide(spark, sf_dir):
+    """Display form: one row per true class, one column per predicted class
+    (the class list is the bounded label union)."""
+    c = cells(spark, sf_dir)
+    classes = [r["class"] for r in E.label_union(c).collect()]
+    return E.confusion_wide(E.confusion_dense(c), classes)
