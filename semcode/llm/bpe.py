@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 600_000
 #: byte b is written as the character with this code point (a block of letters
 #: without case, white space or normalisation of their own)
 BYTE_CHAR = [chr(0x4E00 + b) for b in range(256)]
