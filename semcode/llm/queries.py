@@ -8,7 +8,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from semcode.llm import bpe, exact_dedup as X, line_dedup as L, mixing as M
+from semcode.llm import bpe, exact_dedup as X, html_extract as H, line_dedup as L, mixing as M
+from semcode.llm import quality_classifier as C, quality_rules as R, secret_scan as S
 from semcode.llm.registry import ORACLE, QUERIES, register  # noqa: F401
 from semcode.llm.shared import table
 
@@ -101,3 +102,104 @@ FROM k""")
 def op10_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return M.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op1_html_extract")
+def op1_html_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return H.extract(pages, H.fit_weights(pages))
+
+
+@register("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return C.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def _rules_sql() -> str:
+    """The counts by windows over words and lines, the sketches as histograms."""
+    ws = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+    ratio = {m: e.replace("try_divide(", "(").replace(", ", "::DOUBLE / nullif(").replace(")", ", 0))")
+             for m, (e, _, _) in R.METRICS.items()}
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {e} AS value FROM counts WHERE NOT base_failed"
+                               for m, e in ratio.items())
+    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}::DOUBLE" for m, (_, s, _) in R.METRICS.items()) + " END"
+    wide = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {s} END) AS {m}_{s}" for m in R.METRICS for s in ("low", "high"))
+    inside = " AND ".join(f"coalesce({ratio[m]} <= {m}_high, true)" + (f" AND coalesce({ratio[m]} >= {m}_low, true)" if both else "")
+                          for m, (_, _, both) in R.METRICS.items())
+    return rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+grams AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+rep AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n_repeat_words
+        FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, {ws}) <> '') AS l FROM t),
+counts AS (
+  SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words, length(translate(text, {ws}, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_caps,
+         len(l)::BIGINT AS n_text_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed
+  FROM t JOIN w USING (doc_id) JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+cells AS ({cells}),
+fine AS (SELECT lang, source, metric, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / ln({R.GAMMA}::DOUBLE)) AS INT) ELSE {R.ZERO} END AS bucket,
+                count(*) AS n FROM cells GROUP BY ALL),
+sketch AS (SELECT 2 AS level, lang, source, metric, bucket, sum(n) AS n FROM fine GROUP BY ALL
+           UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM fine GROUP BY ALL
+           UNION ALL SELECT 0, NULL, NULL, metric, bucket, sum(n) FROM fine GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
+               sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
+               CASE WHEN bucket = {R.ZERO} THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * pow({R.GAMMA}::DOUBLE, bucket) / ({R.GAMMA}::DOUBLE + 1) END AS value
+        FROM sketch),
+q AS (SELECT level, lang, source, metric, max(total) AS nrows, min(CASE WHEN upto >= total * 0.25::DOUBLE THEN value END) AS q1,
+             min(CASE WHEN upto >= total * 0.75::DOUBLE THEN value END) AS q3 FROM run GROUP BY ALL),
+f AS (SELECT *, q1 - {R.REACH}::DOUBLE * greatest(q3 - q1, {least}) AS low, q3 + {R.REACH}::DOUBLE * greatest(q3 - q1, {least}) AS high FROM q),
+wide AS (SELECT level, lang, source, max(nrows) AS nrows, {wide} FROM f GROUP BY level, lang, source),
+pick AS (SELECT lang AS g_lang, source AS g_source,
+                CASE WHEN nrows >= {R.MIN_ROWS} THEN 2 WHEN sum(nrows) OVER (PARTITION BY lang) >= {R.MIN_ROWS} THEN 1 ELSE 0 END AS g_level
+         FROM wide WHERE level = 2),
+fences AS (SELECT pick.*, wide.* EXCLUDE (level, lang, source, nrows) FROM pick JOIN wide ON g_level = level
+           AND (g_level = 0 OR g_lang IS NOT DISTINCT FROM lang) AND (g_level < 2 OR g_source IS NOT DISTINCT FROM source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ({inside}) AS kept
+FROM counts LEFT JOIN fences ON lang IS NOT DISTINCT FROM g_lang AND source IS NOT DISTINCT FROM g_source"""
+
+
+@register("op3_quality_rules", _rules_sql())
+def op3_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return R.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                        "base_failed", "kept")
+
+
+def _spans_sql() -> str:
+    """Every rule's expression over every text; positions by summing pieces and matches."""
+    found = []
+    for k, r in enumerate(S.RULES):
+        p = r.pattern.replace("'", "''")
+        found.append(rf"""
+  SELECT doc_id, {k} AS rnk, '{r.kind}' AS kind, {r.least} AS least,
+         unnest(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))) AS len,
+         unnest(list_transform(regexp_extract_all(text, '{p}', {r.value}), lambda x: length(x))) AS val,
+         unnest(list_transform(string_split_regex(text, '{p}')[:-2], lambda x: length(x))) AS gap,
+         unnest(range(1, len(regexp_extract_all(text, '{p}')) + 1)) AS pos
+  FROM d WHERE regexp_matches(text, '{p}')""")
+    one = "kind || ':' || (e - len) || ':' || e"
+    n = len(S.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(found)}),
+placed AS (SELECT *, sum(gap + len) OVER (PARTITION BY doc_id, rnk ORDER BY pos)::BIGINT AS e FROM m),
+s AS (SELECT * FROM placed WHERE val >= least)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE rnk = {k}) AS n_{r.kind}" for k, r in enumerate(S.BASE))},
+       sha256(coalesce(string_agg({one}, ',' ORDER BY e - len, rnk) FILTER (WHERE rnk < {n}), '')) AS base_sha256,
+       coalesce(string_agg({one}, ',' ORDER BY e - len, rnk), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+
+@register("op5_secret_scan", _spans_sql())
+def op5_secret_scan(spark, sf_dir):
+    return S.report(S.spans(table(spark, sf_dir, "documents", "doc_id", "text")))
