@@ -40,8 +40,8 @@ METRICS = {
     "symbol_ratio": ("try_divide(n_symbols, word_chars)", 0.01, False),
     "caps_ratio": ("try_divide(n_caps, word_chars)", 0.08, False),
     "dup_line_ratio": ("try_divide(n_dup_lines, n_text_lines)", 0.15, False),
-    "repeat_ratio": ("try_divide(n_repeat_words, n_words)", 0.05, False),
-    "word_length": ("try_divide(word_chars, n_words)", 1.0, True),
+    "repeat_ratio": ("try_divide(n_repeat_words, n_words)", 0.07, False),
+    "word_length": ("try_divide(word_chars, n_words)", 1.5, True),
 }
 
 

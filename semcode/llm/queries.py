@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from semcode.llm import bpe, exact_dedup as X, html_extract as H, line_dedup as L, mixing as M
-from semcode.llm import quality_classifier as C, quality_rules as R, secret_scan as S
+from semcode.llm import ngram_join as J, quality_classifier as C, quality_rules as R, secret_scan as S
 from semcode.llm.registry import ORACLE, QUERIES, register  # noqa: F401
 from semcode.llm.shared import table
 
@@ -203,3 +203,8 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
 @register("op5_secret_scan", _spans_sql())
 def op5_secret_scan(spark, sf_dir):
     return S.report(S.spans(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@register("op8_ngram_join")
+def op8_ngram_join(spark, sf_dir):
+    return J.ngram_components(table(spark, sf_dir, "documents", "doc_id", "text"), k=4, num=85, den=100)
