@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from semcode.llm import bpe, exact_dedup as X, html_extract as H, line_dedup as L, mixing as M
-from semcode.llm import ngram_join as J, quality_classifier as C, quality_rules as R, secret_scan as S
+from semcode.llm import ngram_join as J, quality_classifier as C, quality_rules as R, secret_scan as S, suffix_dedup as D
 from semcode.llm.registry import ORACLE, QUERIES, register  # noqa: F401
 from semcode.llm.shared import table
 
@@ -208,3 +208,24 @@ def op5_secret_scan(spark, sf_dir):
 @register("op8_ngram_join")
 def op8_ngram_join(spark, sf_dir):
     return J.ngram_components(table(spark, sf_dir, "documents", "doc_id", "text"), k=4, num=85, den=100)
+
+
+def _cut_digest(batches):
+    for b in batches:
+        out = []
+        for lo in range(0, b.num_rows, 1000):
+            part = b.slice(lo, 1000)
+            for doc, text, spans in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
+                raw = (text.as_py() or "").encode()
+                removed, runs, kept = D.cut(raw, spans)
+                out.append((None if doc == D.NULL_ID else doc, len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
+        cols = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(cols, [pa.int64()] * 4 + [pa.string()])],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    return D.repeated_spans(table(spark, sf_dir, "documents", "doc_id", "text")).mapInArrow(
+        _cut_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
