@@ -170,13 +170,16 @@ def decode(tokens: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",),
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode, then decode the ids, in one pass: ``n_tokens``, ``ids_sha256``,
-    ``decoded_sha256`` beside the ``keep`` columns."""
-    d, schema = _keep(docs, keep, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ``decoded_sha256`` (and ``ids``) beside the ``keep`` columns."""
+    d, schema = _keep(docs, keep, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string"
+                      + (", ids array<int>" if with_ids else ""))
 
     def one(c, text):
         ids = c.encode(text)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
-    return d.mapInArrow(_per_text(_model(path), pattern, len(keep), ["n_tokens", "ids_sha256", "decoded_sha256"],
-                                  [pa.int64(), pa.string(), pa.string()], one), schema)
+        out = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
+        return (*out, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else out
+    return d.mapInArrow(_per_text(_model(path), pattern, len(keep),
+                                  ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
+                                  [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())], one), schema)

@@ -5,7 +5,7 @@ tags negative, with weights learnt from labelled pages; one linear scan finds
 the contiguous region with the best sum, and its blocks are the main text.
 Subtrees that never hold content (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, comments, hidden parts: by element, role, class or id)
-score as markup and are cut out of the region.
+are cut out and count as one tag.
 
 Weights are log odds of an event kind inside and outside the content of
 labelled pages.  Labelled are pages that declare their content (one ``article``,
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 2_000
+LEAST_TAG = -0.01
 FEWEST = 50  # labelled pages below which the default weights hold
 
 #: element lists of the HTML standard and usual names of page furniture (fixed values)
@@ -59,7 +60,7 @@ KINDS = BLOCK | VOID | FURNITURE | {"a", "abbr", "b", "cite", "code", "em", "fon
                                     "sub", "sup", "time", "u"}
 
 _TAG = re.compile(r"<(?:!--(?P<c>.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-                  r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(?P<loose>/?[a-zA-Z][^>]*>))", re.S)
+                  r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(?P<loose>/?[a-zA-Z][^>]*(?:>|\Z)))", re.S)
 _ATTR = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
@@ -126,11 +127,11 @@ class Page:
             cut, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
         def said(raw):
-            if raw:
+            if raw and not cut:
                 words = len(raw.split())
                 if words or raw:
                     top = stack[-1][0] if stack else ""
-                    emit("w:cut" if cut else "w:a" if any(s[0] == "a" for s in stack[-3:]) else
+                    emit("w:a" if any(s[0] == "a" for s in stack[-3:]) else
                          "w:" + (top if top in ("li", "td", "th", "dt", "dd", "option", "head") else "text"), words, raw)
 
         while pos < n:
@@ -153,12 +154,14 @@ class Page:
             if not end and name in RAW:
                 close = _RAW_END[name].search(source, pos)
                 pos = close.end() if close else n
-                emit("t:raw", 0, None)
+                if not cut:
+                    emit("t:cut", 0, None)
                 continue
             if name in BLOCK:
                 block += 1
             if end:
-                emit("t:cut" if cut else "t:" + (name if name in KINDS else "other"), 0, None)
+                if not cut:
+                    emit("t:" + (name if name in KINDS else "other"), 0, None)
                 if any(s[0] == name for s in stack):
                     while stack[-1][0] != name:
                         pop()
@@ -176,7 +179,8 @@ class Page:
                 if k is not None and stack[k][0] == name:
                     while len(stack) > k:
                         pop()
-            emit("t:cut" if cut else "t:" + (name if name in KINDS else "other"), 0, None)
+            if not cut:
+                emit("t:" + (name if name in KINDS else "other"), 0, None)
             if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCK and name != "a":
                 continue
             main = content
@@ -184,19 +188,22 @@ class Page:
                 if not content:
                     self.declared += 1
                 main = True
-            push((name, cut or _furniture(name, attrs, main), main))
-            cut, content = stack[-1][1], stack[-1][2]
+            gone = cut or _furniture(name, attrs, main)
+            if gone and not cut:  # a cut subtree is one event
+                self.kinds[-1] = "t:cut"
+            push((name, gone, main))
+            cut, content = gone, main
 
     def scores(self, weights: dict[str, float]) -> list[float]:
-        """Per event; where the page declares its content, words outside it carry
-        the weight that labelled pages give to such words."""
+        """Per event.  Where the page declares its content, tags inside it cost the
+        least and words outside it weigh against the region, as on labelled pages."""
         out = []
         for kind, words, inside in zip(self.kinds, self.words, self.inside):
             if kind[0] == "w":
                 k = kind if not self.declared or inside else "w:outside"
                 out.append(words * weights.get(k, weights["w:text"]))
             else:
-                out.append(weights.get(kind, weights["t:other"]))
+                out.append(LEAST_TAG if inside else weights.get(kind, weights["t:other"]))
         return out
 
     def main_text(self, weights: dict[str, float]) -> str:
@@ -212,7 +219,7 @@ class Page:
         first, last = self.block[best_at[0]], self.block[best_at[1]]
         blocks: dict[int, list[str]] = defaultdict(list)
         for kind, text, block, inside in zip(self.kinds, self.texts, self.block, self.inside):
-            if first <= block <= last and kind != "w:cut" and (inside or not self.declared):
+            if first <= block <= last and (inside or not self.declared):
                 if text is not None:
                     blocks[block].append(text)
                 elif kind == "t:br":
@@ -222,8 +229,8 @@ class Page:
 
 
 #: weights before any labelled page was seen: words for, tags against
-DEFAULTS = {"w:text": 1.0, "w:a": -0.5, "w:li": 0.3, "w:td": 0.3, "w:th": 0.1, "w:head": -2.0, "w:cut": -1.0, "w:outside": -2.0,
-            "t:other": -0.5, "t:cut": -0.5, "t:raw": -0.5, "t:p": -0.05, "t:br": -0.05, "t:a": -1.0, "t:li": -1.0,
+DEFAULTS = {"w:text": 1.0, "w:a": 0.1, "w:li": 0.3, "w:td": 0.3, "w:th": 0.1, "w:head": 0.1, "w:outside": -2.0,
+            "t:other": -0.5, "t:cut": -0.5, "t:p": -0.05, "t:br": -0.05, "t:a": -1.0, "t:li": -1.0,
             "t:div": -2.0, "t:ul": -1.0, "t:td": -0.5, "t:tr": -0.5, "t:body": -3.0, "t:head": -3.0, "t:footer": -3.0,
             "t:nav": -3.0, "t:b": -0.05, "t:i": -0.05, "t:em": -0.05, "t:strong": -0.05, "t:span": -0.1, "t:code": -0.05,
             "t:h1": -0.1, "t:h2": -0.1, "t:h3": -0.1, "t:blockquote": -0.1, "t:article": -0.1, "t:section": -0.3, "t:main": -0.1}
@@ -264,12 +271,10 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         i, o = sum(v[0] for v in own.values()) + 1, sum(v[1] for v in own.values()) + 1
         for k, (a, b) in own.items():
             odds = math.log((a + 0.5) / i) - math.log((b + 0.5) / o)
-            if k in ("w:cut", "t:cut", "t:raw"):
-                weights[k] = min(-0.1, odds)
-            elif sort == "w":  # words speak for content
+            if sort == "w":  # words speak for content
                 weights[k] = min(3.0, max(0.05, odds))
-            else:  # tags speak against it
-                weights[k] = max(-5.0, min(-0.02, odds))
+            else:  # tags speak against it; a cut subtree alone does not end a region
+                weights[k] = max(-1.0 if k == "t:cut" else -5.0, min(-0.02, odds))
     return weights
 
 

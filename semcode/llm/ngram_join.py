@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semcode.llm.bytesnp import LOWER, SpanHash, chunks, mix, utf8, word_spans
-from semcode.llm.shared import components, materialize
+from semcode.llm.shared import components, discard, materialize
 
 CELL_GRAMS = 2_000_000
 _M = np.random.Generator(np.random.PCG64(815)).integers(1, 2**64 - 1, 64, dtype=np.uint64) | np.uint64(1)
@@ -355,6 +355,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
               .agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
               .select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")))
     comp = components(links.union(shared), "docs")
+    discard(members)
     of = classes.join(comp, F.col("rep") == F.col("node"), "left").select(
         "fp", "fp2", "n", F.coalesce("component", "rep").alias("found"))
     out = own.join(of, ["fp", "fp2", "n"], "left")

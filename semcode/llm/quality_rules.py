@@ -37,7 +37,7 @@ REACH = 3.0
 MIN_ROWS = 200
 #: metric: (ratio, smallest spread, fence below as well)
 METRICS = {
-    "symbol_ratio": ("try_divide(n_symbols, word_chars)", 0.01, False),
+    "symbol_ratio": ("try_divide(n_symbols, word_chars)", 0.02, False),
     "caps_ratio": ("try_divide(n_caps, word_chars)", 0.08, False),
     "dup_line_ratio": ("try_divide(n_dup_lines, n_text_lines)", 0.15, False),
     "repeat_ratio": ("try_divide(n_repeat_words, n_words)", 0.07, False),

@@ -10,30 +10,42 @@ from pyspark.sql import functions as F
 
 from semcode.session import checkpoint_dir
 
-_WRITTEN: list = []
+_WRITTEN: dict = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: lineage is cut, and a lost executor re-reads the files instead of
     recomputing.  (``checkpoint()`` would run the last stage twice.)  The files
-    are deleted when the session's process ends."""
+    go with ``discard``, or when the session's process ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_clean)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing lazy reads any more."""
+    path = getattr(df, "_written", None)
+    if path in _WRITTEN:
+        _delete(_WRITTEN.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            if spark.sparkContext._jsc is None:
-                continue
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended
             return
 
@@ -63,14 +75,15 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
                   F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         return r["n"], r["s"]
 
-    e = edges.where("a <> b").select("a", "b").distinct()
-    seen = None
+    e, old, seen = edges.where("a <> b").select("a", "b").distinct(), None, None
     for _ in range(max_rounds):
         e = materialize(small(large(e)), name)
+        if old is not None:
+            discard(old)
         now = mark(e)
         if now == seen:
             break
-        seen = now
+        old, seen = e, now
     else:
         raise RuntimeError("components: no fixed point")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
