@@ -1,9 +1,10 @@
 """Exact deduplication by deterministic block naming.
 
 A document's normalised text (all ``[\\x20\\x09-\\x0D]`` deleted) is cut into
-fixed-size blocks.  Blocks are range-partitioned and sorted, and every distinct
-block gets an integer name (partition number and running number), so equal
-blocks, and only those, share a name; no hash decides.  Then adjacent names are
+fixed-size blocks.  Equal blocks are dealt to one partition, each partition is
+sorted by block, and every distinct block gets an integer name (partition number
+and running number), so equal blocks, and only those, share a name; no hash
+decides (it only deals).  Then adjacent names are
 paired, the distinct pairs are sorted and named the same way, and so on until
 every document has one name.  Two documents are equal when they finish in the
 same round with the same name.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semcode.llm.bytesnp import WS_BYTES
-from semcode.llm.shared import materialize
+from semcode.llm.shared import discard, materialize
 
 BLOCK_BYTES = 4096
 
@@ -84,7 +85,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).cast("long").alias("doc"),
                        F.col(text_col).alias("text"))
     named = (rows.mapInArrow(_blocks(block_bytes), f"block binary, owners {_OWNERS}")
-             .repartitionByRange("block").sortWithinPartitions("block")
+             .repartition("block").sortWithinPartitions("block")
              .mapInArrow(_name, f"block binary, owners {_OWNERS}, name long")
              .select("name", F.inline("owners")))
     level = materialize(named.select("tag", "pos", "n", "doc", "chars", "sha", "name"), "blocks")
@@ -97,9 +98,10 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                       F.max(F.expr("cast((n + 1) div 2 as int)")).alias("n"),
                       F.max("doc").alias("doc"), F.max("chars").alias("chars"), F.max("sha").alias("sha")))
         pairs = materialize(pairs, "pairs")
-        names = (pairs.select("a", "b").distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+        names = (pairs.select("a", "b").distinct().repartition("a", "b").sortWithinPartitions("a", "b")
                  .withColumn("last", F.lit(0)).mapInArrow(_name, "a long, b long, last int, name long").drop("last"))
         level = materialize(pairs.join(names, ["a", "b"]).drop("a", "b"), "names")
+        discard(pairs)
         done = done.unionByName(level.where("n = 1").select("doc", "chars", "sha", F.lit(k).alias("level"), "name"))
     return done
 
