@@ -4,11 +4,11 @@ A replicate draws n rows with replacement and re-scores them.  Metrics only
 depend on the replicate through its confusion counts, so two exact plans:
 
 * ``method="cells"`` (default, scale-free): drawing n rows uniformly is
-  exactly Multinomial(n, cell share) over the confusion cells.  One Arrow task
-  per slice of iterations draws all cells of an iteration at once; the work is
-  cells x iterations, independent of the data size.  The cell table is
-  bounded by classes² (x grid buckets in the sweep) and its size is checked
-  before it is broadcast.
+  exactly Multinomial(n, cell share) over the confusion cells.  It is drawn in
+  two steps: the rows of each true class first (one number per class and
+  iteration, from the class totals), then each class's cells, conditionally,
+  one task per class and slice of iterations.  The work is cells x iterations,
+  independent of the data size; the driver sees class totals only.
 * ``method="rows"``: the literal resampling — draw j of iteration b picks row
   ``md5(seed:b:j) mod n`` of a dense, hash-ordered row index.  n x B rows, one
   shuffle join on the index; exact in SQL (the oracle checks it).
@@ -19,16 +19,18 @@ results do not change with cluster size or after a task is retried.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semcode.functions.hashing import md5_u32, seeded_key
+from semcode.functions.hashing import U32, md5_u32, seeded_key
 from semcode.operators import evaluate as E
+from semcode.session import checkpoint_dir
 
-MAX_BROADCAST_CELLS = 5_000_000
 INDEX_BUCKET_BITS = 16
 
 
@@ -57,70 +59,69 @@ def draw_rows(df: DataFrame, key: str, cell_cols, n_iterations: int, seed: int)
     if n == 0:
         return spark.createDataFrame([], "iteration long")
     draws = (spark.range(0, n_iterations * n)
-             .select((F.col("id") / F.lit(n)).cast("long").alias("iteration"),
+             .select(F.expr(f"id div {n}").alias("iteration"),
                      (F.col("id") % F.lit(n)).alias("draw")))
+    if n >= U32:
+        raise ValueError("the rows method draws 32-bit numbers; use method='cells' for tables of 2**32 rows or more")
     draws = draws.withColumn("row_idx", md5_u32(seeded_key(seed, "iteration", "draw")) % F.lit(n))
     return (draws.join(idx, "row_idx").groupBy("iteration", *cell_cols)
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def collect_cells(cells: DataFrame, cell_cols, count_col: str = "n") -> pd.DataFrame:
-    """The confusion cells on the driver, after checking they are bounded
-    (at most ``MAX_BROADCAST_CELLS`` rows; one job)."""
-    pdf = (cells.select(*cell_cols, F.col(count_col).cast("long").alias("n"))
-           .limit(MAX_BROADCAST_CELLS + 1).toPandas())
-    if len(pdf) > MAX_BROADCAST_CELLS:
-        raise ValueError(f"more than {MAX_BROADCAST_CELLS} confusion cells; use method='rows'")
-    return pdf.sort_values(list(cell_cols), kind="stable").reset_index(drop=True)
-
+def draw_cells(cells: DataFrame, cell_cols, n_iterations: int, seed: int, count_col: str = "n") -> DataFrame:
+    """``(iteration, cell cols..., n)`` — one multinomial draw per iteration.
 
-def draw_cells(cells: DataFrame, cell_cols, n_iterations: int, seed: int,
-               count_col: str = "n", collected: pd.DataFrame | None = None) -> DataFrame:
-    """``(iteration, cell cols..., n)`` — one multinomial draw per iteration."""
+    The first cell column is the true class.  Seeds depend on (seed, iteration)
+    for the class totals and on (seed, iteration, class) for the cells."""
     spark = cells.sparkSession
-    pdf = collected if collected is not None else collect_cells(cells, cell_cols, count_col)
-    total = int(pdf["n"].sum())
-    shares = (pdf["n"] / total).to_numpy() if total else np.zeros(len(pdf))
-    bc = spark.sparkContext.broadcast((pdf[list(cell_cols)], shares, total))
-    schema = cells.select(*cell_cols).schema.add("iteration", "long").add("n", "long")
-
-    def draw(batches):
-        cols, p, n = bc.value
-        for b in batches:
-            parts = []
-            for it in b["id"].tolist():
-                rng = np.random.default_rng([seed, int(it)])
-                k = rng.multinomial(n, p) if n else np.zeros(len(p), dtype=np.int64)
-                keep = k > 0
-                out = cols[keep].copy()
-                out["iteration"] = int(it)
-                out["n"] = k[keep].astype(np.int64)
-                parts.append(out)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    parts = max(1, min(n_iterations, spark.sparkContext.defaultParallelism))
-    return (spark.range(0, n_iterations, numPartitions=parts).mapInPandas(draw, schema)
-            .select("iteration", *cell_cols, "n"))
+    first = cell_cols[0]
+    fixed = cells.select(*cell_cols, F.col(count_col).cast("long").alias("n"))
+    totals = (fixed.groupBy(first).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).orderBy(first).collect())
+    n = sum(r["n"] for r in totals)
+    names = [r[first] for r in totals]
+    shares = np.array([r["n"] / n for r in totals]) if n else np.zeros(len(totals))
+    per_class = np.zeros((n_iterations, len(names)), np.int64)
+    for it in range(n_iterations if n else 0):
+        per_class[it] = np.random.default_rng([seed, it]).multinomial(n, shares)
+    drawn = spark.sparkContext.broadcast({c: per_class[:, i] for i, c in enumerate(names)})
+    # one task handles at most about a million (cell, iteration) numbers
+    step = max(1, min(n_iterations, 1_000_000 // max(1, max((r["cells"] for r in totals), default=1))))
+    slices = -(-n_iterations // step)
+    schema = fixed.select(*cell_cols).schema.add("iteration", "long").add("n", "long")
+
+    def draw(key, pdf):
+        pdf = pdf.sort_values(list(cell_cols), kind="stable")
+        p = (pdf["n"] / pdf["n"].sum()).to_numpy()
+        want = drawn.value[key[0]]
+        parts = []
+        for it in range(key[1] * step, min(n_iterations, (key[1] + 1) * step)):
+            rng = np.random.default_rng([seed, it, zlib.crc32(str(key[0]).encode())])
+            k = rng.multinomial(want[it], p)
+            keep = k > 0
+            out = pdf.loc[keep, list(cell_cols)].copy()
+            out["iteration"], out["n"] = it, k[keep]
+            parts.append(out)
+        return pd.concat(parts, ignore_index=True)
+
+    return (fixed.where("n > 0").withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+            .groupBy(first, "__slice").applyInPandas(draw, schema).select("iteration", *cell_cols, "n"))
 
 
 def bootstrap(df: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_class",
               n_iterations: int = 1000, levels=(0.9, 0.95, 0.99), seed: int = 0,
               method: str = "cells", key: str = "doc_id"):
-    """(replicates, intervals with point estimates).  With ``cells`` the
-    bounded confusion table is computed once and feeds both the draws and the
-    point estimate."""
-    if method != "cells":
-        reps = replicates(df, true_col, pred_col, n_iterations, seed, method, key)
-        return reps, intervals(reps, levels, point=E.summary(E.confusion(df, true_col, pred_col)))
-    spark = df.sparkSession
+    """(replicates, intervals with point estimates).  The confusion table is
+    checkpointed once and feeds the class totals, the draws and the point
+    estimate (so the predictions behind it are computed once)."""
     cells = E.confusion(df, true_col, pred_col)
-    cols = ["true_class", "predicted_class"]
-    pdf = collect_cells(cells, cols)
-    fixed = spark.createDataFrame(pdf, "true_class string, predicted_class string, n long")
-    drawn = draw_cells(fixed, cols, n_iterations, seed, collected=pdf)
-    reps = long_metrics(E.summary(drawn, ["iteration"]), ["iteration"])
-    return reps, intervals(reps, levels, point=E.summary(fixed))
+    if method == "cells":
+        checkpoint_dir(df.sparkSession)
+        cells = cells.checkpoint(eager=True)
+        drawn = draw_cells(cells, ["true_class", "predicted_class"], n_iterations, seed)
+        reps = long_metrics(E.summary(drawn, ["iteration"]), ["iteration"])
+    else:
+        reps = replicates(df, true_col, pred_col, n_iterations, seed, method, key)
+    return reps, intervals(reps, levels, point=E.summary(cells))
 
 
 def replicates(df: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_class",
@@ -167,6 +168,15 @@ def intervals(reps: DataFrame, levels=(0.9, 0.95, 0.99), group_cols=(),
     return out
 
 
+def bounds_nested(iv: DataFrame, group_cols=()) -> DataFrame:
+    """``(group..., metric, bounds_nested)``: every interval is ordered and holds
+    the intervals of lower levels."""
+    w = Window.partitionBy(*group_cols, "metric").orderBy("level")
+    ok = ((F.col("lower") <= F.col("upper")) & (F.coalesce(F.lag("lower").over(w), F.col("lower")) >= F.col("lower"))
+          & (F.coalesce(F.lag("upper").over(w), F.col("upper")) <= F.col("upper")))
+    return iv.withColumn("_ok", ok).groupBy(*group_cols, "metric").agg(F.min("_ok").alias("bounds_nested"))
+
+
 def histogram(reps: DataFrame, bins: int = 30) -> DataFrame:
     """``(metric, bin, bin_lower, bin_upper, n)`` — equal-width bins between the
     min and max of each metric; all-equal values land in bin 1."""

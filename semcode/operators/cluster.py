@@ -21,6 +21,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,11 @@ MAX_ITER = 300
 def kmeans_tolerance(data: DataFrame, vec: str) -> float:
     """Absolute centre-shift tolerance for MLlib from the relative one: the
     reference stops when the summed squared shift <= 1e-4 x mean variance;
-    MLlib compares each centre's shift with ``tol`` — one aggregate."""
-    ex = data.select(F.posexplode(vec).alias("_d", "_x"))
-    var = ex.groupBy("_d").agg(F.var_pop("_x").alias("_v")).agg(F.avg("_v")).first()[0] or 0.0
+    MLlib compares each centre's shift with ``tol`` — one aggregate over whole
+    vectors."""
+    row = data.agg(Summarizer.variance(array_to_vector(vec)).alias("v"), F.count(vec).alias("n")).first()
+    n = row["n"]
+    var = float(np.mean(row["v"].toArray())) * (n - 1) / n if n > 1 else 0.0  # the population's
     return max(math.sqrt(REL_TOL * var), 1e-12)
 
 
@@ -72,8 +75,9 @@ def k_range(n_rows: int, max_k: int = 20) -> list[int]:
 
 
 def k_search(df: DataFrame, key: str, vec: str = "embedding", max_k: int = 20, n_init: int = 10,
-             seed: int = 42, silhouette: str = "exact", parallelism: int | None = None) -> DataFrame:
-    """``(k, inertia, silhouette)`` for every k of the range.
+             seed: int = 42, silhouette: str = "fast", parallelism: int | None = None) -> DataFrame:
+    """``(k, inertia, silhouette)`` for every k of the range; the silhouette is the
+    linear one unless ``"exact"`` (all pairs) is asked for.
 
     All (k, restart) fits are independent distributed jobs submitted from one
     driver thread pool; the input is persisted once for all of them.
@@ -92,11 +96,14 @@ def k_search(df: DataFrame, key: str, vec: str = "embedding", max_k: int = 20, n
 
             def score(k):
                 model, cost = best[k]
-                labelled = model.transform(data).select(key, vec, "features", "cluster")
-                if silhouette == "exact":
-                    sil = silhouette_exact(labelled, key, vec, "cluster").first()["silhouette"]
-                else:
-                    sil = silhouette_fast(labelled, "cluster")
+                labelled = model.transform(data).select(key, vec, "features", "cluster").persist(StorageLevel.MEMORY_AND_DISK)
+                try:
+                    if silhouette == "exact":
+                        sil = silhouette_exact(labelled, key, vec, "cluster").first()["silhouette"]
+                    else:
+                        sil = silhouette_fast(labelled, "cluster")
+                finally:
+                    labelled.unpersist()
                 return k, float(cost), float(sil)
 
             rows = list(pool.map(score, ks))
@@ -148,15 +155,31 @@ def choose_k(metrics: DataFrame) -> tuple[int, str]:
     return int(pdf["k"].iloc[int(np.argmax(pdf["silhouette"].to_numpy()))]), "silhouette"
 
 
-def kmeans_assign(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10) -> DataFrame:
+def kmeans_model(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10):
+    """(rows with their ``cluster``, centres as lists, inertia) of the best restart."""
     data = features(df, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model, _ = fit_kmeans(data, k, seed, n_init, tol=kmeans_tolerance(data, vec))
-        return model.transform(data).drop("features").checkpoint(eager=True)
+        model, cost = fit_kmeans(data, k, seed, n_init, tol=kmeans_tolerance(data, vec))
+        rows = model.transform(data).drop("features").checkpoint(eager=True)
+        return rows, [c.tolist() for c in model.clusterCenters()], float(cost)
     finally:
         data.unpersist()
 
 
+def kmeans_assign(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10) -> DataFrame:
+    return kmeans_model(df, k, vec, seed, n_init)[0]
+
+
+def nearest_centre(df: DataFrame, centres, vec: str = "embedding") -> DataFrame:
+    """``df`` with ``nearest_sq`` and ``own_sq``: squared distances to the nearest
+    centre and to the centre of ``cluster`` (k x dimension literals)."""
+    c = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in centres])
+    sq = F.transform(c, lambda m: F.aggregate(F.zip_with(vec, m, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
+                                              F.lit(0.0), lambda acc, v: acc + v))
+    return df.withColumn("_sq", sq).withColumns({"nearest_sq": F.array_min("_sq"),
+                                                 "own_sq": F.get("_sq", F.col("cluster"))}).drop("_sq")
+
+
 def cluster_sizes(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     return (df.groupBy(F.col(cluster_col).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy("cluster"))
@@ -189,11 +212,16 @@ def silhouette_fast(df: DataFrame, cluster_col: str = "cluster", features_col: s
 
 
 def silhouette_samples(df: DataFrame, key: str, vec: str = "embedding",
-                       cluster_col: str = "cluster") -> DataFrame:
+                       cluster_col: str = "cluster", queries=None) -> DataFrame:
     """Exact Euclidean silhouette per row: ``(key, cluster, silhouette)``;
-    0 for rows alone in their cluster."""
+    0 for rows alone in their cluster.
+
+    The exact number needs the distances to all rows, so for a large table give
+    ``queries`` (a SQL condition): those rows are scored against all rows, in tiles."""
     spark = df.sparkSession
-    base = df.select(F.col(key).alias("_k"), F.col(cluster_col).cast("long").alias("_c"), F.col(vec).alias("_v"))
+    ask = F.lit(True) if queries is None else F.expr(queries)
+    base = df.select(F.col(key).alias("_k"), F.col(cluster_col).cast("long").alias("_c"), F.col(vec).alias("_v"),
+                     ask.alias("_ask"))
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n, dim = int(stats["n"]), int(stats["d"] or 0)
     if n == 0:
@@ -202,8 +230,8 @@ def silhouette_samples(df: DataFrame, key: str, vec: str = "embedding",
     blocks = max(1, math.ceil(n / rows_per_block))
     blk = F.pmod(F.xxhash64("_k"), F.lit(blocks))
     seq = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = base.withColumn("_a", blk).withColumn("_b", seq)
-    right = base.withColumn("_b", blk).withColumn("_a", seq)
+    left = base.where("_ask").drop("_ask").withColumn("_a", blk).withColumn("_b", seq)
+    right = base.drop("_ask").withColumn("_b", blk).withColumn("_a", seq)
     key_type = df.schema[key].dataType.simpleString()
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

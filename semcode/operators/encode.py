@@ -24,6 +24,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,16 +52,17 @@ def token_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
 
 
 def _bincount_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def counts_to_unit(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64) \
-                if b is not None and len(b) else np.zeros(dim)
-            n = np.sqrt(np.dot(c, c))
-            out.append(c / n if n > 0 else c)
-        return pd.Series(out)
-    return counts_to_unit
+    """Bucket lists to unit count vectors, one ``bincount`` per batch."""
+    def counts_to_unit(buckets: pa.Array) -> pa.Array:
+        n = len(buckets)
+        lists = buckets if not buckets.null_count else pc.fill_null(buckets, [])
+        rows = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = rows * dim + lists.flatten().to_numpy(zero_copy_only=False)
+        c = np.bincount(at, minlength=n * dim).astype(np.float64).reshape(n, dim)
+        norm = np.sqrt(np.einsum("ij,ij->i", c, c))
+        c /= np.where(norm > 0, norm, 1.0)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(c.ravel()))
+    return F.arrow_udf(counts_to_unit, "array<double>")
 
 
 def hashed_encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
@@ -83,15 +88,20 @@ def encode_with(df: DataFrame, text_col: str, encoder_factory: Callable[[], Call
 
     ``encoder_factory()`` runs once per task (load weights there) and returns
     ``encode(list[str]) -> np.ndarray (n, d)``.  Null text is encoded as "".
+    With ``dedupe`` each distinct text is encoded once: texts meet by a 128-bit
+    hash, and only the hash and the vector travel back to the rows.
     """
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    if text_col not in df.columns:
+        raise ValueError(f"Missing column: {text_col}")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder_factory()
         for texts in batches:
             texts = texts.fillna("").astype(str).tolist()
             vecs = []
             for s in range(0, len(texts), batch_size):
-                v = np.asarray(encode(texts[s:s + batch_size]), dtype=np.float32)
+                v = np.asarray(encode(texts[s:s + batch_size]), dtype=np.float64)
                 vecs.extend(list(v))
             yield pd.Series(vecs, dtype=object)
 
@@ -99,11 +109,29 @@ def encode_with(df: DataFrame, text_col: str, encoder_factory: Callable[[], Call
         return df.withColumn(out_col, run(F.col(text_col)))
     h = "__text_md5"
     keyed = df.withColumn(h, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    distinct = (keyed.select(h, text_col).dropDuplicates([h])
-                .withColumn(out_col, run(F.col(text_col))).drop(text_col))
+    distinct = (keyed.groupBy(h).agg(F.first(text_col).alias("__text"))
+                .select(h, run(F.col("__text")).alias(out_col)))
     return keyed.join(distinct, h, "left").drop(h)
 
 
+def hashing_encoder(dim: int = DEFAULT_DIM) -> Callable[[list], np.ndarray]:
+    """The built-in hashed encoder as a batch function for ``encode_with``;
+    every distinct word of a batch is hashed once."""
+    import hashlib
+
+    import regex
+    split = regex.compile(r"[^\p{L}\p{N}]+").split
+
+    def encode(texts):
+        words = [[w for w in split((t or "").lower()) if w] for t in texts]
+        bucket = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in {w for ws in words for w in ws}}
+        at = np.array([i * dim + bucket[w] for i, ws in enumerate(words) for w in ws], np.int64)
+        c = np.bincount(at, minlength=len(words) * dim).astype(np.float64).reshape(len(words), dim)
+        norm = np.sqrt(np.einsum("ij,ij->i", c, c))
+        return c / np.where(norm > 0, norm, 1.0)[:, None]
+    return encode
+
+
 def l2_normalize_col(df: DataFrame, col: str = "embedding", out_col: str | None = None) -> DataFrame:
     from semcode.functions.vectors import l2_normalize
     return df.withColumn(out_col or col, l2_normalize(col))
@@ -112,13 +140,17 @@ def l2_normalize_col(df: DataFrame, col: str = "embedding", out_col: str | None
 def mean_pool(tokens: DataFrame, key: str, pos_col: str, vec_col: str, mask_col: str,
               out_col: str = "embedding") -> DataFrame:
     """Masked mean of token vectors per ``key``: sum(x * m) / max(sum(m), 1e-9),
-    element-wise — one aggregation keyed by (key, dimension)."""
-    ex = tokens.select(key, F.col(mask_col).cast("double").alias("_m"),
-                       F.posexplode(vec_col).alias("_d", "_x"))
-    pooled = (ex.groupBy(key, "_d")
-              .agg((F.sum(F.col("_x") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("_v")))
-    return (pooled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_d", "_v"))).alias("_a"))
-            .select(key, F.transform("_a", lambda s: s["_v"]).alias(out_col)))
+    element-wise; a key without any masked vector gets zeros.  Vectors are
+    summed whole (MLlib ``Summarizer``, map-side combine), never exploded."""
+    m = F.col(mask_col).cast("double")
+    t = tokens.select(key, m.alias("_m"), F.col(vec_col).alias("_x"))
+    mean = (t.where(F.col("_m") > 0)
+            .groupBy(key).agg(Summarizer.mean(array_to_vector("_x"), F.col("_m")).alias("_v"), F.sum("_m").alias("_w"))
+            .select(F.col(key).alias("_k"), vector_to_array("_v").alias("_v"),
+                    (F.col("_w") / F.greatest("_w", F.lit(1e-9))).alias("_w")))
+    keys = t.groupBy(key).agg(F.max(F.size("_x")).alias("_d"))
+    out = F.coalesce(F.transform("_v", lambda x: x * F.col("_w")), F.array_repeat(F.lit(0.0), F.col("_d")))
+    return keys.join(mean, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, out.alias(out_col))
 
 
 def request_plan(n_texts: Column, per_request: int = 100) -> Column:
@@ -130,17 +162,17 @@ def encode_remote(df: DataFrame, key: str, text_col: str, client_factory: Callab
                   dim: int, batch_size: int = 32, concurrency: int | None = None,
                   pause_s: float = REMOTE_PAUSE_S, backoff_s: float = REMOTE_BACKOFF_S,
                   attempts: int = REMOTE_ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``(key, embedding, status)`` from a remote service.
+    """The columns of ``df`` with ``embedding`` and ``status`` from a remote service.
 
     ``client_factory()`` returns an object with ``embed(list[str]) ->
     list[list[float]]``.  By default every partition calls the service; a
     shared quota can be respected by ``concurrency`` (that many partitions call
     at once).  Quota errors are retried with
-    back-off; other errors are raised; a batch that comes back short or empty
-    leaves its rows null with status ``"missing"``.
+    back-off; other errors are raised; rows that a short or empty reply leaves
+    out are null with status ``"missing"``.
     """
-    key_type = df.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, embedding array<double>, status string"
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType())),
+                           T.StructField("status", T.StringType())])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
@@ -152,47 +184,18 @@ def encode_remote(df: DataFrame, key: str, text_col: str, client_factory: Callab
                 if not first and pause_s:
                     sleep(pause_s)
                 first = False
-                vecs = _with_retry(lambda: client.embed(texts), attempts, backoff_s, sleep)
-                out = pd.DataFrame({key: part[key].to_numpy()})
-                if vecs is not None and len(vecs) == len(texts):
-                    out["embedding"] = [np.asarray(v, dtype=np.float64) for v in vecs]
-                    out["status"] = "ok"
-                else:
-                    out["embedding"] = None
-                    out["status"] = "missing"
-                yield out
-
-    src = df.select(key, text_col)
+                vecs = list(_with_retry(lambda: client.embed(texts), attempts, backoff_s, sleep) or [])[:len(texts)]
+                vecs += [None] * (len(texts) - len(vecs))
+                yield part.assign(embedding=pd.Series([None if v is None else np.asarray(v, np.float64) for v in vecs],
+                                                      index=part.index, dtype=object),
+                                  status=["missing" if v is None else "ok" for v in vecs])
+
+    src = df
     if concurrency:
         src = src.repartition(concurrency)
     return src.mapInPandas(call, schema)
 
 
-class HashingService:
-    """In-process stand-in for a remote embedding endpoint (no network): the
-    built-in hashing encoder computed in Python per request — used to drive
-    ``encode_remote`` over real tables and check it against SQL."""
-
-    _split = None
-
-    def __init__(self, dim: int = DEFAULT_DIM):
-        import regex
-        self.dim = dim
-        self._split = regex.compile(r"[^\p{L}\p{N}]+")
-
-    def embed(self, texts):
-        import hashlib
-        out = []
-        for t in texts:
-            c = np.zeros(self.dim)
-            for w in self._split.split((t or "").lower()):
-                if w:
-                    c[int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % self.dim] += 1
-            n = np.sqrt(c @ c)
-            out.append((c / n if n > 0 else c).tolist())
-        return out
-
-
 def _with_retry(fn, attempts, backoff_s, sleep):
     delay = backoff_s
     for i in range(attempts):

@@ -126,6 +126,13 @@ def confusion_wide(dense: DataFrame, classes) -> DataFrame:
     return dense.groupBy("true_class").pivot("predicted_class", [str(c) for c in classes]).agg(F.first("n"))
 
 
+def confusion_rows(dense: DataFrame) -> DataFrame:
+    """Display form with fixed columns: ``(true_class, counts)``, counts in class order."""
+    return (dense.groupBy("true_class")
+            .agg(F.array_sort(F.collect_list(F.struct("predicted_class", "n"))).alias("_c"))
+            .select("true_class", F.transform("_c", lambda x: x["n"]).alias("counts")))
+
+
 def mark_correct(df: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_class") -> DataFrame:
     return df.withColumn("correct", F.col(pred_col).eqNullSafe(F.col(true_col)))
 

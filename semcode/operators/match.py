@@ -1,21 +1,25 @@
 """Nearest-reference matching: each text gets the class of its most
 cosine-similar reference vector, or "Other" below a threshold.
 
-Plan shape
-----------
-* **Broadcast plan** (default when the reference matrix fits a checked byte
-  budget): the reference matrix (M x D doubles) is broadcast once; a scalar
-  Arrow UDF computes one GEMM per batch slice and returns a struct.  Only the
-  vector column crosses into Python; every pass-through column stays in the
-  JVM.  No shuffle at all: one narrow stage over the corpus.
-* **Blocked plan** (reference larger than the budget): references are split
-  into R hash blocks and the corpus into C hash chunks; each (block, chunk)
-  pair is one cogroup task holding N/C x M/R vectors, both sizes chosen from
-  the counts so no task holds an unbounded group.  Per-block winners
-  (N x R rows) are reduced with ``max_by`` — one shuffle on the key.
-
-Ties go to the lowest ``ref_id`` in both plans; all decisions use scores
-rounded to 9 decimals so that BLAS summation order cannot flip them.
+One behaviour at every reference size.  Only (row number, vector) of a
+reference takes part in the search; class and node are joined to the winner
+afterwards, so texts never travel with the vectors.  Reference rows without a
+vector cannot be matched and are left out (``reference_report`` counts them).
+
+* **Broadcast plan** (reference matrix within a checked byte budget, or a
+  streaming corpus): the matrix is broadcast in slices of at most
+  ``block_bytes`` and a scalar Arrow UDF computes one GEMM per batch and
+  slice.  Only the vector column crosses into Python; the search is one narrow
+  stage over the corpus.
+* **Blocked plan** (above the budget): corpus rows get an internal number and
+  are written once to the shared checkpoint folder; references in R blocks meet
+  the corpus in C chunks, one cogroup task per pair with sizes from the counts;
+  winners are reduced by the internal number, so repeated or missing keys do
+  not mix.
+
+Ties go to the lowest ``ref_id`` (then the reference's own order) in both
+plans; decisions use scores rounded to 9 decimals so that BLAS summation order
+cannot flip them.
 """
 
 from __future__ import annotations
@@ -23,26 +27,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from semcode.functions.vectors import SCORE_DECIMALS
+from semcode.session import checkpoint_dir
 
 OTHER = "Other"
 DEFAULT_BROADCAST_BYTES = 256 << 20   # reference matrix budget (doubles)
 DEFAULT_BLOCK_BYTES = 64 << 20        # one GEMM slice: rows x M x 8 bytes
 
-MATCH_FIELDS = [
-    T.StructField("best_ref_id", T.LongType()),
-    T.StructField("best_class", T.StringType()),
-    T.StructField("best_node", T.StringType()),
-    T.StructField("similarity_score", T.DoubleType()),
-]
-
 
 def check_threshold(threshold: float) -> float:
     if threshold is None or not 0 <= threshold <= 1:
@@ -50,13 +45,17 @@ def check_threshold(threshold: float) -> float:
     return float(threshold)
 
 
-def _stack(values, dim: int) -> np.ndarray:
-    mat = np.zeros((len(values), dim), dtype=np.float64)
-    for i, v in enumerate(values):
-        if len(v) != dim:
-            raise ValueError(f"vector of length {len(v)} where {dim} was expected")
-        mat[i] = v
-    return mat
+def _matrix(values, dim: int) -> np.ndarray:
+    """Rows of an Arrow list column (no nulls) or a sequence of vectors as one matrix."""
+    if isinstance(values, pa.Array):
+        lengths = values.value_lengths().to_numpy(zero_copy_only=False)
+        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    else:
+        lengths = np.fromiter((len(v) for v in values), np.int64, len(values))
+        flat = np.concatenate([np.asarray(v, np.float64) for v in values]) if len(values) else np.zeros(0)
+    if (lengths != dim).any():
+        raise ValueError(f"vector of length {lengths[lengths != dim][0]} where {dim} was expected")
+    return flat.reshape(len(lengths), dim)
 
 
 def _similarities(x: np.ndarray, ref: np.ndarray, ref_norm: np.ndarray) -> np.ndarray:
@@ -67,85 +66,94 @@ def _similarities(x: np.ndarray, ref: np.ndarray, ref_norm: np.ndarray) -> np.nd
     return np.round(np.where(denom == 0.0, 0.0, dots / safe), SCORE_DECIMALS)
 
 
-def _load_reference(reference: DataFrame, ref_key, vec, class_col, node_col):
-    pdf = (reference.select(F.col(ref_key).cast("long").alias("k"),
-                            F.col(class_col).cast("string").alias("c"),
-                            F.col(node_col).cast("string").alias("n"), F.col(vec).alias("v"))
-           .orderBy("k").toPandas())
-    dim = len(pdf["v"].iloc[0])
-    mat = _stack(pdf["v"].tolist(), dim)
-    return {
-        "ids": pdf["k"].to_numpy(dtype=np.int64),
-        "classes": pdf["c"].to_numpy(dtype=object),
-        "nodes": pdf["n"].to_numpy(dtype=object),
-        "mat": mat,
-        "norm": np.sqrt(np.einsum("ij,ij->i", mat, mat)),
-        "dim": dim,
-    }
-
-
 def reference_stats(reference: DataFrame, vec: str = "embedding"):
-    """(rows, dimension) of a reference table — one small aggregate job."""
-    row = reference.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    """(rows with a vector, dimension) of a reference table: one small aggregate job."""
+    row = reference.agg(F.count(vec).alias("n"), F.max(F.size(vec)).alias("d")).first()
     return int(row["n"]), int(row["d"] or 0)
 
 
-def _best_in_block(x, p, chunk_rows, keep_all):
-    """Winners for the rows of ``x`` against the reference payload ``p``."""
-    n = x.shape[0]
-    best = np.full(n, -1, dtype=np.int64)
-    score = np.full(n, np.nan)
-    sims = [None] * n if keep_all else None
-    for s in range(0, n, chunk_rows):
-        sl = slice(s, min(n, s + chunk_rows))
-        sim = _similarities(x[sl], p["mat"], p["norm"])
-        j = sim.argmax(axis=1)  # first maximum = lowest ref_id (rows sorted by ref_id)
-        best[sl] = j
-        score[sl] = sim[np.arange(sim.shape[0]), j]
-        if keep_all:
-            for r in range(sim.shape[0]):
-                sims[s + r] = sim[r].tolist()
-    return best, score, sims
-
-
-def _broadcast_udf(bc, keep_all: bool, block_bytes: int):
-    fields = list(MATCH_FIELDS)
-    if keep_all:
-        fields.append(T.StructField("all_similarities", T.ArrayType(T.DoubleType())))
-    schema = T.StructType(fields)
-
-    @F.pandas_udf(schema)
-    def best_reference(vs: pd.Series) -> pd.DataFrame:
-        p = bc.value
-        m = len(p["ids"])
-        chunk = max(1, block_bytes // (8 * max(1, m)))
-        ok = vs.notna().to_numpy()
-        n = len(vs)
-        out = pd.DataFrame({
-            "best_ref_id": pd.array([None] * n, dtype="Int64"),
-            "best_class": pd.Series([None] * n, dtype=object),
-            "best_node": pd.Series([None] * n, dtype=object),
-            "similarity_score": np.full(n, np.nan),
-        })
-        if keep_all:
-            out["all_similarities"] = pd.Series([None] * n, dtype=object)
+def reference_report(reference: DataFrame, vec: str = "embedding") -> DataFrame:
+    """One row: reference rows, and those left out because they have no vector."""
+    return reference.agg(F.count(F.lit(1)).alias("n_reference"), F.count_if(F.col(vec).isNull()).alias("n_without_vector"))
+
+
+def _best(x: np.ndarray, mat: np.ndarray, chunk_rows: int):
+    """(position, score) of the first best reference row for each row of ``x``."""
+    norm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+    best, score = np.empty(len(x), np.int64), np.empty(len(x))
+    for s in range(0, len(x), chunk_rows):
+        sim = _similarities(x[s:s + chunk_rows], mat, norm)
+        j = sim.argmax(axis=1)  # first maximum: rows are in reference order
+        best[s:s + chunk_rows] = j
+        score[s:s + chunk_rows] = sim[np.arange(len(sim)), j]
+    return best, score
+
+
+def _search_udf(slices, dim: int, block_bytes: int):
+    """Arrow UDF: vector -> (reference row, score) over the broadcast slices."""
+    def search(vec: pa.Array) -> pa.Array:
+        ok = vec.is_valid().to_numpy(zero_copy_only=False)
+        row, score = np.full(len(vec), -1, np.int64), np.full(len(vec), -np.inf)
         if ok.any():
-            x = _stack(vs[ok].tolist(), p["dim"])
-            j, sc, sims = _best_in_block(x, p, chunk, keep_all)
-            rows = np.flatnonzero(ok)
-            out.loc[rows, "best_ref_id"] = p["ids"][j]
-            out.loc[rows, "best_class"] = p["classes"][j]
-            out.loc[rows, "best_node"] = p["nodes"][j]
-            out.loc[rows, "similarity_score"] = sc
-            if keep_all:
-                out.loc[rows, "all_similarities"] = pd.Series(sims, index=rows, dtype=object)
-        out["similarity_score"] = out["similarity_score"].astype("float64")
-        return out
+            x = _matrix(vec.drop_null(), dim)
+            best_row, best_score = np.full(len(x), -1, np.int64), np.full(len(x), -np.inf)
+            for bc in slices:
+                rows, mat = bc.value
+                j, sc = _best(x, mat, max(1, block_bytes // (8 * len(mat))))
+                better = sc > best_score  # an equal score keeps the earlier slice
+                best_row[better], best_score[better] = rows[j[better]], sc[better]
+            row[ok], score[ok] = best_row, best_score
+        return pa.StructArray.from_arrays([pa.array(row, mask=~ok), pa.array(score, mask=~ok)], names=["row", "score"])
 
     # Marked non-deterministic only so the optimizer never copies the GEMM
     # into a pushed-down filter or a collapsed projection (it would then run
     # once per reference to a result field).  The function itself is pure.
-    return best_reference.asNondeterministic()
+    return F.arrow_udf(search, "row long, score double").asNondeterministic()
+
+
+def _similarity_udf(slices, dim: int):
+    """Arrow UDF: vector -> all similarities in reference order."""
+    def every(vec: pa.Array) -> pa.Array:
+        ok = vec.is_valid().to_numpy(zero_copy_only=False)
+        mats = [bc.value[1] for bc in slices]
+        m = sum(len(x) for x in mats)
+        sim = np.zeros((int(ok.sum()), m))
+        if len(sim):
+            x = _matrix(vec.drop_null(), dim)
+            sim = np.concatenate([_similarities(x, r, np.sqrt(np.einsum("ij,ij->i", r, r))) for r in mats], axis=1)
+        ends = np.concatenate(([0], np.cumsum(np.where(ok, m, 0))))
+        mask = pa.array(np.append(~ok, False))
+        offsets = pa.array(ends.astype(np.int32), mask=mask.to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(offsets, pa.array(sim.ravel()))
+
+    return F.arrow_udf(every, "array<double>").asNondeterministic()
+
+
+def _numbered(reference: DataFrame, ref_key: str, class_col: str, node_col: str, vec: str) -> DataFrame:
+    """Reference rows with a vector and an internal number, written once: the
+    search, the size check and the final join read the same numbers."""
+    checkpoint_dir(reference.sparkSession)
+    return (reference.where(F.col(vec).isNotNull())
+            .select(F.monotonically_increasing_id().alias("__row"), F.col(ref_key).cast("long").alias("best_ref_id"),
+                    F.col(class_col).cast("string").alias("best_class"),
+                    F.col(node_col).cast("string").alias("best_node"), F.col(vec).cast("array<double>").alias("__vec"))
+            .checkpoint(eager=True))
+
+
+def _broadcast_slices(ref: DataFrame, dim: int, block_bytes: int):
+    """The vectors in ``ref_id`` order, in broadcast slices (the total is within
+    the checked budget)."""
+    t = ref.select("best_ref_id", "__row", "__vec").orderBy("best_ref_id", "__row").toArrow()
+    rows, mat = t.column("__row").to_numpy(), _matrix(t.column("__vec").combine_chunks(), dim)
+    step = max(1, block_bytes // (8 * max(1, dim)))
+    sc = ref.sparkSession.sparkContext
+    return [sc.broadcast((rows[i:i + step], mat[i:i + step])) for i in range(0, len(rows), step)]
+
+
+def release(matches: DataFrame) -> None:
+    """Destroy the broadcasts behind a result of ``match`` that is no longer used."""
+    for bc in getattr(matches, "_broadcasts", ()):
+        bc.destroy()
 
 
 def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",
@@ -158,79 +166,64 @@ def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",
 
     The best match does not depend on the threshold, so this table is computed
     once and every threshold (``apply_threshold``, the sweep) reads it.
-    """
-    # the size check and the collection read one materialised copy of the
-    # reference (it is usually itself a job: a join + an encoder)
-    ref = reference.select(ref_key, class_col, node_col, vec).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_ref, dim = reference_stats(ref, vec)
-        if n_ref == 0:
-            raise ValueError("The reference set is empty.")
-        fits = n_ref * dim * 8 <= max_broadcast_bytes
-        payload = _load_reference(ref, ref_key, vec, class_col, node_col) if fits else None
-    finally:
-        ref.unpersist()
-    spark = corpus.sparkSession
-    if fits:
-        bc = spark.sparkContext.broadcast(payload)
-        udf = _broadcast_udf(bc, keep_all, block_bytes)
-        tmp = "__match"
-        out = corpus.withColumn(tmp, udf(F.col(vec)))
-        extra = [F.col(f"{tmp}.{f.name}").alias(f.name) for f in udf.returnType.fields]
-        return out.select(*[F.col(c) for c in corpus.columns], *extra)
-    if keep_all:
+    ``keep_all`` writes one number per reference and row; use it for a stated
+    set of query rows, not for a corpus."""
+    ref = _numbered(reference, ref_key, class_col, node_col, vec)
+    n_ref, dim = reference_stats(ref, "__vec")
+    if n_ref == 0:
+        raise ValueError("The reference set is empty.")
+    fits = n_ref * dim * 8 <= max_broadcast_bytes
+    if keep_all and not fits:
         raise ValueError("keep_all needs the broadcast plan: the reference set "
                          f"({n_ref} x {dim}) is over max_broadcast_bytes")
-    return _match_blocked(corpus, reference, key, vec, ref_key, class_col, node_col,
-                          n_ref, dim, block_bytes)
-
-
-def _match_blocked(corpus, reference, key, vec, ref_key, class_col, node_col,
-                   n_ref, dim, block_bytes) -> DataFrame:
+    slices = _broadcast_slices(ref, dim, block_bytes) if fits or corpus.isStreaming else []
+    # an explicit array<double>: the UDF reads Arrow buffers of doubles
+    vectors = F.col(vec).cast("array<double>")
+    if slices:
+        found = corpus.withColumn("__match", _search_udf(slices, dim, block_bytes)(vectors))
+        if keep_all:
+            found = found.withColumn("all_similarities", _similarity_udf(slices, dim)(vectors))
+        found = found.withColumns({"__row": F.col("__match.row"), "similarity_score": F.col("__match.score")}).drop("__match")
+    else:
+        found = _blocked(corpus, ref, vec, n_ref, dim, block_bytes)
+    out = found.join(ref.drop("__vec"), "__row", "left").select(
+        *[F.col(f"`{c}`") for c in corpus.columns], "best_ref_id", "best_class", "best_node", "similarity_score",
+        *(["all_similarities"] if keep_all else []))
+    out._broadcasts = slices
+    return out
+
+
+def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int, block_bytes: int) -> DataFrame:
+    """Corpus columns + ``__row`` and ``similarity_score`` by reference blocks."""
     spark = corpus.sparkSession
-    n_rows = corpus.count()
+    corpus = corpus.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
     ref_blocks = max(1, math.ceil(n_ref * dim * 8 / block_bytes))
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                 math.ceil(n_rows * dim * 8 / block_bytes))
-    ref_side = (reference.select(F.col(ref_key).cast("long").alias("_rid"),
-                                 F.col(class_col).cast("string").alias("_cls"),
-                                 F.col(node_col).cast("string").alias("_node"),
-                                 F.col(vec).alias("_v"))
-                .withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(ref_blocks)))
-                .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
-    q_side = (corpus.select(F.col(key).alias("_key"), F.col(vec).alias("_v"))
-              .where(F.col("_v").isNotNull())
-              .withColumn("_cb", F.pmod(F.xxhash64("_key"), F.lit(chunks)))
-              .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(ref_blocks - 1)))))
-    key_type = corpus.schema[key].dataType.simpleString()
-    out_schema = (f"_key {key_type}, best_ref_id long, best_class string, "
-                  "best_node string, similarity_score double")
+                 math.ceil(corpus.count() * dim * 8 / block_bytes))
+    ref_side = (ref.select("__row", "best_ref_id", "__vec")
+                .withColumn("__rb", F.pmod(F.xxhash64("__row"), F.lit(ref_blocks)))
+                .withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
+    q_side = (corpus.select("__id", F.col(vec).cast("array<double>").alias("__vec")).where(F.col("__vec").isNotNull())
+              .withColumn("__cb", F.pmod(F.xxhash64("__id"), F.lit(chunks)))
+              .withColumn("__rb", F.explode(F.sequence(F.lit(0), F.lit(ref_blocks - 1)))))
     chunk_rows = max(1, block_bytes // (8 * max(1, math.ceil(n_ref / ref_blocks))))
 
-    def block(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"_key": pd.Series([], dtype=q["_key"].dtype if "_key" in q else "int64"),
-                                 "best_ref_id": pd.Series([], dtype="int64"),
-                                 "best_class": pd.Series([], dtype=object),
-                                 "best_node": pd.Series([], dtype=object),
-                                 "similarity_score": pd.Series([], dtype="float64")})
-        r = r.sort_values("_rid")
-        mat = _stack(r["_v"].tolist(), dim)
-        p = {"mat": mat, "norm": np.sqrt(np.einsum("ij,ij->i", mat, mat))}
-        j, sc, _ = _best_in_block(_stack(q["_v"].tolist(), dim), p, chunk_rows, False)
-        return pd.DataFrame({"_key": q["_key"].to_numpy(),
-                             "best_ref_id": r["_rid"].to_numpy()[j],
-                             "best_class": r["_cls"].to_numpy()[j],
-                             "best_node": r["_node"].to_numpy()[j],
-                             "similarity_score": sc})
-
-    partial = (q_side.groupBy("_rb", "_cb").cogroup(ref_side.groupBy("_rb", "_cb"))
-               .applyInPandas(block, out_schema))
-    win = F.max_by(F.struct("best_ref_id", "best_class", "best_node", "similarity_score"),
-                   F.struct(F.col("similarity_score"), -F.col("best_ref_id")))
-    best = (partial.groupBy("_key").agg(win.alias("_w"))
-            .select(F.col("_key").alias(key), "_w.*"))
-    return corpus.join(best, on=key, how="left")
+    def block(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return pa.table({"__id": pa.array([], pa.int64()), "__row": pa.array([], pa.int64()),
+                             "best_ref_id": pa.array([], pa.int64()), "similarity_score": pa.array([], pa.float64())})
+        r = r.sort_by([("best_ref_id", "ascending"), ("__row", "ascending")])
+        j, score = _best(_matrix(q.column("__vec").combine_chunks(), dim), _matrix(r.column("__vec").combine_chunks(), dim),
+                         chunk_rows)
+        return pa.table({"__id": q.column("__id"), "__row": r.column("__row").take(pa.array(j)),
+                         "best_ref_id": r.column("best_ref_id").take(pa.array(j)), "similarity_score": pa.array(score)})
+
+    partial = (q_side.groupBy("__rb", "__cb").cogroup(ref_side.groupBy("__rb", "__cb"))
+               .applyInArrow(block, "__id long, __row long, best_ref_id long, similarity_score double"))
+    best = partial.groupBy("__id").agg(F.max_by(
+        F.struct("__row", "similarity_score"),
+        F.struct("similarity_score", -F.col("best_ref_id"), -F.col("__row"))).alias("__w"))
+    return corpus.join(best.select("__id", "__w.*"), "__id", "left").drop("__id")
 
 
 def apply_threshold(matches: DataFrame, threshold: float, *, score_col: str = "similarity_score",
@@ -257,23 +250,14 @@ def match_rate(matches: DataFrame, threshold: float, score_col: str = "similarit
                        F.avg(hit.cast("double")).alias("match_share"))
 
 
-def class_distribution(df: DataFrame, class_col: str = "predicted_class", top: int | None = 10) -> DataFrame:
-    """Counts per predicted class, largest first (ties by class name)."""
+def class_distribution(df: DataFrame, class_col: str = "predicted_class", top: int | None = None) -> DataFrame:
+    """Counts per predicted class, largest first (ties by class name); all
+    classes, or the ``top`` first ones for a display."""
     out = (df.groupBy(F.col(class_col).alias("class")).agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), F.asc("class")))
     return out.limit(top) if top else out
 
 
-def all_similarities_long(matches: DataFrame, reference_ids: DataFrame, key: str = "doc_id",
-                          ref_key: str = "ref_id") -> DataFrame:
-    """Explode ``all_similarities`` to (key, ref_id, similarity); position i is
-    the i-th reference in ``ref_id`` order (a bounded, broadcastable table)."""
-    ranked = reference_ids.select(F.col(ref_key).cast("long").alias("ref_id")).withColumn(
-        "pos", F.row_number().over(Window.orderBy("ref_id")) - 1)
-    ex = matches.select(F.col(key), F.posexplode("all_similarities").alias("pos", "similarity"))
-    return ex.join(F.broadcast(ranked), "pos").select(key, "ref_id", "similarity")
-
-
 def avg_similarity_by_class(df: DataFrame, class_col: str = "predicted_class",
                             score_col: str = "similarity_score") -> DataFrame:
     return (df.groupBy(F.col(class_col).alias("class"))

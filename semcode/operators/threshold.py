@@ -50,7 +50,7 @@ def grid_frame(spark, grid) -> DataFrame:
 
 
 def bucketed(matches: DataFrame, grid, true_col="true_label", class_col="best_class",
-             score_col="similarity_score") -> DataFrame:
+             score_col="similarity_score", key="doc_id") -> DataFrame:
     """Per-row bucket = number of grid points <= score (rows without a score or
     a true label are left out)."""
     pts = F.array(*[F.lit(float(t)) for t in grid])
@@ -59,7 +59,7 @@ def bucketed(matches: DataFrame, grid, true_col="true_label", class_col="best_cl
             .select(F.col(true_col).cast("string").alias("true_class"),
                     F.col(class_col).cast("string").alias("best_class"),
                     F.size(F.filter(pts, lambda t: t <= s)).alias("bucket"),
-                    *([F.col("doc_id")] if "doc_id" in matches.columns else [])))
+                    *([F.col(key)] if key in matches.columns else [])))
 
 
 def sweep_cells(matches: DataFrame, grid, **kw) -> DataFrame:
@@ -67,10 +67,11 @@ def sweep_cells(matches: DataFrame, grid, **kw) -> DataFrame:
     return bucketed(matches, grid, **kw).groupBy(*CELL_COLS).agg(F.count(F.lit(1)).alias("n"))
 
 
-def expand(cells: DataFrame, m: int, group_cols=()) -> DataFrame:
-    """Confusion cells of every grid index: ``(group..., threshold_idx,
-    true_class, predicted_class, n)``."""
-    j = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("threshold_idx")
+def expand(cells: DataFrame, m: int, group_cols=(), at: int | None = None) -> DataFrame:
+    """Confusion cells of every grid index (or of ``at`` alone): ``(group...,
+    threshold_idx, true_class, predicted_class, n)``."""
+    j = F.lit(at) if at is not None else F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    j = j.alias("threshold_idx")
     ex = cells.select(*group_cols, *CELL_COLS, "n", j)
     pred = F.when(F.col("bucket") > F.col("threshold_idx"), F.col("best_class")).otherwise(F.lit(OTHER))
     return (ex.groupBy(*group_cols, F.col("threshold_idx").cast("int").alias("threshold_idx"),
@@ -100,17 +101,19 @@ def optimum(curve: DataFrame, metric: str = "f1_macro") -> DataFrame:
 
 
 def sweep_intervals(matches: DataFrame, start=0.0, end=1.0, step=0.01, n_iterations: int = 100,
-                    level: float = 0.95, seed: int = 0, method: str = "cells", **kw) -> DataFrame:
+                    level: float = 0.95, seed: int = 0, method: str = "cells", key: str = "doc_id",
+                    at: int | None = None, cells: DataFrame | None = None, **kw) -> DataFrame:
     """``(threshold_idx, metric, level, lower, upper)``: the same resampled rows
-    are used for every threshold (one draw per iteration)."""
+    are used for every threshold (one draw per iteration).  ``at`` scores one
+    grid index only; ``cells`` takes sweep cells that are already there."""
     grid = threshold_grid(start, end, step)
     if method == "cells":
-        drawn = B.draw_cells(sweep_cells(matches, grid, **kw), CELL_COLS, n_iterations, seed)
+        drawn = B.draw_cells(sweep_cells(matches, grid, **kw) if cells is None else cells, CELL_COLS, n_iterations, seed)
     elif method == "rows":
-        drawn = B.draw_rows(bucketed(matches, grid, **kw), "doc_id", CELL_COLS, n_iterations, seed)
+        drawn = B.draw_rows(bucketed(matches, grid, key=key, **kw), key, CELL_COLS, n_iterations, seed)
     else:
         raise ValueError(f"Unknown bootstrap method: {method}")
-    cells = expand(drawn, len(grid), ["iteration"])
+    cells = expand(drawn, len(grid), ["iteration"], at)
     reps = B.long_metrics(E.summary(cells, ["iteration", "threshold_idx"]), ["iteration", "threshold_idx"])
     return B.intervals(reps, [level], ["threshold_idx"])
 

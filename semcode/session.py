@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,13 +42,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting must name a shared, fault-tolerant folder and is
-    read as given.  Only when it is unset (local runs and tests) do we pick a
-    scratch folder of our own.
+    read as given; so is a folder already set on the context.  Only a local
+    master may go without: one scratch folder per application is made then.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    path = path or current
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="semcode-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if sc.getCheckpointDir() is None:
+    if current is None:
         sc.setCheckpointDir(path)
     return path
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for an output that a query writes and
+    reads back; deleted when the process ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_delete_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _delete_scratch() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            if spark.sparkContext._jsc is None:
+                continue
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session has ended
+            return

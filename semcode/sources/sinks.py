@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from semcode.sources.tables import csv_reader
+
 
 def save_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                  partition_by=None) -> None:
@@ -18,6 +20,14 @@ def save_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
         w.format(fmt).save(path)
 
 
+def read_results(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """What ``save_results`` wrote, with its types; in CSV a missing field is null
+    and a quoted empty one is ""."""
+    if fmt == "csv":
+        return csv_reader(spark).schema(schema).csv(path)
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
 def save_reference_set(reference: DataFrame, path: str) -> None:
     """Persist an embedded reference set (``ref_id, class, node, embedding``)."""
     reference.write.mode("overwrite").parquet(path)

@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: stands for a missing CSV field while reading, so that a quoted "" stays ""
+MISSING = "\u0000missing"
+
+
+def csv_reader(spark: SparkSession, multi_line: bool = True):
+    """Quoted CSV with a header; only fields without any character are null.
+    ``multi_line=False`` lets one large file be read by many tasks."""
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
+            .option("escape", '"').option("nullValue", MISSING))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               null_values: tuple[str, ...] = ("",)) -> DataFrame:
-    """Parquet by default; CSV (header, quoted multi-line fields) by extension.
+               null_values: tuple[str, ...] = ("",), multi_line: bool = True) -> DataFrame:
+    """Parquet by default; CSV (header, quoted fields) by extension.
 
-    CSV: only the empty string is null by default (pandas would also turn
-    ``NA``/``nan`` into null — pass ``null_values`` to get that).  Columns are
-    read as strings: no schema inference pass over the data.
+    CSV: missing fields are null, and so are the texts in ``null_values`` (by
+    default the empty one; pandas would also turn ``NA``/``nan`` into null).
+    Columns are read as strings: no schema inference pass over the data.
+    Fields that span lines need ``multi_line`` (one task per file).
     """
     fmt = fmt or ("csv" if path.lower().endswith((".csv", ".csv.gz")) else "parquet")
     if fmt == "csv":
-        r = (spark.read.option("header", True).option("multiLine", True)
-             .option("quote", '"').option("escape", '"'))
-        df = r.csv(path)
-        extra = [v for v in null_values if v != ""]
-        if extra:
-            df = df.select(*[F.when(F.col(c).isin(*extra), F.lit(None)).otherwise(F.col(c)).alias(c)
+        df = csv_reader(spark, multi_line).csv(path)
+        if null_values:
+            df = df.select(*[F.when(F.col(f"`{c}`").isin(*null_values), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
                              for c in df.columns])
         return df
     return spark.read.format(fmt).load(path)

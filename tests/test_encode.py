@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semcode.operators import encode as EN
+from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +52,9 @@ def test_remote_retry_and_status(spark):
     assert all(r["status"] == "ok" for r in ok) and len(ok) == 5
     short = EN.encode_remote(df, "doc_id", "text", lambda: FakeClient(short=True), dim=2, batch_size=10,
                              sleep=lambda s: None).collect()
-    assert all(r["status"] == "missing" and r["embedding"] is None for r in short)
+    # the vector that did not come is null; the others stay with their rows
+    assert sorted((r["status"], r["embedding"] is None) for r in short) == [("missing", True)] + [("ok", False)] * 4
+    assert short[0].asDict().keys() == {"doc_id", "text", "embedding", "status"}
     with pytest.raises(Exception):
         EN.encode_remote(df, "doc_id", "text", lambda: FakeClient(fail_times=1, error="boom"), dim=2,
                          sleep=lambda s: None).collect()
@@ -60,6 +63,40 @@ def test_remote_retry_and_status(spark):
                          sleep=lambda s: None).collect()
 
 
+def test_hashing_encoder_equals_the_sql_form(texts):
+    a = {r["doc_id"]: r["embedding"] for r in EN.hashed_encode(texts, dim=16).collect()}
+    b = {r["doc_id"]: r["embedding"] for r in
+         EN.encode_with(texts, "text", lambda: EN.hashing_encoder(16), dedupe=True).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_dedupe_encodes_each_distinct_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def encode(batch):
+            seen.add(len(batch))
+            return np.ones((len(batch), 2))
+        return encode
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(200)], "doc_id long, text string")
+    assert len(EN.encode_with(df, "text", factory, dedupe=True).collect()) == 200 and seen.value == 7
+    with pytest.raises(ValueError):
+        EN.encode_with(df, "nope", factory)
+
+
+def test_remote_over_documents(spark):
+    """The remote host against an in-process client that hashes words."""
+    class Client:
+        def embed(self, batch):
+            return EN.hashing_encoder(16)(batch).tolist()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    out = EN.encode_remote(docs, "doc_id", "text", Client, dim=16, pause_s=0.0)
+    assert out.columns == ["doc_id", "text", "lang", "embedding", "status"]
+    want = {r["doc_id"]: r["embedding"] for r in EN.hashed_encode(docs, dim=16).collect()}
+    got = {r["doc_id"]: r["embedding"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_retry_delays():
     slept = []
     calls = {"n": 0}

@@ -65,6 +65,17 @@ def test_threshold_range(spark, ref, docs):
             M.apply_threshold(m, bad)
 
 
+@pytest.mark.parametrize("budget", [M.DEFAULT_BROADCAST_BYTES, 0])
+def test_repeated_and_missing_keys_and_vectors(spark, budget):
+    ref = spark.createDataFrame([(1, "A", "a", [1.0, 0.0]), (2, "B", "b", [0.0, 1.0]), (3, "C", "c", None),
+                                 (1, "A2", "a2", [1.0, 0.0])], REF_SCHEMA)
+    corpus = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.5, 1.0]), (None, [0.0, 1.0]), (None, None)], DOC_SCHEMA)
+    m = M.match(corpus, ref, max_broadcast_bytes=budget, block_bytes=16)
+    got = sorted(((r.doc_id, r.best_ref_id, r.similarity_score and round(r.similarity_score, 3)) for r in m.collect()), key=str)
+    assert got == sorted([(7, 1, 1.0), (7, 2, 0.894), (None, 2, 1.0), (None, None, None)], key=str)
+    assert M.reference_report(ref).first().asDict() == {"n_reference": 4, "n_without_vector": 1}
+
+
 def test_empty_reference(spark, docs):
     with pytest.raises(ValueError):
         M.match(docs, spark.createDataFrame([], REF_SCHEMA))
