@@ -89,9 +89,10 @@ def sample(df: DataFrame, sampling_type: str = "random", sample_size_=0.1,
     Stratified quotas follow the reference: ``max(1, int(n * share))`` capped
     at the stratum size, so the total can differ from n.
 
-    The data is read twice: once for the bounded (stratum, rank-bucket) count
-    table — it gives N, the stratum sizes and the cut buckets — and once to
-    select the rows.
+    The data is read three times: keys and strata alone for the bounded
+    (stratum, rank-bucket) count table, which gives N, the stratum sizes and the
+    cut buckets; then the rows below the cut buckets, and those of the cut
+    buckets, which are ranked.
     """
     if sampling_type not in ("random", "stratified"):
         raise ValueError(f"Unknown sampling type: {sampling_type}")

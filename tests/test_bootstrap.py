@@ -36,6 +36,19 @@ def test_cells_agree_with_rows(pred):
         assert cc[m]["point"] == pytest.approx(rr[m]["point"])
 
 
+def test_draws_sum_to_the_rows_whatever_the_slices(spark):
+    cells = spark.createDataFrame([("a", f"p{i}", i % 7 + 1) for i in range(300)] + [("b", "a", 5), ("c", "c", 0)],
+                                  "true_class string, predicted_class string, n long")
+    n = cells.agg(F.sum("n")).first()[0]
+    drawn = B.draw_cells(cells, ["true_class", "predicted_class"], 40, 5)
+    sums = {r["iteration"]: r["n"] for r in drawn.groupBy("iteration").agg(F.sum("n").alias("n")).collect()}
+    assert sums == {i: n for i in range(40)}
+    again = B.draw_cells(cells.repartition(7), ["true_class", "predicted_class"], 40, 5)
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
+    mean = drawn.where("true_class = 'b'").agg(F.sum("n") / 40).first()[0]
+    assert abs(mean - 5) < 2
+
+
 def test_dense_index(spark):
     df = spark.range(0, 1000).withColumnRenamed("id", "doc_id")
     idx = B.dense_index(df, "doc_id")

@@ -27,6 +27,32 @@ def test_spread_only_when_needed(spark):
     assert spread(many, "id") is many
 
 
+def test_building_a_spread_plan_runs_no_job(spark):
+    from semcode.operators import topics as TP
+    from semcode.plans import classify as C
+    docs = I.table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    truth = I.doc_labelled(spark, SF_SMALL)
+    sc = spark.sparkContext
+    group = uuid.uuid4().hex
+    sc.setJobGroup(group, "plans only")
+    try:
+        C.encode_corpus(spread(docs, "doc_id").join(truth, "doc_id"), "text")
+        clusters = docs.groupBy("lang").count()
+        TP.dictionary(TP.tokenize(docs.join(clusters, "lang").withColumn("cluster", F.lit(0)), "doc_id", "text"), "doc_id")
+        assert list(sc.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_csv_keeps_empty_apart_from_missing(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "x\ny")], "doc_id long, text string")
+    path = os.path.join(checkpoint_dir(spark), f"t-{uuid.uuid4().hex}")
+    SK.save_results(df, path, fmt="csv")
+    assert sorted(map(tuple, SK.read_results(spark, path, df.schema, fmt="csv").collect())) == sorted(map(tuple, df.collect()))
+    assert ST.null_report(ST.load_corpus(spark, path, "text", fmt="csv", null_values=()), ["text"]).first()["nulls_text"] == 1
+    assert ST.null_report(ST.load_corpus(spark, path, "text", fmt="csv"), ["text"]).first()["nulls_text"] == 2
+
+
 def test_checkpoint_dir_is_read_from_session(spark):
     d = checkpoint_dir(spark)
     assert d and spark.sparkContext.getCheckpointDir() is not None
@@ -49,6 +75,20 @@ def test_csv_round_trip_and_required_columns(spark):
         pass
 
 
+def test_stream_above_the_broadcast_budget(spark):
+    from semcode.operators import match as M
+    schema = I.table(spark, SF_SMALL, "embeddings").schema
+    stream = (CS.file_stream(spark, SF_SMALL, schema, glob="embeddings.parquet")
+              .where(~I.is_reference("vec_id")).select(F.col("vec_id").alias("doc_id"), "embedding"))
+    ref = I.embedding_reference(spark, SF_SMALL)
+    base = os.path.join(checkpoint_dir(spark), f"s-{uuid.uuid4().hex}")
+    out = M.match(stream, ref, max_broadcast_bytes=0, block_bytes=4096)
+    CS.run_available(out.select("doc_id", "best_ref_id", "best_class"), base + "/out", base + "/state")
+    want = M.match(I.embedding_corpus(spark, SF_SMALL), ref).select("doc_id", "best_ref_id", "best_class")
+    got = spark.read.parquet(base + "/out")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 def test_stream_equals_batch(spark):
     schema = I.table(spark, SF_SMALL, "embeddings").schema
     stream = (CS.file_stream(spark, SF_SMALL, schema, glob="embeddings.parquet")
