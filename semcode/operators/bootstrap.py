@@ -92,16 +92,13 @@ def draw_cells(cells: DataFrame, cell_cols, n_iterations: int, seed: int, count_
     def draw(key, pdf):
         pdf = pdf.sort_values(list(cell_cols), kind="stable")
         p = (pdf["n"] / pdf["n"].sum()).to_numpy()
-        want = drawn.value[key[0]]
-        parts = []
-        for it in range(key[1] * step, min(n_iterations, (key[1] + 1) * step)):
-            rng = np.random.default_rng([seed, it, zlib.crc32(str(key[0]).encode())])
-            k = rng.multinomial(want[it], p)
-            keep = k > 0
-            out = pdf.loc[keep, list(cell_cols)].copy()
-            out["iteration"], out["n"] = it, k[keep]
-            parts.append(out)
-        return pd.concat(parts, ignore_index=True)
+        want, name = drawn.value[key[0]], zlib.crc32(str(key[0]).encode())
+        its = range(key[1] * step, min(n_iterations, (key[1] + 1) * step))
+        k = np.stack([np.random.default_rng([seed, it, name]).multinomial(want[it], p) for it in its])
+        i, j = np.nonzero(k)
+        out = pdf[list(cell_cols)].iloc[j].reset_index(drop=True)
+        out["iteration"], out["n"] = i + its.start, k[i, j]
+        return out
 
     return (fixed.where("n > 0").withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
             .groupBy(first, "__slice").applyInPandas(draw, schema).select("iteration", *cell_cols, "n"))

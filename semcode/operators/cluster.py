@@ -186,12 +186,11 @@ def cluster_sizes(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
 
 
 def centroids(df: DataFrame, cluster_col: str, vec: str) -> DataFrame:
-    """``(cluster, centroid ARRAY<DOUBLE>, n)`` — element-wise mean per cluster."""
-    ex = df.select(F.col(cluster_col).alias("cluster"), F.posexplode(vec).alias("_d", "_x"))
-    per_dim = ex.groupBy("cluster", "_d").agg(F.avg("_x").alias("_m"), F.count(F.lit(1)).alias("n"))
-    return (per_dim.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_a"),
-                                            F.max("n").alias("n"))
-            .select("cluster", F.transform("_a", lambda s: s["_m"]).alias("centroid"), "n"))
+    """``(cluster, centroid ARRAY<DOUBLE>, n)`` — element-wise mean per cluster;
+    whole vectors are summed (map-side combine), never exploded."""
+    x = df.select(F.col(cluster_col).alias("cluster"), array_to_vector(F.col(vec).cast("array<double>")).alias("_x"))
+    return (x.groupBy("cluster").agg(Summarizer.mean(F.col("_x")).alias("_m"), F.count(F.lit(1)).alias("n"))
+            .select("cluster", vector_to_array("_m").alias("centroid"), "n"))
 
 
 def inertia(df: DataFrame, cluster_col: str = "cluster", vec: str = "embedding") -> DataFrame:
