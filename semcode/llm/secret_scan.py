@@ -147,7 +147,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """``(id, spans)`` per row; ``spans`` are structs (start, rank, end, kind) in order."""
     indexed = [r for r in rules if trigram_query(r.pattern) != TRUE]
     trigrams = sorted({t for r in indexed for b in trigram_query(r.pattern) for t in b})
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # rows are numbered at the scan, where a repeated task numbers them alike
+    d = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = candidates(postings(d, trigrams, "id", "text"), indexed).select(F.col("id").alias("__i"), "kinds")
     d = d.join(found, F.col("id").eqNullSafe(F.col("__i")), "left")
     per_rule = []
@@ -166,8 +167,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
                         F.transform(F.split("text", pattern, -1), F.length).alias("gaps"),
                         got(0).alias("lens"), got(r.value).alias("values"))
         per_rule.append(F.when(look, cell))
-    d = d.select(F.monotonically_increasing_id().alias("tag"), "id",
-                 F.filter(F.array(*per_rule), lambda x: x.isNotNull() & (F.size(x["lens"]) > 0)).alias("c"))
+    d = d.select("tag", "id", F.filter(F.array(*per_rule), lambda x: x.isNotNull() & (F.size(x["lens"]) > 0)).alias("c"))
     m = (d.select("tag", "id", F.explode_outer("c").alias("c"))
          .select("tag", "id", "c.rank", F.posexplode_outer(
              F.when(F.col("c").isNotNull(), F.arrays_zip(F.slice("c.gaps", 1, F.size("c.lens")).alias("gap"),
