@@ -90,15 +90,19 @@ t AS (
                coalesce((SELECT min_by(unit, ratio) FROM u WHERE unit <= ratio), 'inf'::DOUBLE) * weight) AS target
   FROM u),
 k AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
          CASE WHEN t.target > 0 THEN CAST(round(t.target / t.source_size * 1000000000) AS BIGINT) ELSE 0 END AS nano,
          row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.h, d.doc_id) AS rnk
-  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, (round(target, 6) + 0.0) AS target,
-       CAST(size * least(2, nano // 1000000000
-         + (rnk * (nano % 1000000000) + 500000000) // 1000000000
-         - ((rnk - 1) * (nano % 1000000000) + 500000000) // 1000000000) AS BIGINT) AS taken
-FROM k""")
+  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT k.*, p, nano // 1000000000 + (rnk * (nano % 1000000000) + p * 62500000) // 1000000000
+         - ((rnk - 1) * (nano % 1000000000) + p * 62500000) // 1000000000 AS copies
+  FROM k, range(16) r(p)),
+best AS (
+  SELECT source, arg_min(p, (d, p)) AS p
+  FROM (SELECT source, p, abs(sum(size * copies)::BIGINT - any_value(target)) AS d FROM c GROUP BY source, p) GROUP BY source)
+SELECT doc_id, size, source_size, (round(target, 6) + 0.0) AS target, CAST(size * copies AS BIGINT) AS taken
+FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.p = best.p""")
 def op10_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return M.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
