@@ -37,13 +37,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcode.llm.bytesnp import LOWER, SpanHash, chunks, mix, utf8, word_spans
 from semcode.llm.shared import components, discard, materialize
 
 CELL_GRAMS = 2_000_000
+REFINE_GRAMS = 200_000
 _M = np.random.Generator(np.random.PCG64(815)).integers(1, 2**64 - 1, 64, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -308,8 +309,46 @@ def _cell(k: int, num: int, den: int):
     return run
 
 
+def _gram_rows(k: int):
+    """Member rows (block, fp, text) to (key, fp) per n-gram, the key within its block."""
+    def run(batches):
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "fp"])
+
+        for b in batches:
+            block, fp = (b.column(i).to_numpy() for i in range(2))
+            keys, owner, held = [], [], 0
+            for r, s in shingle_sets(b.column(2), k):
+                if fingerprint(s)[0] == fp[r]:
+                    keys.append(mix(s ^ mix(block[r:r + 1].view(np.uint64))).view(np.int64))
+                    owner.append(np.full(len(s), fp[r]))
+                    held += len(s)
+                    if held > 200_000:
+                        yield rows()
+                        keys, owner, held = [], [], 0
+            if held:
+                yield rows()
+    return run
+
+
+def _refined(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(fp, part)``: the parts into which prefix filtering cuts the given blocks;
+    sets without a possible partner do not appear."""
+    per_key = Window.partitionBy("key")
+    rows = members.select("block", "fp", "text").mapInArrow(_gram_rows(k), "key long, fp long")
+    shared = (rows.withColumn("df", F.count("*").over(per_key)).withColumn("lo", F.min("fp").over(per_key))
+              .withColumn("hi", F.max("fp").over(per_key)).where("lo <> hi"))
+    lists = shared.groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("g"))
+    prefix = lists.join(members.groupBy("fp").agg(F.max("n").alias("n")), "fp").withColumn(
+        "take", F.expr(f"cast(n - ceil({num} * n / {den}) + 1 - (n - size(g)) as int)"))
+    keys = prefix.where("take > 0").select("fp", F.explode(F.expr("slice(g, 1, take)")).alias("x")).select("fp", "x.key")
+    edges = keys.withColumn("b", F.min("fp").over(per_key)).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return components(edges, "parts").select(F.col("node").alias("fp"), F.col("component").alias("part"))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                     num: int = 80, den: int = 100, cell_grams: int = CELL_GRAMS) -> DataFrame:
+                     num: int = 80, den: int = 100, cell_grams: int = CELL_GRAMS,
+                     refine_grams: int = REFINE_GRAMS) -> DataFrame:
     """``(id_col, n_shingles, component_id)`` per row; link: ``den * |A & B| >= num * |A | B|``."""
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     met = materialize(d.mapInArrow(_key_rows(k, num, den), _ROWS).repartition("a").mapInArrow(_meet, _ROWS), "keys")
@@ -317,10 +356,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = components(met.where(f"kind = {EDGE}").select("a", "b"), "blocks")
     classes = own.where("n > 0 and doc is not null").groupBy("fp", "fp2", "n").agg(F.min("doc").alias("rep"))
     members = classes.join(blocks, F.col("fp") == F.col("node")).select("rep", "fp", "n", F.col("component").alias("block"))
-    totals = (members.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("k")).where("k > 1")
-              .select("block", F.expr(f"cast(ceil(grams / {cell_grams}) as int)").alias("parts")))
-    members = members.join(totals, "block").withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
+    several = lambda m: m.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("k")).where("k > 1")
+    members = members.join(several(members).select("block", "grams"), "block")
     members = materialize(members.join(d, F.col("rep") == F.col("doc")).drop("doc"), "members")
+    if (members.agg(F.max("grams")).first()[0] or 0) > refine_grams:
+        large = members.where(F.col("grams") > refine_grams)
+        part = _refined(large, k, num, den)
+        whole = members
+        members = materialize(members.where(F.col("grams") <= refine_grams).drop("grams").unionByName(
+            large.drop("grams", "block").join(part, "fp").withColumn("block", F.xxhash64(F.lit(1), "part")).drop("part")), "members")
+        discard(whole)
+    else:
+        members = members.drop("grams")
+    totals = several(members.select("block", "rep", "n").distinct()).select(
+        "block", F.expr(f"cast(ceil(grams / {cell_grams}) as int)").alias("parts"))
+    members = members.join(totals, "block").withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
 
     def compare(cells):
         return cells.groupBy("block", "i", "j").applyInArrow(_cell(k, num, den), "a long, b long")
@@ -355,7 +405,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
               .agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
               .select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")))
     comp = components(links.union(shared), "docs")
-    discard(members)
     of = classes.join(comp, F.col("rep") == F.col("node"), "left").select(
         "fp", "fp2", "n", F.coalesce("component", "rep").alias("found"))
     out = own.join(of, ["fp", "fp2", "n"], "left")

@@ -70,12 +70,12 @@ def near_copies(seed, n=160):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,cell", [(1, 2_000_000), (2, 900), (3, 300)])
-def test_near_copies_match_brute_force(spark, seed, cell):
+@pytest.mark.parametrize("seed,cell,k,num", [(1, 2_000_000, 4, 85), (2, 900, 5, 80), (3, 300, 4, 85)])
+def test_near_copies_match_brute_force(spark, seed, cell, k, num):
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for k, num in ((4, 85), (5, 80)):
-        assert got(df, k=k, num=num, cell_grams=cell) == brute(rows, k, num, 100)
+    refine = {2_000_000: 200_000, 900: 1, 300: 2_000}[cell]
+    assert got(df, k=k, num=num, cell_grams=cell, refine_grams=refine) == brute(rows, k, num, 100)
 
 
 def test_query_matches_brute_force(spark):
