@@ -322,8 +322,10 @@ def _string_rows(length: int):
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, rid, text)``; neither key part can be null, so joins add no filter
+    to the scan and share one exchange of the texts."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"),
-                       F.expr(f"cast(pmod(xxhash64(`{text_col}`), 2147483647) as int)").alias("rid"),
+                       F.coalesce(F.expr(f"cast(pmod(xxhash64(`{text_col}`), 2147483647) as int)"), F.lit(0)).alias("rid"),
                        F.col(text_col).alias("text"))
 
 
