@@ -5,7 +5,8 @@ tags negative, with weights learnt from labelled pages; one linear scan finds
 the contiguous region with the best sum, and its blocks are the main text.
 Subtrees that never hold content (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, comments, hidden parts: by element, role, class or id)
-are cut out and count as one tag.
+are cut out and count as one tag.  Within declared content a class or id counts
+only as a whole token of an unambiguous list, and ids only on plain containers.
 
 Weights are log odds of an event kind inside and outside the content of
 labelled pages.  Labelled are pages that declare their content (one ``article``,
@@ -43,7 +44,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre",
          "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "search", "button", "select", "svg", "canvas",
-             "object", "audio", "video", "fieldset", "label", "datalist", "map", "math"}
+             "audio", "video", "datalist", "map"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog",
          "menu", "menubar", "toolbar", "status", "tablist", "note"}
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
@@ -54,6 +55,21 @@ NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "disqus", "reply", "replies", "respond", "discussion", "widget", "widgets", "toolbar", "pagination", "pager",
          "skip", "search", "form", "copyright", "legal", "disclaimer", "alert", "toast", "hidden", "tags", "taglist",
          "teaser", "outbrain", "taboola"}
+#: within declared content: roles that are also used for content, and the whole
+#: class or id tokens that are furniture whatever the text is about (other names
+#: there are left to the scores)
+CONTENT_ROLES = {"alert", "status", "note"}
+SURE = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper",
+        "sponsored-links", "sidebar", "sidebars", "sidebar-left", "sidebar-right", "left-sidebar", "right-sidebar", "navbar",
+        "nav-menu", "main-menu", "main-navigation", "post-navigation", "breadcrumb", "breadcrumbs", "masthead", "site-footer",
+        "cookie-notice", "cookie-banner", "cookie-bar", "cookie-consent", "gdpr-notice", "popup", "newsletter-signup",
+        "newsletter-form", "subscribe-form", "signup-form", "login-form", "search-form", "comment-form", "social-share",
+        "social-links", "share-buttons", "share-bar", "sharedaddy", "related-posts", "related-articles", "recommended-posts",
+        "comments", "comments-area", "comment-list", "commentlist", "comment-respond", "disqus", "disqus-thread", "widget",
+        "widgets", "widget-area", "pagination", "pager", "skip-link", "outbrain", "taboola"}
+#: elements whose id names them as a part of the page; ids of others (headings,
+#: sections, ...) are slugs of their titles
+NAMED_BY_ID = {"div", "ul", "ol"}
 TOP = {"html", "body", "article", "main"}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "html", "body", "head"}
 KINDS = BLOCK | VOID | FURNITURE | {"a", "abbr", "b", "cite", "code", "em", "font", "i", "q", "s", "small", "span", "strong",
@@ -84,13 +100,15 @@ def _furniture(name: str, attrs: str, within: bool) -> bool:
     if re.search(r"\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", low) or _HIDDEN.search(low):
         return True
     a = _attrs(attrs)
-    if a.get("role", "").lower() in ROLES:
+    role = a.get("role", "").lower()
+    if role in ROLES and not (within and role in CONTENT_ROLES):
         return True
-    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", a.get("class", "") + " " + a.get("id", "")).lower()
-    names = set(_PARTS.split(_STATE.sub(" ", said)))
     if within:
-        names.discard("header")
-    return not names.isdisjoint(NAMES)
+        tokens = a.get("class", "") + (" " + a.get("id", "") if name in NAMED_BY_ID else "")
+        tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", tokens).lower().replace("_", "-")
+        return not SURE.isdisjoint(tokens.split())
+    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", a.get("class", "") + " " + a.get("id", "")).lower()
+    return not NAMES.isdisjoint(_PARTS.split(_STATE.sub(" ", said)))
 
 
 def _declares(name: str, attrs: str) -> bool:

@@ -36,6 +36,19 @@ def test_furniture_goes_inside_and_outside_the_article():
             assert text(page(body)) == want, body
 
 
+def test_names_that_are_titles_keep_their_text_inside_the_article():
+    named = ["<section id='discussion'>{}</section>", "<section id='related-work'>{}</section>", "<section id='comments'>{}</section>",
+             "<h2 id='search-results'>{}</h2>", "<h2 id='navigation'>{}</h2>", "<div id='legal-basis'>{}</div>",
+             "<div class='search-theory'>{}</div>", "<p class='form-of-government'>{}</p>", "<div class='alert' role='note'>{}</div>",
+             "<math><mi>{}</mi></math>", "<p><label>{}</label></p>", "<fieldset>{}</fieldset>", "<object data='x'>{}</object>"]
+    for tag in ("article", "main"):
+        for n in named:
+            part = n.format("These words belong to it")
+            got = text(page(f"<{tag}><h1>Head line</h1><p>{P1}</p>{part}<p>{P2}</p></{tag}>"))
+            assert "These words belong to it" in got and got.endswith("Short one & done."), (n, got)
+        assert "Mail" not in text(page(f"<{tag}><p>{P1}</p><form><label>Mail</label></form><p>{P2}</p></{tag}>"))
+
+
 def test_blocks_references_and_broken_markup():
     assert text(page("<article><p>a<b>b</b> c<br>d</p><ul><li>x<li>y</ul>&lt;z&gt; &eacute;&#233;&#xe9; &nope;</article>")) == \
         "ab c d\nx\ny\n<z> ééé &nope;"
