@@ -9,7 +9,8 @@ are cut out and count as one tag.  Within declared content a class or id counts
 only as a whole token of an unambiguous list, and ids only on plain containers.
 
 Weights are log odds of an event kind inside and outside the content of
-labelled pages.  Labelled are pages that declare their content (one ``article``,
+labelled pages, and of a tag's position.  A declaration labels a page for
+learning; the region is found by the scan on every page.  Labelled are pages that declare their content (one ``article``,
 ``main``, ``role=main`` or ``itemprop=articleBody`` element); at most
 ``max_pages`` of them, those with the smallest hash of their id, are read (the
 documented sample).  The kinds are a fixed list, so the table of weights is small.
@@ -213,15 +214,16 @@ class Page:
             cut, content = gone, main
 
     def scores(self, weights: dict[str, float]) -> list[float]:
-        """Per event.  Where the page declares its content, tags inside it cost the
-        least and words outside it weigh against the region, as on labelled pages."""
+        """Per event, by the same weights on every page; tags within declared content
+        cost less by the learnt weight of that position, words score alike anywhere."""
+        near = weights["at:inside"]
         out = []
         for kind, words, inside in zip(self.kinds, self.words, self.inside):
             if kind[0] == "w":
-                k = kind if not self.declared or inside else "w:outside"
-                out.append(words * weights.get(k, weights["w:text"]))
+                out.append(words * weights.get(kind, weights["w:text"]))
             else:
-                out.append(LEAST_TAG if inside else weights.get(kind, weights["t:other"]))
+                w = weights.get(kind, weights["t:other"])
+                out.append(min(LEAST_TAG, w + near) if inside else w)
         return out
 
     def main_text(self, weights: dict[str, float]) -> str:
@@ -236,8 +238,8 @@ class Page:
             return ""
         first, last = self.block[best_at[0]], self.block[best_at[1]]
         blocks: dict[int, list[str]] = defaultdict(list)
-        for kind, text, block, inside in zip(self.kinds, self.texts, self.block, self.inside):
-            if first <= block <= last and (inside or not self.declared):
+        for kind, text, block in zip(self.kinds, self.texts, self.block):
+            if first <= block <= last:
                 if text is not None:
                     blocks[block].append(text)
                 elif kind == "t:br":
@@ -246,9 +248,10 @@ class Page:
         return "\n".join(x for x in done if x)
 
 
-#: weights before any labelled page was seen: words for, tags against
+#: weights before any labelled page was seen: words for, tags against (``w:outside``
+#: enters no score; readers of the table find it)
 DEFAULTS = {"w:text": 1.0, "w:a": 0.1, "w:li": 0.3, "w:td": 0.3, "w:th": 0.1, "w:head": 0.1, "w:outside": -2.0,
-            "t:other": -0.5, "t:cut": -0.5, "t:p": -0.05, "t:br": -0.05, "t:a": -1.0, "t:li": -1.0,
+            "at:inside": 0.5, "t:other": -0.5, "t:cut": -0.5, "t:p": -0.05, "t:br": -0.05, "t:a": -1.0, "t:li": -1.0,
             "t:div": -2.0, "t:ul": -1.0, "t:td": -0.5, "t:tr": -0.5, "t:body": -3.0, "t:head": -3.0, "t:footer": -3.0,
             "t:nav": -3.0, "t:b": -0.05, "t:i": -0.05, "t:em": -0.05, "t:strong": -0.05, "t:span": -0.1, "t:code": -0.05,
             "t:h1": -0.1, "t:h2": -0.1, "t:h3": -0.1, "t:blockquote": -0.1, "t:article": -0.1, "t:section": -0.3, "t:main": -0.1}
@@ -287,6 +290,8 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     for sort in "wt":
         own = {k: v for k, v in count.items() if k[0] == sort}
         i, o = sum(v[0] for v in own.values()) + 1, sum(v[1] for v in own.values()) + 1
+        if sort == "t":  # how much likelier a tag lies in the content than not
+            weights["at:inside"] = min(1.0, max(0.0, math.log(i / o)))
         for k, (a, b) in own.items():
             odds = math.log((a + 0.5) / i) - math.log((b + 0.5) / o)
             if sort == "w":  # words speak for content

@@ -49,6 +49,16 @@ def test_names_that_are_titles_keep_their_text_inside_the_article():
         assert "Mail" not in text(page(f"<{tag}><p>{P1}</p><form><label>Mail</label></form><p>{P2}</p></{tag}>"))
 
 
+def test_scores_decide_on_pages_that_declare_content():
+    long = "".join(f"<p>{P1}</p>" for _ in range(20))
+    want = "\n".join([P1] * 20)
+    lead = f"<h1>Head line</h1><p>{P1}</p>"
+    assert text(page(f"<article><p>Short teaser</p></article><div>{'<div>' * 8}{long}{'</div>' * 8}</div>")) == want
+    assert text(page(f"{lead}<article>{long}</article>")) == f"Head line\n{P1}\n{want}"
+    items = "<ul>" + f"<li>{P1}</li>" * 3 + "</ul>"
+    assert text(page(f"<article>{long}{items}</article>")) == "\n".join([P1] * 23)
+
+
 def test_blocks_references_and_broken_markup():
     assert text(page("<article><p>a<b>b</b> c<br>d</p><ul><li>x<li>y</ul>&lt;z&gt; &eacute;&#233;&#xe9; &nope;</article>")) == \
         "ab c d\nx\ny\n<z> ééé &nope;"
