@@ -83,15 +83,16 @@ def parse(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, window: int =
     return b, lo, hi, np.repeat(long, count)[a], h[b], phrase
 
 
-def _pieces(data, offs):
-    """(row, bytes, boundaries, place of the bytes in the row) of bounded size."""
+def _pieces(data, offs, length: int = LENGTH):
+    """(row, bytes, boundaries, place of the bytes in the row) of bounded size;
+    every ``length``-byte string starts in one piece."""
     for i, j in chunks(offs):
         if offs[j] - offs[i] <= PIECE:
             yield i, data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], 0
         else:
             doc = data[offs[i]:offs[j]]
             for x in range(0, len(doc), PIECE):
-                part = doc[x:x + PIECE + LENGTH - 1]
+                part = doc[x:x + PIECE + length - 1]
                 yield i, part, np.array([0, len(part)]), x
 
 
@@ -103,7 +104,7 @@ def _phrases(length: int, window: int):
     def run(batches):
         for batch in batches:
             doc, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, buf, offs, shift in _pieces(*utf8(batch.column(2))):
+            for i, buf, offs, shift in _pieces(*utf8(batch.column(2)), length):
                 found = parse(buf, offs, length, window)
                 if found is None:
                     continue

@@ -95,3 +95,12 @@ def test_defined_cases(spark):
     out = {(r.doc, D.cut((r.text or "").encode(), r.spans)[0]) for r in D.repeated_spans(df).collect()}
     assert out == {(D.NULL_ID, 0), (1, 0), (2, 0), (3, 0), (4, 120), (5, 120)}
     assert D.repeated_spans(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("length", [50, 200])
+def test_pieces_overlap_by_the_length_asked_for(spark, length):
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=D.PIECE + 1000))
+    over = long[D.PIECE - length // 2:D.PIECE + length // 2]
+    df = spark.createDataFrame([(1, long), (2, over)], "doc_id long, text string")
+    assert [(d, n, gone, runs) for d, n, gone, runs, _ in got(df, length=length)] == [(1, len(long), 0, 0), (2, length, length, 1)]
