@@ -8,8 +8,9 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from semcode.llm import bpe, exact_dedup as X, html_extract as H, line_dedup as L, mixing as M
-from semcode.llm import ngram_join as J, quality_classifier as C, quality_rules as R, secret_scan as S, suffix_dedup as D
+from semcode.llm import bpe, exact_dedup as X, filter_audit as A, html_extract as H, license_scan as N, line_dedup as L
+from semcode.llm import mixing as M, ngram_join as J, periodic_runs as P, quality_classifier as C, quality_rules as R
+from semcode.llm import secret_scan as S, suffix_dedup as D
 from semcode.llm.registry import ORACLE, QUERIES, register  # noqa: F401
 from semcode.llm.shared import table
 
@@ -233,3 +234,69 @@ def _cut_digest(batches):
 def op7_suffix_dedup(spark, sf_dir):
     return D.repeated_spans(table(spark, sf_dir, "documents", "doc_id", "text")).mapInArrow(
         _cut_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+@register("op11_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS lo FROM d),
+lab AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS INT)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > lo, false) AS INT) AS mask
+  FROM w LEFT JOIN lab USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM m GROUP BY ALL),
+f AS (SELECT chr(CAST(65 + i AS INT)) AS l, CAST(1 << i AS INT) AS b FROM range(5) r(i)),
+o AS (SELECT f1.l || f2.l || f3.l || f4.l || f5.l AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bits
+      FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.b | f2.b | f3.b | f4.b | f5.b = 31),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS b, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INT) AS past
+      FROM o, range(1, 6) r(k)),
+a AS (
+  SELECT part, filter_order, step, b,
+         coalesce(sum(n) FILTER (WHERE mask & (past | b) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & past = 0 AND mask & b <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & past <> 0 AND mask & b <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = b), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (WHERE mask & past = 0 AND mask & b <> 0), 0) AS good_lost,
+         coalesce(sum(x) FILTER (WHERE mask & past = 0 AND mask & b <> 0), 0) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley
+FROM a""")
+def op11_filter_audit(spark, sf_dir):
+    return A.audit(A.mask_counts(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels")))
+
+
+def plant_periods(docs):
+    """The contract's rewriting: where crc32(doc_id) ends in 0, the words from ``a`` on
+    repeat with period ``p`` (a null id is left alone)."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    d = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn(
+        "g", F.expr("h div 10")).withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)"))).withColumn(
+        "p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    part = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(part, F.expr("cast((n - a) div p + 1 as int)"))), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    found = P.periodic_runs(plant_periods(table(spark, sf_dir, "documents", "doc_id", "text")))
+    better = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    top = F.aggregate("runs", F.get("runs", F.lit(0)), lambda acc, r: F.when(better(r, acc), r).otherwise(acc))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op13_license_scan")
+def op13_license_scan(spark, sf_dir):
+    found = N.license_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score", "spans")
