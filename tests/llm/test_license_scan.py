@@ -81,7 +81,7 @@ def test_query_matches_brute_force(spark):
 
 
 def test_fuzzy_finds_and_clean_texts(spark):
-    rows = [(1, "Relaesed undr the MIT Licence."), (2, "The weather was fine; a licence to fish."), (3, "LICENSED under the\n * Apache-Licence, Version 2.0"),
+    rows = [(1, "Relesed undr the MIT Licence."), (2, "The weather was fine; a licence to fish."), (3, "LICENSED under the\n * Apache-Licence, Version 2.0"),
             (4, "mit license mit license, general public LICENSE"), (5, None), (6, ""), (7, "x " * 200_000 + "Licensed under CC BY-NC 4.0."),
             (None, "Permission is hereby granted, free of charge, to any persn obtaining a copy of this sofware"), (7, "Ä mitÄ license")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("labels", F.lit(1)).withColumn("id", F.lit(1))
