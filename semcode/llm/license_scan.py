@@ -11,7 +11,8 @@ characters may differ by ``n // CHARS_PER_EDIT`` edits (k).
    within p - o - k .. p - o + n + k; windows of a notice that overlap are joined.
 3. *Verification*: the ``regex`` library's fuzzy matching searches the window with
    at most k insertions, deletions and substitutions; matches give their span, their
-   edits and the notice's label.
+   edits and the notice's label.  Notices resemble each other, so a match gives way to
+   an overlapping one of another label with fewer edits.
 
 Besides, the places of three exact phrases are counted (``BASE``).  The score is that
 of the best find: 1 for an exact phrase or notice, less by edits over length.
@@ -124,6 +125,22 @@ def places(text: str, phrase: str) -> list[int]:
     return out
 
 
+def closest(found: list[tuple]) -> list[tuple]:
+    """Matches that no overlapping match of another label undercuts in edits."""
+    out, ahead, longest = [], 0, max((e - s for _, s, e, _, _ in found), default=0)
+    for label, s, e, edits, n in found:
+        while found[ahead][1] <= s - longest:  # starts ascend, no match is longer
+            ahead += 1
+        rivals = []
+        for x in found[ahead:]:
+            if x[1] >= e:
+                break
+            rivals.append(x)
+        if not any(x[0] != label and x[2] > s and x[3] < edits for x in rivals):
+            out.append((label, s, e, edits, n))
+    return out
+
+
 _SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64())])
 _FIELDS = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
            ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("score", pa.float64()),
@@ -138,7 +155,7 @@ def scan(finder: Finder, text: str | None) -> tuple:
     base = {p: places(padded, p) for p in BASE}
     hits = sorted(x for at in base.values() for x in at)
     base_labels = {BASE[p] for p, at in base.items() if at}
-    found = finder.matches(flat)
+    found = closest(finder.matches(flat))
     score = 1.0 if hits else max((1 - edits / n for _, _, _, edits, n in found), default=0.0)
     spans = [dict(label=label, first_word=flat.count(" ", 0, s + 1), last_word=flat.count(" ", 0, max(s, e - 1)), edits=edits)
              for label, s, e, edits, _ in found]

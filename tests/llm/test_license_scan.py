@@ -94,6 +94,14 @@ def test_fuzzy_finds_and_clean_texts(spark):
     assert N.license_scan(df.limit(0)).collect() == []
 
 
+def test_closest_notice_wins():
+    finder = N.Finder()
+    for label, notice in N.NOTICES:
+        assert {x[0] for x in N.closest(finder.matches(f"a {notice} b"))} == {label}
+    found = [("a", 0, 10, 2, 10), ("b", 4, 14, 1, 10), ("a", 12, 20, 1, 10), ("c", 30, 40, 3, 10)]
+    assert N.closest(found) == found[1:]
+
+
 def test_pieces_cover_the_notice():
     for _, notice in N.NOTICES:
         k = len(notice) // N.CHARS_PER_EDIT
