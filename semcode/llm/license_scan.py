@@ -4,11 +4,13 @@ Texts and notices are compared as their words (letters A-Z lower-cased, ASCII
 letters, digits and everything beyond ASCII) joined by one space.  A notice of n
 characters may differ by ``n // CHARS_PER_EDIT`` edits (k).
 
-1. *Seeds* (pigeonhole): a notice is cut into k + 1 pieces.  Of an occurrence with
-   at most k edits at least one piece is intact, so one Aho-Corasick pass over the
-   text for all pieces of all notices meets every occurrence.
-2. *Candidates*: a piece found at p that lies at o in its notice allows only matches
-   within p - o - k .. p - o + n + k; windows of a notice that overlap are joined.
+1. *Seeds* (pigeonhole): a notice is cut into k + ``INTACT`` pieces.  Of an occurrence
+   with at most k edits at least ``INTACT`` pieces are intact, and one Aho-Corasick
+   pass over the text for all pieces of all notices meets them.
+2. *Candidates*: a piece found at p that lies at o in its notice names the start p - o.
+   Intact pieces of one occurrence differ by at most k in the start they name, so places
+   where ``INTACT`` different pieces agree so far are kept, with k characters more at
+   both ends; windows of a notice that overlap are joined.
 3. *Verification*: the ``regex`` library's fuzzy matching searches the window with
    at most k insertions, deletions and substitutions; matches give their span, their
    edits and the notice's label.  Notices resemble each other, so a match gives way to
@@ -26,7 +28,7 @@ table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +56,8 @@ NOTICES = (
     ("cc-by", "creative commons attribution 4 0 international license"),
 )
 CHARS_PER_EDIT = 10
+#: pieces that must be found intact and in place before a window is verified
+INTACT = 3
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -62,8 +66,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def pieces(notice: str, k: int) -> list[tuple[int, str]]:
-    """(offset, piece) of k + 1 pieces of about equal length."""
-    cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
+    """(offset, piece) of k + INTACT pieces of about equal length."""
+    cuts = [len(notice) * i // (k + INTACT) for i in range(k + INTACT + 1)]
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -89,18 +93,29 @@ class Finder:
         found = defaultdict(list)
         for end, (size, uses) in self.seeds.iter(text):
             for i, at in uses:
-                found[i].append(end + 1 - size - at)
+                found[i].append((end + 1 - size - at, at))
         out = {}
-        for i, starts in found.items():
+        for i, named in found.items():
+            if len(named) < INTACT:
+                continue
             _, notice, k = self.notices[i]
-            joined = []
-            for s in sorted(starts):
-                lo, hi = max(0, s - k), min(len(text), s + len(notice) + k)
-                if joined and lo <= joined[-1][1]:
-                    joined[-1][1] = max(hi, joined[-1][1])
-                else:
-                    joined.append([lo, hi])
-            out[i] = joined
+            named.sort()
+            joined, pieces_in, hi = [], Counter(), 0
+            for lo, (start, at) in enumerate(named):
+                while hi < len(named) and named[hi][0] <= start + k:
+                    pieces_in[named[hi][1]] += 1
+                    hi += 1
+                if len(pieces_in) >= INTACT:
+                    a, b = max(0, start - k), min(len(text), named[hi - 1][0] + len(notice) + k)
+                    if joined and a <= joined[-1][1]:
+                        joined[-1][1] = max(b, joined[-1][1])
+                    else:
+                        joined.append([a, b])
+                pieces_in[at] -= 1
+                if not pieces_in[at]:
+                    del pieces_in[at]
+            if joined:
+                out[i] = joined
         return out
 
     def matches(self, text: str) -> list[tuple[str, int, int, int, int]]:

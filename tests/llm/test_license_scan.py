@@ -106,4 +106,4 @@ def test_pieces_cover_the_notice():
     for _, notice in N.NOTICES:
         k = len(notice) // N.CHARS_PER_EDIT
         got = N.pieces(notice, k)
-        assert len(got) == k + 1 and "".join(p for _, p in got) == notice and all(notice[a:a + len(p)] == p for a, p in got)
+        assert len(got) == k + N.INTACT and "".join(p for _, p in got) == notice and all(notice[a:a + len(p)] == p for a, p in got)
