@@ -4,8 +4,9 @@ The vocabulary's ranks become a sentencepiece BPE model without training: each
 byte is mapped to one printable character, each token to the mapped string,
 with score ``-rank`` and id ``rank``; normalisation is the identity.  The best
 scored merge is then the lowest-ranked one, as in byte-level BPE.  Texts are
-split by the vocabulary's pattern; each distinct pre-token is encoded once per
-worker (bounded cache) and ids are concatenated.  Decoding maps ids back to
+split by the vocabulary's pattern; each distinct short pre-token is encoded
+once per task and cache (``CACHE_BYTES``, freed when the task ends) and ids are
+concatenated.  Decoding maps ids back to
 pieces and pieces back to bytes.
 
 Defined cases: null or empty text has no tokens; special-token strings are
@@ -24,7 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_TOKENS = 600_000
+from semcode.llm.shared import tidy
+
+#: text and id bytes of the cached pre-tokens, and the longest one that is cached
+CACHE_BYTES, CACHED_CHARS = 8 << 20, 48
 #: byte b is written as the character with this code point (a block of letters
 #: without case, white space or normalisation of their own)
 BYTE_CHAR = [chr(0x4E00 + b) for b in range(256)]
@@ -77,14 +81,14 @@ def serialize_model(tokens: list[bytes]) -> bytes:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, model: bytes, pattern: str, cache_tokens: int = CACHE_TOKENS):
+    def __init__(self, model: bytes, pattern: str, cache_bytes: int = CACHE_BYTES):
         import regex
         import sentencepiece
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern).findall
         self.to_char = dict(enumerate(BYTE_CHAR))
         self.cache: dict[str, bytes] = {}
-        self.limit = cache_tokens
+        self.held, self.limit = 0, cache_bytes
         inverse = {c: b for b, c in enumerate(BYTE_CHAR)}
         self.piece_bytes = [bytes(map(inverse.__getitem__, p)) for p in
                             (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size() - 1))]
@@ -92,35 +96,28 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         tokens = self.split(text)
-        cache = self.cache
+        cache, own = self.cache, {}
         new = [t for t in set(tokens) if t not in cache]
-        if new:
-            if len(cache) + len(new) > self.limit:
-                cache.clear()
-                new = list(set(tokens))
-            mapped = [t.encode().decode("latin-1").translate(self.to_char) for t in new]
-            for t, ids in zip(new, self.sp.encode(mapped, num_threads=1)):
-                cache[t] = np.array(ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, tokens))
+        mapped = [t.encode().decode("latin-1").translate(self.to_char) for t in new]
+        for t, ids in zip(new, self.sp.encode(mapped, num_threads=1)):
+            own[t] = np.array(ids, "<u4").tobytes()
+        out = b"".join([cache[t] if t in cache else own[t] for t in tokens]) if own else b"".join(map(cache.__getitem__, tokens))
+        for t, ids in own.items():
+            if len(t) <= CACHED_CHARS:
+                cache[t] = ids
+                self.held += len(t) + len(ids)
+        if self.held > self.limit:
+            cache.clear()
+            self.held = 0
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.piece_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[bytes, Codec] = {}
-
-
-def codec(model: bytes, pattern: str) -> Codec:
-    """The worker's codec, kept between tasks."""
-    key = hashlib.blake2b(model + pattern.encode(), digest_size=16).digest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model, pattern)
-    return _CODECS[key]
-
-
 def _per_text(model: bytes, pattern: str, text_at: int, names: list[str], types: list, fn: Callable):
     def run(batches):
-        c = codec(model, pattern)
+        c = Codec(model, pattern)
         for b in batches:
             rest = [i for i in range(b.num_columns) if i != text_at]
             for lo in range(0, b.num_rows, 500):
@@ -129,7 +126,7 @@ def _per_text(model: bytes, pattern: str, text_at: int, names: list[str], types:
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in rest), *(pa.array(x, t) for x, t in zip(zip(*rows), types))],
                     names=[*(part.schema.names[i] for i in rest), *names])
-    return run
+    return tidy(run)
 
 
 def _model(path: str) -> bytes:
@@ -161,12 +158,12 @@ def decode(tokens: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
     d, schema = _keep(tokens, keep, ids_col, "bytes binary")
 
     def run(batches):
-        c = codec(model, pattern)
+        c = Codec(model, pattern)
         for b in batches:
             out = [c.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(out, pa.binary())],
                                              names=[*b.schema.names[:len(keep)], "bytes"])
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",),

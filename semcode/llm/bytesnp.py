@@ -16,9 +16,10 @@ IS_WS[list(WS_BYTES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PI = np.uint64(pow(int(_P), -1, 1 << 64))
-_T = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+#: prime moduli below 2**31 with their bases; a hash takes two of them
+_FIELDS = ((2147483647, 1103515245), (2147483629, 742938285), (2147483587, 950706376), (2147483579, 1226874159))
+#: bytes whose products (40 bits) can be summed without a remainder
+_SUMMED = 1 << 23
 
 
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
@@ -48,21 +49,28 @@ def chunks(offs: np.ndarray, limit: int = 1 << 21):
         i = j
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _powers(field: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the field's base and of its inverse, by doubling."""
+    prime, base = _FIELDS[field]
     out = []
-    for base in (_P, _PI):
-        a = np.full(size, base, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
+    for x in (base, pow(base, -1, prime)):
+        a = np.ones(1, np.uint64)
+        while len(a) < size:
+            a = np.concatenate([a, a * np.uint64(pow(x, len(a), prime)) % np.uint64(prime)])
+        out.append(a.astype(np.uint32))
     return out[0], out[1]
 
 
-def powers(n: int):
+def forget_powers() -> None:
+    _powers.cache_clear()
+
+
+def powers(field: int, n: int):
     size = 1 << 21
     while size < n + 1:
         size <<= 1
-    return _powers(size)
+    return _powers(field, size)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,19 +84,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Hashes of arbitrary byte ranges of one buffer: polynomial prefix sums
-    over a random byte table, modulo 2^64, normalised by the range's start."""
-
-    def __init__(self, buf: np.ndarray, table: np.ndarray = _T):
-        self.pow, self.inv = powers(len(buf))
-        g = np.empty(len(buf) + 1, np.uint64)
-        g[0] = 0
-        np.cumsum(table[buf] * self.pow[:len(buf)], out=g[1:])
-        self.g = g
+    """64-bit hashes of arbitrary byte ranges of one buffer: polynomial prefix sums
+    over two prime fields, normalised by the range's start.  ``second`` takes two
+    other fields, so that both together are an independent 128-bit hash."""
+
+    def __init__(self, buf: np.ndarray, second: bool = False):
+        self.parts = []
+        value = buf.astype(np.uint64) + np.uint64(1)
+        for field in (2, 3) if second else (0, 1):
+            prime = np.uint64(_FIELDS[field][0])
+            up, down = powers(field, len(buf))
+            g = np.empty(len(buf) + 1, np.uint64)
+            g[0] = 0
+            term = value * up[:len(buf)]
+            if len(buf) > _SUMMED:
+                term %= prime
+            np.cumsum(term, out=g[1:])
+            self.parts.append((prime, down, g))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.g[end] - self.g[start]) * self.inv[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        (p, down, g), (q, down2, g2) = self.parts
+        h = (g[end] - g[start]) % p * down[start] % p
+        h2 = (g2[end] - g2[start]) % q * down2[start] % q
+        return mix((h << np.uint64(32) | h2) + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semcode.llm.bytesnp import WS_BYTES
+from semcode.llm.shared import tidy
 
 _ROWS = "kind tinyint, h1 long, h2 long, doc long, rid long, pos int"
 LINE, DROPPED, DOC = 0, 1, 2
@@ -123,13 +124,13 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = (docs.where(F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("rid"),
                     F.col(text_col).alias("text"))
-            .mapInArrow(_line_rows(min_chars), _ROWS))
+            .mapInArrow(tidy(_line_rows(min_chars)), _ROWS))
     falls = (rows.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "pos")
-             .mapInArrow(_first_occurrence, "doc long, rid long, n_lines int, drop int"))
+             .mapInArrow(tidy(_first_occurrence), "doc long, rid long, n_lines int, drop int"))
     return (falls.groupBy("doc", "rid")
             .agg(F.max("n_lines").alias("n_lines"),
                  F.collect_list(F.when(F.col("drop") >= 0, F.col("drop"))).alias("falls"))
-            .mapInArrow(_pack, "doc long, rid long, n_lines int, n_dropped int, keep_bitmap binary"))
+            .mapInArrow(tidy(_pack), "doc long, rid long, n_lines int, n_dropped int, keep_bitmap binary"))
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:

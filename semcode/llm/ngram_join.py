@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcode.llm.bytesnp import LOWER, SpanHash, chunks, mix, utf8, word_spans
-from semcode.llm.shared import components, discard, materialize
+from semcode.llm.shared import components, discard, materialize, tidy
 
 CELL_GRAMS = 2_000_000
 REFINE_GRAMS = 200_000
@@ -335,7 +335,7 @@ def _refined(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(fp, part)``: the parts into which prefix filtering cuts the given blocks;
     sets without a possible partner do not appear."""
     per_key = Window.partitionBy("key")
-    rows = members.select("block", "fp", "text").mapInArrow(_gram_rows(k), "key long, fp long")
+    rows = members.select("block", "fp", "text").mapInArrow(tidy(_gram_rows(k)), "key long, fp long")
     shared = (rows.withColumn("df", F.count("*").over(per_key)).withColumn("lo", F.min("fp").over(per_key))
               .withColumn("hi", F.max("fp").over(per_key)).where("lo <> hi"))
     lists = shared.groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("g"))
@@ -351,7 +351,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      refine_grams: int = REFINE_GRAMS) -> DataFrame:
     """``(id_col, n_shingles, component_id)`` per row; link: ``den * |A & B| >= num * |A | B|``."""
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    met = materialize(d.mapInArrow(_key_rows(k, num, den), _ROWS).repartition("a").mapInArrow(_meet, _ROWS), "keys")
+    met = materialize(d.mapInArrow(tidy(_key_rows(k, num, den)), _ROWS).repartition("a").mapInArrow(tidy(_meet), _ROWS), "keys")
     own = met.where(f"kind = {DOC}").select(F.col("a").alias("doc"), F.col("b").alias("fp"), F.col("c").alias("fp2"), "n")
     blocks = components(met.where(f"kind = {EDGE}").select("a", "b"), "blocks")
     classes = own.where("n > 0 and doc is not null").groupBy("fp", "fp2", "n").agg(F.min("doc").alias("rep"))

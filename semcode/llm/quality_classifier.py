@@ -9,17 +9,19 @@ marked when the word equals the one before it; shapes let the model judge words
 it has never seen.  Every feature counts with its share of the text's words, so
 the score does not depend on the length.
 
-Training reads at most ``max_train`` labelled rows, the ones with the smallest
-hash of their id, in one task (that bound is the documented sample); scoring is
-one narrow pass over all rows with the weights broadcast (``8 * 2**bits`` bytes).
+Training reads a documented, bounded sample in one task: one row per id, the
+``max_train`` ids with the smallest hash, and of these in hash order as many as hold
+``max_words`` words together (at most 8 bytes for each of four features a word are
+held, so about 256 MB).  Scoring is one narrow pass over all rows with the weights
+broadcast (``8 * 2**bits`` bytes).
 
 Defined cases: null or empty text scores the bias alone; several labels of one
-id count by their mean; null labels and null ids train nothing; no labels at
+id count by their mean; of rows sharing an id the least text is learnt; null labels and null ids train nothing; no labels at
 all, or labels of one class only, still give a model (the bias moves); rows are
 scored one by one, repeated or not; an empty table gives an empty table.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semcode.llm.bytesnp import LOWER, SpanHash, chunks, mix, utf8, word_spans
+from semcode.llm.shared import give_back, tidy
 
 BITS = 18
 MAX_TRAIN = 12_000
+MAX_WORDS = 8_000_000
 THRESHOLD = 0.7
 
 #: character classes: upper X, lower x (and every non-ASCII byte), digit 9, others themselves
@@ -92,9 +96,8 @@ class Ftrl:
                         (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def learn(self, slot: np.ndarray, value: np.ndarray, label: float) -> None:
-        at, where = np.unique(slot, return_inverse=True)
-        x = np.bincount(where, value, len(at))
-        at, x = np.append(at, len(self.z) - 1), np.append(x, 1.0)
+        """One row: its distinct slots with their values."""
+        at, x = np.append(slot, len(self.z) - 1), np.append(value, 1.0)
         w = self.weights(at)
         g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
         n = self.n[at]
@@ -103,18 +106,23 @@ class Ftrl:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "order",
-          bits: int = BITS, epochs: int = 3) -> np.ndarray:
-    """Weights from a bounded labelled table: one task, rows in ``order_col`` order."""
+          bits: int = BITS, epochs: int = 3, max_words: int = MAX_WORDS) -> np.ndarray:
+    """Weights from a bounded labelled table: one task, rows in ``order_col`` order
+    up to the one in which ``max_words`` words are reached."""
     def run(batches):
-        rows = []
+        rows, left = [], 4 * max_words
         for b in batches:
             labels = b.column(1).to_pylist()
             for i, j, (slot, value, doc) in _each(b.column(0), bits):
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(j - i + 1))
                 for k in range(j - i):
-                    at = order[cuts[k]:cuts[k + 1]]
-                    rows.append((slot[at].astype(np.int32), value[at].astype(np.float32), float(labels[i + k])))
+                    if left <= 0:
+                        break
+                    of = order[cuts[k]:cuts[k + 1]]
+                    at, where = np.unique(slot[of].astype(np.int32), return_inverse=True)
+                    rows.append((at, np.bincount(where, value[of], len(at)).astype(np.float32), float(labels[i + k])))
+                    left -= len(of)
         m = Ftrl(bits)
         for _ in range(epochs):
             for row in rows:
@@ -124,21 +132,22 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     t = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"),
                         F.col(order_col).alias("o"))
     w = (t.repartition(1).sortWithinPartitions("o", "text").select("text", "label")
-         .mapInArrow(run, "w binary").collect())
+         .mapInArrow(tidy(run), "w binary").collect())
     return np.frombuffer(w[0]["w"]) if w else Ftrl(bits).weights()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", max_train: int = MAX_TRAIN, bits: int = BITS) -> np.ndarray:
-    """Learn from the ``max_train`` labelled rows with the smallest id hash.  Their
-    ids (8 bytes each, at most ``max_train``) are broadcast to pick the texts, so
-    no text is shuffled but theirs."""
+        label_col: str = "quality", max_train: int = MAX_TRAIN, bits: int = BITS, max_words: int = MAX_WORDS) -> np.ndarray:
+    """Learn from the ``max_train`` labelled ids with the smallest hash.  The ids (8
+    bytes each, at most ``max_train``) are broadcast to pick the texts, so no text
+    is shuffled but theirs."""
     ids = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
            .groupBy(F.col(id_col).alias("__id")).agg(F.avg(label_col).alias("label"))
            .withColumn("order", F.xxhash64("__id")).orderBy("order", "__id").limit(max_train))
     picked = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("text")).join(
-        F.broadcast(ids), F.col("__d") == F.col("__id")).select("text", "label", "order")
-    return train(picked, bits=bits)
+        F.broadcast(ids), F.col("__d") == F.col("__id"))
+    picked = picked.groupBy("__d", "label", "order").agg(F.min("text").alias("text"))
+    return train(picked, bits=bits, max_words=max_words)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Column:
@@ -146,12 +155,16 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Colum
     bits = (len(weights) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(text: pa.Array) -> pa.Array:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = sent.value
-        out = np.full(len(text), w[-1])
-        for i, j, (slot, value, doc) in _each(text, bits):
-            out[i:j] += np.bincount(doc, w[slot] * value, j - i)
-        return pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
+        try:
+            for text in texts:
+                out = np.full(len(text), w[-1])
+                for i, j, (slot, value, doc) in _each(text, bits):
+                    out[i:j] += np.bincount(doc, w[slot] * value, j - i)
+                yield pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
+        finally:
+            give_back()
     return F.arrow_udf(run, "double")(F.col(text_col))
 
 

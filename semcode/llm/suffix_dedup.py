@@ -47,7 +47,6 @@ PLACE_BITS = np.uint64(24)  # of a window's place within a piece
 BLOCK_ROWS = 100_000
 NULL_ID = -(1 << 63)
 _CTX = np.uint64(0xA0761D6478BD642F)
-_T2 = np.random.Generator(np.random.PCG64(71)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 
 
 def parse(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, window: int = WINDOW):
@@ -96,8 +95,8 @@ def _pieces(data, offs, length: int = LENGTH):
                 yield i, part, np.array([0, len(part)]), x
 
 
-_FOUND = "t long, doc long, rid int, off long, left int, n int, covered boolean"
-_ROWS = "t long, c long, doc long, rid int, off long, left int, n int, covered boolean"
+_FOUND = "t long, doc long, rid long, off long, left int, n int, covered boolean"
+_ROWS = "t long, c long, doc long, rid long, off long, left int, n int, covered boolean"
 
 
 def _phrases(length: int, window: int):
@@ -119,7 +118,7 @@ def _phrases(length: int, window: int):
                 again[1:] = (t[1:] == t[:-1]) & (c[1:] == c[:-1])
                 t = np.where(again, mix(d.view(np.uint64)).view(np.int64), t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t), pa.array(np.where(again, 0, c)), pa.array(d), pa.array(r, pa.int32()), pa.array(off),
+                    [pa.array(t), pa.array(np.where(again, 0, c)), pa.array(d), pa.array(r, pa.int64()), pa.array(off),
                      pa.array(left, pa.int32()), pa.array(n, pa.int32()), pa.array(again)],
                     names=["t", "c", "doc", "rid", "off", "left", "n", "covered"])
     return run
@@ -184,7 +183,7 @@ def _contexts(length: int):
             for x in range(0, len(out), 20_000):
                 cols = list(zip(*out[x:x + 20_000]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, ty) for v, ty in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(),
+                    [pa.array(v, ty) for v, ty in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(),
                                                              pa.int32(), pa.binary(), pa.bool_()))],
                     names=["t", "doc", "rid", "off", "left", "n", "bytes", "hot"])
     return run
@@ -276,7 +275,7 @@ def _order(length: int):
         f = np.flatnonzero(new)
         e = s[np.append(f[1:], len(s)) - 1] + length if len(f) else s[:0]
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row[f]]), pa.array(rid[row[f]], pa.int32()), pa.array(s[f]), pa.array(e)],
+            [pa.array(doc[row[f]]), pa.array(rid[row[f]], pa.int64()), pa.array(s[f]), pa.array(e)],
             names=["doc", "rid", "s", "e"])
 
     def run(batches):
@@ -312,12 +311,12 @@ def _string_rows(length: int):
             k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             lo, hi = cuts[0], cuts[-1]
             at = cuts[row] - lo + k
-            one, two = SpanHash(buf[lo:hi]), SpanHash(buf[lo:hi], _T2)
+            one, two = SpanHash(buf[lo:hi]), SpanHash(buf[lo:hi], second=True)
             for x in range(0, len(row), 200_000):
                 r, a = row[x:x + 200_000], at[x:x + 200_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one(a, a + length).view(np.int64)), pa.array(two(a, a + length).view(np.int64)), pa.array(doc[r]),
-                     pa.array(rid[r], pa.int32()), pa.array(off[r] - left[r] + k[x:x + 200_000])],
+                     pa.array(rid[r], pa.int64()), pa.array(off[r] - left[r] + k[x:x + 200_000])],
                     names=["k1", "k2", "doc", "rid", "s"])
     return run
 
@@ -326,7 +325,7 @@ def row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc, rid, text)``; neither key part can be null, so joins add no filter
     to the scan and share one exchange of the texts."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"),
-                       F.coalesce(F.expr(f"cast(pmod(xxhash64(`{text_col}`), 2147483647) as int)"), F.lit(0)).alias("rid"),
+                       F.xxhash64(text_col).alias("rid"),
                        F.col(text_col).alias("text"))
 
 
@@ -345,14 +344,14 @@ def covered_intervals(docs: DataFrame, length: int = LENGTH, window: int = WINDO
         some.withColumn("hot", F.lit(False))
     per_doc = some.groupBy("doc", "rid").agg(F.collect_list(F.struct("t", "off", "left", "n", "hot")).alias("found"))
     contexts = (docs.join(per_doc, ["doc", "rid"]).select("doc", "rid", "text", "found")
-                .mapInArrow(_contexts(length), "t long, doc long, rid int, off long, left int, n int, bytes binary, hot boolean"))
+                .mapInArrow(_contexts(length), "t long, doc long, rid long, off long, left int, n int, bytes binary, hot boolean"))
     if any_hot:
         contexts = materialize(contexts, "contexts")
     ordered = (contexts.where("not hot").repartition("t").sortWithinPartitions("t")
-               .mapInArrow(_order(length), "doc long, rid int, s long, e long"))
+               .mapInArrow(_order(length), "doc long, rid long, s long, e long"))
     out = whole.union(ordered)
     if any_hot:
-        strings = contexts.where("hot").mapInArrow(_string_rows(length), "k1 long, k2 long, doc long, rid int, s long")
+        strings = contexts.where("hot").mapInArrow(_string_rows(length), "k1 long, k2 long, doc long, rid long, s long")
         first = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc", "rid", "s")).alias("m"))
         out = out.union(strings.join(first, ["k1", "k2"]).where(F.struct("doc", "rid", "s") != F.col("m"))
                         .select("doc", "rid", "s", (F.col("s") + length).alias("e")))

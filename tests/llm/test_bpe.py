@@ -15,7 +15,7 @@ from tests.conftest import SF_SMALL
 PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-CODEC = bpe.Codec(bpe.serialize_model(bpe.read_ranks(PATH)), P.PATTERN, cache_tokens=50)
+CODEC = bpe.Codec(bpe.serialize_model(bpe.read_ranks(PATH)), P.PATTERN, cache_bytes=500)
 
 
 def check(text):

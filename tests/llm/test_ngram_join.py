@@ -113,3 +113,38 @@ def test_segments_find_every_link():
                 grams = rng.integers(0, 2**63, n + m - i).astype(np.uint64)
                 a, b = grams[:n], np.concatenate([grams[n - i:n], grams[n:]])
                 assert np.intersect1d(J.segment_keys(a, lev), J.segment_keys(b, lev)).size, (num, n, m)
+
+
+def test_structured_bytes_do_not_collide(spark):
+    """Thue-Morse words and their complements defeat polynomials modulo 2**64."""
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    tail = " same words after the long one here"
+    df = spark.createDataFrame([(1, t + tail), (2, other + tail), (3, t + tail)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.ngram_components(df, k=5, num=80, den=100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_components_of_chains_stars_and_cliques(spark):
+    from semcode.llm.shared import components
+    import numpy as np
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(0, 400)] + [(1000, 2000 + i) for i in range(500)] + [(9000, 3000 + i) for i in range(500)]
+    edges += [(5000 + int(a), 5000 + int(b)) for a, b in rng.integers(0, 900, (700, 2))] + [(5, 5), (7777, 7777)]
+    want = {}
+    for a, b in edges:
+        want.setdefault(a, a), want.setdefault(b, b)
+    def root(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        want[b] = a
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = [tuple(r) for r in components(df).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in linked)
+    assert components(df.limit(0)).collect() == []

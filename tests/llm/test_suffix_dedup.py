@@ -104,3 +104,17 @@ def test_pieces_overlap_by_the_length_asked_for(spark, length):
     over = long[D.PIECE - length // 2:D.PIECE + length // 2]
     df = spark.createDataFrame([(1, long), (2, over)], "doc_id long, text string")
     assert [(d, n, gone, runs) for d, n, gone, runs, _ in got(df, length=length)] == [(1, len(long), 0, 0), (2, length, length, 1)]
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    """Two texts that agree in 31 bits of their hash, and a copy of one of them."""
+    from pyspark.sql import functions as F
+    many = spark.range(300_000).select(F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 256)
+                                                         for i in range(4)]).alias("text"))
+    pair = (many.groupBy(F.expr("pmod(xxhash64(text), 2147483647)").alias("k")).agg(F.collect_list("text").alias("t"))
+            .where("size(t) > 1").first()["t"][:2])
+    df = spark.createDataFrame([(None, pair[0]), (None, pair[1]), (5, "x " + pair[0])], "doc_id long, text string")
+    removed = {}
+    for r in D.repeated_spans(df).collect():
+        removed[r.text] = D.cut(r.text.encode(), r.spans)[0]
+    assert removed == {pair[0]: 0, pair[1]: 0, "x " + pair[0]: len(pair[0])}
