@@ -3,7 +3,7 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of
 ``documents`` (the last one returns tokens).  Each works on all rows its
 predecessor kept.  Rows sharing an id are judged together where a stage decides
-by id (near duplicates, mixing) and row by row elsewhere.
+by id (near duplicates) and row by row elsewhere.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop, keep or repeat documents so that sources meet their target words."""
-    return mixing.apply_mix(docs, mixing.mix_plan(docs))
+    return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
