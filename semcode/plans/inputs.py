@@ -98,3 +98,13 @@ DOC_SQL = f"""
 lab AS (SELECT doc_id, quality, toxic, {DOC_CLASS_SQL} AS class, {is_reference_sql('doc_id')} AS is_ref FROM labels),
 dref AS (SELECT l.doc_id AS ref_id, l.class, d.text AS node FROM lab l JOIN documents d USING (doc_id) WHERE l.is_ref),
 dlab AS (SELECT doc_id, class AS label FROM lab WHERE NOT is_ref)"""
+
+
+def file_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Names, lengths and times of a table's files: a fit is reused while these stay."""
+    hadoop, out = spark._jsc.hadoopConfiguration(), []
+    for f in table(spark, sf_dir, name).inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return (spark.sparkContext.applicationId, *sorted(out))
