@@ -1,8 +1,9 @@
 """Clustering of text vectors: k search, KMeans with restarts, knee point,
 inertia, exact and fast silhouette, cluster sizes, 2-D projection.
 
-Iterative model fitting is MLlib's (``KMeans``, ``PCA``); our part is the
-search around it and the exact metrics.  The exact silhouette needs every
+KMeans models of all k and restarts share their scans: a round computes the
+distances of each batch to the centres of all open models in one product and sends
+sums as large as the centres.  PCA is MLlib's.  The exact silhouette needs every
 pairwise distance: rows are hash-split into B blocks and each (block, block)
 pair is one cogroup task that computes its distance tile with a GEMM and
 emits only per-(row, cluster) distance sums — N x k x B rows, never N² pairs.
@@ -12,12 +13,11 @@ Block size is chosen from the row count so each task holds a bounded tile.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,8 +25,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semcode.functions.hashing import md5_u32
+
 TILE_BYTES = 64 << 20
 KNEE_SENSITIVITY = 1.0
+SEED_ROWS = 4096
 # Fixed values of the reference's KMeans: relative tolerance 1e-4 (scaled by
 # the mean per-dimension variance), at most 300 iterations.
 REL_TOL = 1e-4
@@ -34,10 +37,8 @@ MAX_ITER = 300
 
 
 def kmeans_tolerance(data: DataFrame, vec: str) -> float:
-    """Absolute centre-shift tolerance for MLlib from the relative one: the
-    reference stops when the summed squared shift <= 1e-4 x mean variance;
-    MLlib compares each centre's shift with ``tol`` — one aggregate over whole
-    vectors."""
+    """Absolute centre-shift tolerance: iterations stop when the summed squared shift
+    is at most 1e-4 x the mean variance; one aggregate over whole vectors."""
     row = data.agg(Summarizer.variance(array_to_vector(vec)).alias("v"), F.count(vec).alias("n")).first()
     n = row["n"]
     var = float(np.mean(row["v"].toArray())) * (n - 1) / n if n > 1 else 0.0  # the population's
@@ -48,25 +49,148 @@ def features(df: DataFrame, vec: str = "embedding", out: str = "features") -> Da
     return df.withColumn(out, array_to_vector(F.col(vec)))
 
 
-def _fit_one(df, k, seed, max_iter, tol, features_col):
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol=features_col, predictionCol="cluster")
-    model = km.fit(df)
-    return model, model.summary.trainingCost
-
-
-def _pool_size(spark, parallelism):
-    return max(1, parallelism or spark.sparkContext.defaultParallelism)
-
-
-def fit_kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = MAX_ITER,
-               tol: float = 1e-4, features_col: str = "features", parallelism: int | None = None):
-    """Best of ``n_init`` k-means|| fits (seeds seed, seed+1, …) by inertia,
-    first seed on ties; the restarts run concurrently (each is a distributed
-    job).  Returns (model, inertia)."""
-    with ThreadPoolExecutor(max_workers=_pool_size(df.sparkSession, parallelism)) as pool:
-        fits = list(pool.map(lambda i: _fit_one(df, k, seed + i, max_iter, tol, features_col), range(n_init)))
-    best = min(range(n_init), key=lambda i: (fits[i][1], i))
-    return fits[best]
+def first_centres(data: DataFrame, key: str, vec: str, models: list[tuple[int, int]], seed: int) -> dict:
+    """k-means++ starts of every (k, restart), drawn from the ``SEED_ROWS`` rows with the
+    smallest key hash (a bounded sample for the starts alone; all rows are fitted)."""
+    rows = data.select(key, vec).orderBy(md5_u32(key), key).limit(SEED_ROWS).select(vec).collect()
+    x = np.array([r[0] for r in rows], float)
+    out = {}
+    for k, i in models:
+        rng = np.random.default_rng([seed, k, i])
+        at = [int(rng.integers(len(x)))]
+        near = ((x - x[at[0]]) ** 2).sum(1)
+        while len(at) < k:
+            far = near.sum()
+            at.append(int(rng.choice(len(x), p=near / far)) if far > 0 else int(rng.integers(len(x))))
+            near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+        out[k, i] = x[at]
+    return out
+
+
+def _vectors(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * x @ c.T, 0.0)
+
+
+_SUMS = "model int, sums array<double>, n array<double>, squares array<double>, cost double"
+
+
+def _add_sums(batches):
+    """Sums of a partition by model."""
+    held = {}
+    for b in batches:
+        for m, *parts in zip(*(b.column(i).to_pylist() for i in range(5))):
+            parts = [np.array(p) for p in parts]
+            held[m] = [x + y for x, y in zip(held[m], parts)] if m in held else parts
+    yield _sum_rows(held)
+
+
+def _sum_rows(held: dict) -> pa.RecordBatch:
+    cols = [list(held), *([v[i].tolist() for v in held.values()] for i in range(4))]
+    types = [pa.int32(), *[pa.list_(pa.float64())] * 3, pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                      names=["model", "sums", "n", "squares", "cost"])
+
+
+def _pass(data: DataFrame, vec: str, centres: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """One scan for all models: by model the vector sums, row counts, squared norms of
+    its clusters and its inertia.  What reaches the driver is as large as the centres."""
+    sent = data.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        held = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _vectors(b.column(0))
+            norm = (x * x).sum(1)
+            every = _squares(x, np.concatenate(sent.value))  # one product for all models
+            lo = 0
+            for m, c in enumerate(sent.value):
+                d = every[:, lo:lo + len(c)]
+                lo += len(c)
+                near = d.argmin(1)
+                one = np.zeros((len(c), len(x)))
+                one[near, np.arange(len(x))] = 1.0
+                parts = [(one @ x).ravel(), one.sum(1), one @ norm, d[np.arange(len(x)), near].sum()]
+                held[m] = [p + q for p, q in zip(held[m], parts)] if m in held else parts
+        if held:
+            yield _sum_rows(held)
+
+    rows = data.select(vec).mapInArrow(run, _SUMS).repartition("model").mapInArrow(_add_sums, _SUMS).collect()
+    sent.destroy()
+    out = {r["model"]: [np.array(r["sums"]).reshape(len(centres[r["model"]]), -1), np.array(r["n"]), np.array(r["squares"]), r["cost"]]
+           for r in rows}
+    return [out[m] for m in range(len(centres))]
+
+
+def lloyd(data: DataFrame, vec: str, starts: dict, tol: float, max_iter: int = MAX_ITER) -> dict:
+    """Lloyd's iterations of all models together, one scan of the data per round; a model
+    leaves when its centres moved by at most ``tol`` (root of the summed squares).
+    Returns by model (centres, inertia, sizes, sums, squared norms) of the last scan."""
+    centres, open_, done, moved = dict(starts), list(starts), {}, {}
+    for step in range(max_iter + 1):
+        for m, (sums, n, squares, cost) in zip(open_, _pass(data, vec, [centres[m] for m in open_])):
+            if step == max_iter or moved.get(m, math.inf) <= tol:
+                done[m] = centres[m], float(cost), n, sums, squares
+                continue
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[m])
+            moved[m] = float(np.sqrt(((new - centres[m]) ** 2).sum()))
+            centres[m] = new
+        open_ = [m for m in open_ if m not in done]
+        if not open_:
+            break
+    return done
+
+
+def fit_kmeans(data: DataFrame, key: str, vec: str, ks: list[int], n_init: int, seed: int, tol: float) -> dict:
+    """By k the best of ``n_init`` restarts (inertia, first restart on ties)."""
+    models = [(k, i) for k in ks for i in range(n_init)]
+    done = lloyd(data, vec, first_centres(data, key, vec, models, seed), tol)
+    return {k: done[k, min((done[k, i][1], i) for i in range(n_init))[1]] for k in ks}
+
+
+def assign(df: DataFrame, vec: str, centres: np.ndarray) -> DataFrame:
+    """``df`` with ``cluster``, the number of the nearest centre (the first on ties)."""
+    def near(v: pa.Array) -> pa.Array:
+        return pa.array(_squares(_vectors(v), centres).argmin(1) if len(v) else [], pa.int32())
+    return df.withColumn("cluster", F.arrow_udf(near, "int")(F.col(vec)))
+
+
+def silhouettes(data: DataFrame, vec: str, fits: dict) -> dict:
+    """Mean squared-Euclidean silhouette of every k in one scan: distances to a cluster
+    follow from its size, sum and squared norms."""
+    sent = data.sparkSession.sparkContext.broadcast(fits)
+
+    def run(batches):
+        total, rows = {k: 0.0 for k in sent.value}, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _vectors(b.column(0))
+            rows += len(x)
+            at = np.arange(len(x))
+            for k, (c, _, n, sums, squares) in sent.value.items():
+                size = np.maximum(n, 1)
+                d = (x * x).sum(1)[:, None] + (squares / size)[None] - 2.0 * x @ (sums / size[:, None]).T
+                own = _squares(x, c).argmin(1)
+                a = d[at, own] * n[own] / np.maximum(n[own] - 1, 1)
+                d[at, own] = np.inf
+                d[:, n == 0] = np.inf
+                low = d.min(1)
+                top = np.maximum(a, low)
+                s = np.where((n[own] > 1) & np.isfinite(low) & (top > 0), (low - a) / np.where(top > 0, top, 1), 0.0)
+                total[k] += float(s.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64()),
+                                          pa.array([rows] * len(total), pa.int64())], names=["k", "s", "n"])
+
+    got = (data.select(vec).mapInArrow(run, "k int, s double, n long").groupBy("k")
+           .agg((F.sum("s") / F.sum("n")).alias("s")).collect())
+    sent.destroy()
+    return {r["k"]: r["s"] for r in got}
 
 
 def k_range(n_rows: int, max_k: int = 20) -> list[int]:
@@ -75,38 +199,22 @@ def k_range(n_rows: int, max_k: int = 20) -> list[int]:
 
 
 def k_search(df: DataFrame, key: str, vec: str = "embedding", max_k: int = 20, n_init: int = 10,
-             seed: int = 42, silhouette: str = "fast", parallelism: int | None = None) -> DataFrame:
+             seed: int = 42, silhouette: str = "fast") -> DataFrame:
     """``(k, inertia, silhouette)`` for every k of the range; the silhouette is the
     linear one unless ``"exact"`` (all pairs) is asked for.
 
-    All (k, restart) fits are independent distributed jobs submitted from one
-    driver thread pool; the input is persisted once for all of them.
+    All (k, restart) models advance together: every round scans the rows once, and
+    one more scan scores the best model of every k.
     """
-    data = features(df.select(key, vec), vec).persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.select(key, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = data.count()
-        ks = k_range(n, max_k)
-        tol = kmeans_tolerance(data, vec)
-        jobs = [(k, i) for k in ks for i in range(n_init)]
-        with ThreadPoolExecutor(max_workers=_pool_size(df.sparkSession, parallelism)) as pool:
-            fits = dict(zip(jobs, pool.map(lambda j: _fit_one(data, j[0], seed + j[1], MAX_ITER, tol, "features"),
-                                           jobs)))
-            best = {k: min(((fits[(k, i)], i) for i in range(n_init)), key=lambda t: (t[0][1], t[1]))[0]
-                    for k in ks}
-
-            def score(k):
-                model, cost = best[k]
-                labelled = model.transform(data).select(key, vec, "features", "cluster").persist(StorageLevel.MEMORY_AND_DISK)
-                try:
-                    if silhouette == "exact":
-                        sil = silhouette_exact(labelled, key, vec, "cluster").first()["silhouette"]
-                    else:
-                        sil = silhouette_fast(labelled, "cluster")
-                finally:
-                    labelled.unpersist()
-                return k, float(cost), float(sil)
-
-            rows = list(pool.map(score, ks))
+        ks = k_range(data.count(), max_k)
+        best = fit_kmeans(data, key, vec, ks, n_init, seed, kmeans_tolerance(data, vec))
+        if silhouette == "exact":
+            score = {k: silhouette_exact(assign(data, vec, best[k][0]), key, vec).first()["silhouette"] for k in ks}
+        else:
+            score = silhouettes(data, vec, best)
+        rows = [(k, best[k][1], float(score[k])) for k in ks]
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
@@ -155,13 +263,14 @@ def choose_k(metrics: DataFrame) -> tuple[int, str]:
     return int(pdf["k"].iloc[int(np.argmax(pdf["silhouette"].to_numpy()))]), "silhouette"
 
 
-def kmeans_model(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10):
-    """(rows with their ``cluster``, centres as lists, inertia) of the best restart."""
-    data = features(df, vec).persist(StorageLevel.MEMORY_AND_DISK)
+def kmeans_model(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10, key: str | None = None):
+    """(rows with their ``cluster``, centres as lists, inertia) of the best restart.
+    ``key`` (the first column by default) orders the rows for the starts."""
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model, cost = fit_kmeans(data, k, seed, n_init, tol=kmeans_tolerance(data, vec))
-        rows = model.transform(data).drop("features").checkpoint(eager=True)
-        return rows, [c.tolist() for c in model.clusterCenters()], float(cost)
+        centres, cost, *_ = fit_kmeans(data, key or df.columns[0], vec, [k], n_init, seed, kmeans_tolerance(data, vec))[k]
+        rows = assign(data, vec, centres).checkpoint(eager=True)
+        return rows, centres.tolist(), float(cost)
     finally:
         data.unpersist()
 
