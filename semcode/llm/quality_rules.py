@@ -8,9 +8,15 @@ of its own language and source:
   ``(GAMMA - 1) / 2``).  It is deterministic, its size does not grow with the
   rows, and sketches merge by adding counts: (language, source) sketches add up
   to language sketches, and those to the corpus sketch;
-* a group with fewer than ``min_rows`` rows takes the sketch one level up;
-* fences are quartiles plus or minus ``REACH`` times the spread, where the
-  spread is the interquartile range, at least the metric's resolution below;
+* a group's quantiles are blended with those of the level above, weighted by its
+  rows against ``prior_rows``: a small group leans on its language and the corpus, a
+  large one stands for itself, and no size switches from one to the other;
+* fences are the blended quartiles plus or minus ``REACH`` times the spread, where
+  the spread is the interquartile range, at least that of a normal distribution with
+  the same 10 % and 90 % points, widened by the sketch's relative error.  No fixed
+  ratio bounds them;
+* counts are small whole numbers, so ``REACH`` events of each kind are free: a text
+  with one symbol is no outlier among texts without any;
 * thresholds (one row per group) are joined to the per-document counts.
 
 Defined cases: null or empty text has no words and fails the base rules; null
@@ -34,17 +40,24 @@ WINDOW = 5
 GAMMA = 1.02
 ZERO = -100_000  # bucket of the value 0
 REACH = 3.0
-MIN_ROWS = 200
-#: metric: (ratio, smallest spread, fence below as well)
+TAIL = 1.9  # distance of the 10 % and 90 % points of a normal distribution, in interquartile ranges
+PRIOR_ROWS = 200
+QUANTILES = {"q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}
+#: metric: (count, per, size of one event, fence below as well)
 METRICS = {
-    "symbol_ratio": ("try_divide(n_symbols, word_chars)", 0.02, False),
-    "caps_ratio": ("try_divide(n_caps, word_chars)", 0.08, False),
-    "dup_line_ratio": ("try_divide(n_dup_lines, n_text_lines)", 0.15, False),
-    "repeat_ratio": ("try_divide(n_repeat_words, n_words)", 0.07, False),
-    "word_length": ("try_divide(word_chars, n_words)", 1.5, True),
+    "symbol_ratio": ("n_symbols", "word_chars", 1, False),
+    "caps_ratio": ("n_caps", "word_chars", 1, False),
+    "dup_line_ratio": ("n_dup_lines", "n_text_lines", 1, False),
+    "repeat_ratio": ("n_repeat_words", "n_words", 2 * WINDOW, False),
+    "word_length": ("word_chars", "n_words", 0, True),
 }
 
 
+def free(event: int) -> int:
+    """The part of a count that is never held against a text."""
+    return int(REACH * event)
+
+
 def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """``keep`` columns with n_words, word_chars, n_symbols, n_caps, n_text_lines,
     n_dup_lines, n_repeat_words, base_failed.
@@ -85,7 +98,7 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 def sketches(counts: DataFrame) -> DataFrame:
     """``(level, lang, source, metric, bucket, n)``: level 2 per language and
     source, 1 per language, 0 for all; the upper levels are merged from level 2."""
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).alias("value")) for m, (e, _, _) in METRICS.items()])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(n, per).alias("value")) for m, (n, per, _, _) in METRICS.items()])
     bucket = F.when(F.col("value") > 0, F.ceil(F.log("value") / F.log(F.lit(GAMMA)))).otherwise(ZERO).cast("int")
     fine = (counts.where(~F.col("base_failed")).select("lang", "source", F.inline(cells))
             .groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n")))
@@ -95,48 +108,62 @@ def sketches(counts: DataFrame) -> DataFrame:
             .agg(F.sum("n").alias("n")))
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: float = REACH) -> DataFrame:
-    """``(lang, source, <metric>_low, <metric>_high ...)`` per language and source."""
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """``(level, lang, source, metric, rows, q10, q25, q75, q90)`` of every sketch."""
     key = ["level", "lang", "source", "metric"]
-    run = Window.partitionBy(*key).orderBy("bucket")
-    c = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*key)))
+    c = (sketch.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("bucket")))
+         .withColumn("all", F.sum("n").over(Window.partitionBy(*key))))
     value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(
         F.lit(2.0) * F.pow(F.lit(GAMMA), F.col("bucket").cast("double")) / (GAMMA + 1))
-    q = c.groupBy(*key).agg(F.max("all").alias("rows"), *[
-        F.min(F.when(F.col("upto") >= F.col("all") * p, value)).alias(n) for p, n in ((0.25, "q1"), (0.75, "q3"))])
-    least = F.create_map(*[x for m, (_, s, _) in METRICS.items() for x in (F.lit(m), F.lit(s))])
-    spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("metric")])
-    q = q.withColumn("low", F.col("q1") - reach * spread).withColumn("high", F.col("q3") + reach * spread)
-    wide = q.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *[
+    return c.groupBy(*key).agg(F.max("all").alias("rows"), *[
+        F.min(F.when(F.col("upto") >= F.col("all") * p, value)).alias(n) for n, p in QUANTILES.items()])
+
+
+def _blended(own: DataFrame, above: DataFrame, on, prior_rows: int) -> DataFrame:
+    """``own`` quantiles drawn towards those ``above`` by ``prior_rows`` rows' weight."""
+    j = own.alias("o").join(above.alias("a"), on)
+    return j.select("o.level", "o.lang", "o.source", "o.metric", "o.rows", *[
+        ((F.col("o.rows") * F.col(f"o.{q}") + F.lit(float(prior_rows)) * F.col(f"a.{q}"))
+         / (F.col("o.rows") + F.lit(float(prior_rows)))).alias(q) for q in QUANTILES])
+
+
+def thresholds(sketch: DataFrame, prior_rows: int = PRIOR_ROWS, reach: float = REACH) -> DataFrame:
+    """``(lang, source, <metric>_low, <metric>_high ...)`` per language and source."""
+    q = materialize(quantiles(sketch), "quantiles")
+    same = F.col("o.metric") == F.col("a.metric")
+    by_lang = _blended(q.where("level = 1"), q.where("level = 0"), same, prior_rows)
+    group = _blended(q.where("level = 2"), by_lang, same & F.col("o.lang").eqNullSafe(F.col("a.lang")), prior_rows)
+    spread = F.greatest(F.col("q75") - F.col("q25"), (F.col("q90") - F.col("q10")) / F.lit(TAIL))
+    group = (group.withColumn("low", (F.col("q25") - F.lit(reach) * spread) / F.lit(GAMMA))
+             .withColumn("high", (F.col("q75") + F.lit(reach) * spread) * F.lit(GAMMA)))
+    return group.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(*[
         F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in METRICS for s in ("low", "high")])
-    # a group takes its own fences, or those of the first level above with enough rows
-    groups = wide.where("level = 2").select("lang", "source", F.col("rows").alias("r2"))
-    groups = groups.withColumn("r1", F.sum("r2").over(Window.partitionBy("lang")))
-    pick = groups.select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-        F.when(F.col("r2") >= min_rows, 2).when(F.col("r1") >= min_rows, 1).otherwise(0).alias("g_level"))
-    on = ((F.col("g_level") == F.col("level"))
-          & F.when(F.col("g_level") > 0, F.col("g_lang")).eqNullSafe(F.col("lang"))
-          & F.when(F.col("g_level") > 1, F.col("g_source")).eqNullSafe(F.col("source")))
-    return pick.join(wide, on).drop("lang", "source", "level", "rows")
 
 
-def judge(counts: DataFrame, fences: DataFrame) -> DataFrame:
-    """Adds ``kept``: passes the base rules and lies within the group's fences."""
+def verdicts(counts: DataFrame, fences: DataFrame) -> DataFrame:
+    """Adds one boolean ``out_<metric>`` per metric: beyond the group's fences."""
     j = counts.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    inside = F.lit(True)
-    for m, (e, _, both) in METRICS.items():
-        ok = F.expr(e) <= F.col(f"{m}_high")
+    out = {}
+    for m, (n, per, event, both) in METRICS.items():
+        beyond = F.try_divide(F.col(n) - F.lit(free(event)), F.col(per)) > F.col(f"{m}_high")
         if both:
-            ok = ok & (F.expr(e) >= F.col(f"{m}_low"))
-        inside = inside & F.coalesce(ok, F.lit(True))
-    return j.withColumn("kept", ~F.col("base_failed") & F.when(F.col("base_failed"), False).otherwise(inside))
+            beyond = beyond | (F.try_divide(n, per) < F.col(f"{m}_low"))
+        out[f"out_{m}"] = ~F.col("base_failed") & F.coalesce(beyond, F.lit(False))
+    return j.withColumns(out)
+
+
+def judge(counts: DataFrame, fences: DataFrame) -> DataFrame:
+    """Adds ``kept``: passes the base rules and lies within the group's fences."""
+    beyond = F.lit(False)
+    for m in METRICS:
+        beyond = beyond | F.col(f"out_{m}")
+    return verdicts(counts, fences).withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  source_col: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` per row of ``docs``."""
+                  source_col: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """Counts, ``base_failed``, ``out_<metric>`` and ``kept`` per row of ``docs``."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
                     F.col(text_col).alias("text"))
     counts = materialize(text_counts(d), "counts")
-    return judge(counts, thresholds(sketches(counts), min_rows))
+    return judge(counts, thresholds(sketches(counts), prior_rows))

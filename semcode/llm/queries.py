@@ -125,14 +125,16 @@ def op4_quality_classifier(spark, sf_dir):
 def _rules_sql() -> str:
     """The counts by windows over words and lines, the sketches as histograms."""
     ws = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
-    ratio = {m: e.replace("try_divide(", "(").replace(", ", "::DOUBLE / nullif(").replace(")", ", 0))")
-             for m, (e, _, _) in R.METRICS.items()}
+    ratio = {m: f"({n}::DOUBLE / nullif({per}, 0))" for m, (n, per, _, _) in R.METRICS.items()}
     cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {e} AS value FROM counts WHERE NOT base_failed"
                                for m, e in ratio.items())
-    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}::DOUBLE" for m, (_, s, _) in R.METRICS.items()) + " END"
+    points = ", ".join(f"min(CASE WHEN upto >= total * {p}::DOUBLE THEN value END) AS {q}" for q, p in R.QUANTILES.items())
+    prior = f"{R.PRIOR_ROWS}::DOUBLE"
+    blend = ", ".join(f"(o.nrows * o.{q} + {prior} * a.{q}) / (o.nrows + {prior}) AS {q}" for q in R.QUANTILES)
     wide = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {s} END) AS {m}_{s}" for m in R.METRICS for s in ("low", "high"))
-    inside = " AND ".join(f"coalesce({ratio[m]} <= {m}_high, true)" + (f" AND coalesce({ratio[m]} >= {m}_low, true)" if both else "")
-                          for m, (_, _, both) in R.METRICS.items())
+    inside = " AND ".join(f"coalesce(({n} - {R.free(event)})::DOUBLE / nullif({per}, 0) <= {m}_high, true)"
+                          + (f" AND coalesce({ratio[m]} >= {m}_low, true)" if both else "")
+                          for m, (n, per, event, both) in R.METRICS.items())
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
@@ -160,15 +162,13 @@ run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY
                sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
                CASE WHEN bucket = {R.ZERO} THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * pow({R.GAMMA}::DOUBLE, bucket) / ({R.GAMMA}::DOUBLE + 1) END AS value
         FROM sketch),
-q AS (SELECT level, lang, source, metric, max(total) AS nrows, min(CASE WHEN upto >= total * 0.25::DOUBLE THEN value END) AS q1,
-             min(CASE WHEN upto >= total * 0.75::DOUBLE THEN value END) AS q3 FROM run GROUP BY ALL),
-f AS (SELECT *, q1 - {R.REACH}::DOUBLE * greatest(q3 - q1, {least}) AS low, q3 + {R.REACH}::DOUBLE * greatest(q3 - q1, {least}) AS high FROM q),
-wide AS (SELECT level, lang, source, max(nrows) AS nrows, {wide} FROM f GROUP BY level, lang, source),
-pick AS (SELECT lang AS g_lang, source AS g_source,
-                CASE WHEN nrows >= {R.MIN_ROWS} THEN 2 WHEN sum(nrows) OVER (PARTITION BY lang) >= {R.MIN_ROWS} THEN 1 ELSE 0 END AS g_level
-         FROM wide WHERE level = 2),
-fences AS (SELECT pick.*, wide.* EXCLUDE (level, lang, source, nrows) FROM pick JOIN wide ON g_level = level
-           AND (g_level = 0 OR g_lang IS NOT DISTINCT FROM lang) AND (g_level < 2 OR g_source IS NOT DISTINCT FROM source))
+q AS (SELECT level, lang, source, metric, max(total)::DOUBLE AS nrows, {points} FROM run GROUP BY ALL),
+by_lang AS (SELECT o.lang, o.metric, {blend} FROM q o JOIN q a ON o.level = 1 AND a.level = 0 AND o.metric = a.metric),
+own AS (SELECT o.lang, o.source, o.metric, {blend} FROM q o JOIN by_lang a ON o.level = 2 AND o.metric = a.metric
+        AND o.lang IS NOT DISTINCT FROM a.lang),
+s AS (SELECT *, greatest(q75 - q25, (q90 - q10) / {R.TAIL}::DOUBLE) AS spread FROM own),
+f AS (SELECT *, (q25 - {R.REACH}::DOUBLE * spread) / {R.GAMMA}::DOUBLE AS low, (q75 + {R.REACH}::DOUBLE * spread) * {R.GAMMA}::DOUBLE AS high FROM s),
+fences AS (SELECT lang AS g_lang, source AS g_source, {wide} FROM f GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ({inside}) AS kept
 FROM counts LEFT JOIN fences ON lang IS NOT DISTINCT FROM g_lang AND source IS NOT DISTINCT FROM g_source"""
 

@@ -77,3 +77,27 @@ def test_sketches_merge_and_fences_adapt(spark):
     out = {r.doc_id: r.kept for r in R.quality_rules(df).collect()}
     assert not out[5000] and not out[5001]  # far outside s1; de/s9 has one row and takes the corpus sketch
     assert all(out[i] for i in range(300)) and all(out[1000 + i] for i in range(30) if i % 3 < 2)
+
+
+def test_fences_move_smoothly_with_a_groups_size(spark):
+    def fence(n):
+        sketch = [(0, None, None, "caps_ratio", -200, 10_000), (1, "en", None, "caps_ratio", -200, 5_000), (2, "en", "s", "caps_ratio", -50, n)]
+        s = spark.createDataFrame(sketch, "level int, lang string, source string, metric string, bucket int, n long")
+        return R.thresholds(s).first()["caps_ratio_high"]
+    value = {b: 2 * R.GAMMA ** b / (R.GAMMA + 1) for b in (-200, -50)}
+    prior = value[-200]
+    highs = [fence(n) for n in (1, 199, 200, 201, 100_000)]
+    for n, high in zip((1, 199, 200, 201, 100_000), highs):
+        want = R.GAMMA * (n * value[-50] + R.PRIOR_ROWS * prior) / (n + R.PRIOR_ROWS)
+        assert abs(high - want) < 1e-12
+    assert highs == sorted(highs) and highs[2] - highs[1] < 0.01 * highs[2] and prior * R.GAMMA < highs[0] < 1.5 * prior
+
+
+def test_a_few_events_are_free(spark):
+    clean = "some ordinary words with a few more of them to reach the least length"
+    rows = [(i, clean + f" {i}", "en", "s") for i in range(400)]
+    rows += [(1000 + k, clean + " " + "&" * k, "en", "s") for k in (1, 3, 4, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in R.quality_rules(df).collect()}
+    assert [out[1000 + k].out_symbol_ratio for k in (1, 3, 4, 30)] == [False, False, True, True]
+    assert not any(out[i].out_symbol_ratio for i in range(400))
