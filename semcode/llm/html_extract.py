@@ -3,13 +3,19 @@
 A page becomes one sequence of events: words and tags.  Words score positive,
 tags negative, with weights learnt from labelled pages; one linear scan finds
 the contiguous region with the best sum, and its blocks are the main text.
-Subtrees that never hold content (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, comments, hidden parts: by element, role, class or id)
-are cut out and count as one tag.  Within declared content a class or id counts
-only as a whole token of an unambiguous list, and ids only on plain containers.
+Subtrees that never hold content (menus, footers, asides, scripts, comments,
+adverts, hidden parts: by element, role or whole class or id token) are cut out
+and count as one tag.  Others that are named like furniture (forms, headers,
+dialogs, and elements with an everyday word such as sidebar or search in class
+or id) may be wrappers of the page: they are cut only when read to their end,
+and stay if they hold at least half of the page's declared words or, on pages
+that declare nothing, two paragraphs and four times the words outside of every
+such element.  Within declared content a class or id counts only as a whole
+token of an unambiguous list, and ids only on plain containers.
 
 Weights are log odds of an event kind inside and outside the content of
-labelled pages, and of a tag's position.  A declaration labels a page for
+labelled pages, and of a tag's position, drawn towards default weights that
+count as ``PRIOR`` events each.  A declaration labels a page for
 learning; the region is found by the scan on every page.  Labelled are pages that declare their content (one ``article``,
 ``main``, ``role=main`` or ``itemprop=articleBody`` element); at most
 ``max_pages`` of them, those with the smallest hash of their id, are read (the
@@ -17,7 +23,9 @@ documented sample).  The kinds are a fixed list, so the table of weights is smal
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags,
 cut tags, unterminated comments and scripts are read as a browser would, to the
-end of the page; without labelled pages, default weights hold; pages repeated
+end of the page; without labelled pages, default weights hold; white space is what ``str.split``
+calls so, no-break spaces included; the work is linear in the page at any depth of
+nesting; pages repeated
 or sharing an id are read one by one; an empty table gives an empty table;
 extra columns are ignored unless named in ``keep``.
 """
@@ -27,7 +35,9 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +45,7 @@ from pyspark.sql import functions as F
 
 MAX_PAGES = 2_000
 LEAST_TAG = -0.01
-FEWEST = 50  # labelled pages below which the default weights hold
+PRIOR = 50  # events that a default weight counts as
 
 #: element lists of the HTML standard and usual names of page furniture (fixed values)
 RAW = {"script", "style", "noscript", "iframe", "template", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -44,10 +54,10 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
          "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre",
          "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "search", "button", "select", "svg", "canvas",
-             "audio", "video", "datalist", "map"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog",
-         "menu", "menubar", "toolbar", "status", "tablist", "note"}
+FURNITURE = {"nav", "footer", "aside", "menu", "button", "select", "svg", "canvas", "audio", "video", "datalist", "map"}
+MAYBE = {"header", "form", "dialog", "search"}
+ROLES = {"navigation", "menu", "menubar", "toolbar", "tablist"}
+MAYBE_ROLES = {"banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "status", "note"}
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
          "promotion", "banner", "sidebar", "sidebars", "rail", "menu", "nav", "navbar", "navigation", "breadcrumb",
          "breadcrumbs", "header", "masthead", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
@@ -60,20 +70,21 @@ NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
 #: class or id tokens that are furniture whatever the text is about (other names
 #: there are left to the scores)
 CONTENT_ROLES = {"alert", "status", "note"}
-SURE = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper",
-        "sponsored-links", "sidebar", "sidebars", "sidebar-left", "sidebar-right", "left-sidebar", "right-sidebar", "navbar",
-        "nav-menu", "main-menu", "main-navigation", "post-navigation", "breadcrumb", "breadcrumbs", "masthead", "site-footer",
-        "cookie-notice", "cookie-banner", "cookie-bar", "cookie-consent", "gdpr-notice", "popup", "newsletter-signup",
-        "newsletter-form", "subscribe-form", "signup-form", "login-form", "search-form", "comment-form", "social-share",
-        "social-links", "share-buttons", "share-bar", "sharedaddy", "related-posts", "related-articles", "recommended-posts",
-        "comments", "comments-area", "comment-list", "commentlist", "comment-respond", "disqus", "disqus-thread", "widget",
-        "widgets", "widget-area", "pagination", "pager", "skip-link", "outbrain", "taboola"}
+SURE = {"sidebar", "sidebars", "sidebar-left", "sidebar-right", "left-sidebar", "right-sidebar", "masthead", "popup", "pager"}
+#: whole tokens that are furniture anywhere, whatever is inside
+ALWAYS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper",
+          "sponsored-links", "navbar", "nav-menu", "main-menu", "main-navigation", "post-navigation", "breadcrumb", "breadcrumbs",
+          "site-footer", "cookie-notice", "cookie-banner", "cookie-bar", "cookie-consent", "gdpr-notice", "newsletter-signup",
+          "newsletter-form", "subscribe-form", "signup-form", "login-form", "search-form", "comment-form", "social-share",
+          "social-links", "share-buttons", "share-bar", "sharedaddy", "related-posts", "related-articles", "recommended-posts",
+          "comments", "comments-area", "comment-list", "commentlist", "comment-respond", "disqus", "disqus-thread", "widget-area",
+          "pagination", "skip-link", "outbrain", "taboola"}
 #: elements whose id names them as a part of the page; ids of others (headings,
 #: sections, ...) are slugs of their titles
 NAMED_BY_ID = {"div", "ul", "ol"}
 TOP = {"html", "body", "article", "main"}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "html", "body", "head"}
-KINDS = BLOCK | VOID | FURNITURE | {"a", "abbr", "b", "cite", "code", "em", "font", "i", "q", "s", "small", "span", "strong",
+KINDS = BLOCK | VOID | FURNITURE | MAYBE | {"a", "abbr", "b", "cite", "code", "em", "font", "i", "q", "s", "small", "span", "strong",
                                     "sub", "sup", "time", "u"}
 
 _TAG = re.compile(r"<(?:!--(?P<c>.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
@@ -89,27 +100,33 @@ def _attrs(text: str) -> dict[str, str]:
     return {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(text)}
 
 
-def _furniture(name: str, attrs: str, within: bool) -> bool:
-    """Whether the element's subtree holds no content; ``within``: inside the article."""
+def _furniture(name: str, attrs: str, within: bool) -> int:
+    """2: the element's subtree holds no content; 1: nor does it unless the element
+    wraps the content of the page; ``within``: inside the article."""
     if name in TOP:
-        return False
-    if name in FURNITURE and not (name == "header" and within):
-        return True
+        return 0
+    if name in FURNITURE:
+        return 2
+    maybe = int(name in MAYBE and not (name == "header" and within))
     if not attrs.strip():
-        return False
+        return maybe
     low = " " + attrs.lower()
     if re.search(r"\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", low) or _HIDDEN.search(low):
-        return True
+        return 2
     a = _attrs(attrs)
     role = a.get("role", "").lower()
-    if role in ROLES and not (within and role in CONTENT_ROLES):
-        return True
+    if role in ROLES:
+        return 2
+    if role in MAYBE_ROLES and not (within and role in CONTENT_ROLES):
+        maybe = 1
+    said = a.get("class", "") + (" " + a.get("id", "") if name in NAMED_BY_ID or not within else "")
+    tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", said).lower().replace("_", "-").split()
+    if not ALWAYS.isdisjoint(tokens):
+        return 2
     if within:
-        tokens = a.get("class", "") + (" " + a.get("id", "") if name in NAMED_BY_ID else "")
-        tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", tokens).lower().replace("_", "-")
-        return not SURE.isdisjoint(tokens.split())
-    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", a.get("class", "") + " " + a.get("id", "")).lower()
-    return not NAMES.isdisjoint(_PARTS.split(_STATE.sub(" ", said)))
+        return maybe or int(not SURE.isdisjoint(tokens))
+    parts = _PARTS.split(_STATE.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()))
+    return maybe or int(not NAMES.isdisjoint(parts))
 
 
 def _declares(name: str, attrs: str) -> bool:
@@ -119,31 +136,50 @@ def _declares(name: str, attrs: str) -> bool:
     return a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody"
 
 
+#: elements that end an open one of the same name unless a list or table lies between
+SIBLINGS = ("li", "tr", "td", "th", "dt", "dd", "option")
+HOLDERS = ("ul", "ol", "table", "tr", "dl", "select")
+WALLS = ("button", "td", "th", "table", "object")
+
+
 class Page:
     """The event sequence: ``kinds`` (feature names), ``words`` (0 for a tag),
     ``texts`` (of word events), ``block`` (running block number), ``inside``
-    (within the declared content)."""
+    (depth of declared content: 0, 1, or 2 for any more)."""
 
     __slots__ = ("kinds", "words", "texts", "block", "inside", "declared")
 
     def __init__(self, source: str):
         self.kinds, self.words, self.texts, self.block, self.inside = [], [], [], [], []
-        self.declared = 0
-        stack: list[tuple[str, bool, bool]] = []  # element, cut from here on, content from here on
-        cut, content, block, pos, n = False, False, 0, 0, len(source)
-        push = stack.append
+        stack: list[tuple[str, bool, int, int]] = []  # element, cut from here on, depth of content, its place in maybe
+        open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by element
+        maybe: list[list[int]] = []  # first event, end, depth of content around it, enclosing place in maybe
+        starts: list[int] = []  # first events of declared content
+        inner = -1  # place in maybe of the innermost open one
+        cut, content, block, pos, n = False, 0, 0, 0, len(source)
 
         def emit(kind, words, text):
             self.kinds.append(kind)
             self.words.append(words)
             self.texts.append(text)
             self.block.append(block)
-            self.inside.append(content and not cut)
+            self.inside.append(0 if cut else min(2, content))
+
+        def push(name, gone, depth, at):
+            open_at[name].append(len(stack))
+            stack.append((name, gone, depth, at))
 
         def pop():
-            nonlocal cut, content
-            stack.pop()
-            cut, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            nonlocal cut, content, inner
+            name, _, _, at = stack.pop()
+            open_at[name].pop()
+            if at >= 0:
+                maybe[at][1] = len(self.kinds)
+                inner = maybe[at][3]
+            cut, content = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+
+        def last(names):
+            return max((open_at[x][-1] for x in names if open_at[x]), default=-1)
 
         def said(raw):
             if raw and not cut:
@@ -181,37 +217,84 @@ class Page:
             if end:
                 if not cut:
                     emit("t:" + (name if name in KINDS else "other"), 0, None)
-                if any(s[0] == name for s in stack):
-                    while stack[-1][0] != name:
+                if open_at[name]:
+                    for _ in range(len(stack) - open_at[name][-1]):
                         pop()
-                    pop()
                 continue
             # implied ends
-            if name in CLOSES_P and any(s[0] == "p" for s in stack):
-                k = max(i for i, s in enumerate(stack) if s[0] == "p")
-                if not any(s[0] in ("button", "td", "th", "table", "object") for s in stack[k:]):
-                    while len(stack) > k:
-                        pop()
-            if name in ("li", "tr", "td", "th", "dt", "dd", "option"):
-                k = next((i for i in range(len(stack) - 1, -1, -1)
-                          if stack[i][0] == name or stack[i][0] in ("ul", "ol", "table", "tr", "dl", "select")), None)
-                if k is not None and stack[k][0] == name:
-                    while len(stack) > k:
-                        pop()
+            if name in CLOSES_P and open_at["p"] and last(WALLS) < open_at["p"][-1]:
+                for _ in range(len(stack) - open_at["p"][-1]):
+                    pop()
+            if name in SIBLINGS and open_at[name] and open_at[name][-1] == last((name, *HOLDERS)):
+                for _ in range(len(stack) - open_at[name][-1]):
+                    pop()
             if not cut:
                 emit("t:" + (name if name in KINDS else "other"), 0, None)
             if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCK and name != "a":
                 continue
-            main = content
-            if not cut and _declares(name, attrs):
-                if not content:
-                    self.declared += 1
-                main = True
-            gone = cut or _furniture(name, attrs, main)
-            if gone and not cut:  # a cut subtree is one event
-                self.kinds[-1] = "t:cut"
-            push((name, gone, main))
-            cut, content = gone, main
+            depth, gone, at = content, cut, -1
+            if not cut:
+                depth += _declares(name, attrs)
+                known = _furniture(name, attrs, depth > 0)
+                gone = known == 2
+                if depth and not content and not gone:
+                    starts.append(len(self.kinds) - 1)
+                if known == 2:  # a cut subtree is one event
+                    self.kinds[-1] = "t:cut"
+                elif known:
+                    at = len(maybe)
+                    maybe.append([len(self.kinds) - 1, 0, content, inner])
+                    inner = at
+            push(name, gone, depth, at)
+            cut, content = gone, depth
+        while stack:
+            pop()
+        gaps = self._gaps(maybe)
+        before = [bisect_left(gaps, (x + 1,)) - 1 for x in starts]
+        self.declared = sum(i < 0 or x >= gaps[i][1] for x, i in zip(starts, before))
+        self._cut(gaps)
+
+    def _gaps(self, maybe) -> list[tuple[int, int]]:
+        """Events of the elements named like furniture that do not wrap the content."""
+        if not maybe:
+            return []
+        said = [0, *accumulate(self.words)]
+        declared = [[0, *accumulate(w if d > at else 0 for w, d in zip(self.words, self.inside))] for at in (0, 1)]
+        paragraphs = [0, *accumulate(k == "t:p" for k in self.kinds)]
+        children = defaultdict(list)
+        for at, m in enumerate(maybe):
+            children[m[3]].append(at)
+        gaps, todo = [], [(-1, 0, len(self.kinds))]
+        while todo:
+            around, lo, hi = todo.pop()
+            words = {at: said[maybe[at][1]] - said[maybe[at][0]] for at in children[around]}
+            free = said[hi] - said[lo] - sum(words.values())
+            most = max(words.values(), default=0)
+            for at, w in words.items():
+                first, end, depth, _ = maybe[at]
+                if declared[0][-1]:
+                    own = declared[depth][end] - declared[depth][first] if depth < 2 else 0
+                    wraps = 2 * own >= declared[0][-1]
+                else:
+                    wraps = w == most and 4 * free <= w and paragraphs[end] - paragraphs[first] > 1
+                if wraps:
+                    todo.append((at, first, end))
+                else:
+                    gaps.append((first, end))
+        return sorted(gaps)
+
+    def _cut(self, gaps) -> None:
+        """Each gap becomes one event."""
+        if not gaps:
+            return
+        rows = list(zip(self.kinds, self.words, self.texts, self.block, self.inside))
+        kept, pos = [], 0
+        for lo, hi in gaps:
+            kept += rows[pos:lo]
+            kept.append(("t:cut", 0, None, *rows[lo][3:]))
+            pos = hi
+        kept += rows[pos:]
+        self.kinds, self.words, self.texts, self.block, self.inside = map(list, zip(*kept))
 
     def scores(self, weights: dict[str, float]) -> list[float]:
         """Per event, by the same weights on every page; tags within declared content
@@ -257,6 +340,11 @@ DEFAULTS = {"w:text": 1.0, "w:a": 0.1, "w:li": 0.3, "w:td": 0.3, "w:th": 0.1, "w
             "t:h1": -0.1, "t:h2": -0.1, "t:h3": -0.1, "t:blockquote": -0.1, "t:article": -0.1, "t:section": -0.3, "t:main": -0.1}
 
 
+def _drawn(learnt: float, events: int, default: float) -> float:
+    """``learnt`` from ``events``, drawn towards the default that counts as ``PRIOR`` events."""
+    return (events * learnt + PRIOR * default) / (events + PRIOR)
+
+
 def _tally(batches):
     for b in batches:
         sums = defaultdict(lambda: [0, 0])
@@ -284,20 +372,21 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     rows = (picked.mapInArrow(_tally, "kind string, inside long, outside long").groupBy("kind")
             .agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect())
     count = {r["kind"]: (r["i"], r["o"]) for r in rows}
-    if count.pop("pages", (0, 0))[0] < FEWEST:
+    if not count.pop("pages", (0, 0))[0]:
         return dict(DEFAULTS)
     weights = dict(DEFAULTS)
     for sort in "wt":
         own = {k: v for k, v in count.items() if k[0] == sort}
         i, o = sum(v[0] for v in own.values()) + 1, sum(v[1] for v in own.values()) + 1
         if sort == "t":  # how much likelier a tag lies in the content than not
-            weights["at:inside"] = min(1.0, max(0.0, math.log(i / o)))
+            weights["at:inside"] = _drawn(min(1.0, max(0.0, math.log(i / o))), i + o, DEFAULTS["at:inside"])
         for k, (a, b) in own.items():
             odds = math.log((a + 0.5) / i) - math.log((b + 0.5) / o)
             if sort == "w":  # words speak for content
-                weights[k] = min(3.0, max(0.05, odds))
+                odds = min(3.0, max(0.05, odds))
             else:  # tags speak against it; a cut subtree alone does not end a region
-                weights[k] = max(-1.0 if k == "t:cut" else -5.0, min(-0.02, odds))
+                odds = max(-1.0 if k == "t:cut" else -5.0, min(-0.02, odds))
+            weights[k] = _drawn(odds, a + b, DEFAULTS.get(k, DEFAULTS["w:text" if sort == "w" else "t:other"]))
     return weights
 
 

@@ -59,6 +59,76 @@ def test_scores_decide_on_pages_that_declare_content():
     assert text(page(f"<article>{long}{items}</article>")) == "\n".join([P1] * 23)
 
 
+WRAPPERS = ["<form id=aspnetForm action='/p'>{}</form>", '<div class="layout sidebar-right">{}</div>', '<div class="site header-fixed">{}</div>',
+            '<div class="search-page">{}</div>', '<div role="dialog">{}</div>', "<header>{}</header>", "<form><div class='nav-site'>{}</div></form>"]
+
+
+def test_wrappers_named_like_furniture_keep_the_article():
+    paragraphs = "".join(f"<p>{P1} Part {i}</p>" for i in range(6))
+    want = "\n".join(f"{P1} Part {i}" for i in range(6))
+    around = "".join(FURNITURE) + "<div class='related-posts'><article><p>Another story, told in short.</p></article></div>"
+    for w in WRAPPERS:
+        for main in ("<article>{}</article>", "<main>{}</main>", "<div role=main>{}</div>", "<main><div class='sidebar-right'><article>{}</article></div></main>"):
+            assert text(page(w.format(around + main.format(paragraphs) + around))) == want, (w, main)
+        assert text(page(w.format(around + paragraphs + around))) == want, w
+        replies = "<ol class='comment-list'><li><article class='comment'><p>" + "A long reply of many words. " * 60 + "</p></article></ol>"
+        assert text(page(w.format(f"<article>{paragraphs}</article>{replies}"))) == want, w
+    assert text(page(f"<article><p>{P1}</p><div class='widget'><p>{P1}</p></div></article>")) == f"{P1}\n{P1}"
+    assert text(page(f"<article><p>{P1}</p><form><p>Your mail</p><p>Your name</p></form></article>")) == P1
+
+
+def test_work_is_linear_in_depth():
+    import time
+    start = time.time()
+    for name in ("div", "p><table", "li", "form", "div class=sidebar", "article", "b"):
+        n = 100_000
+        got = text(f"<{name}>" * n + "deep words")
+        assert got == "deep words" or name in ("form", "div class=sidebar", "article"), name
+    assert time.time() - start < 60
+
+
+def test_scan_and_weights_against_plain_versions(spark):
+    import math
+    import random
+    from collections import Counter
+    rng = random.Random(5)
+    rows = spark.read.parquet(f"{SF_SMALL}/pages.parquet").limit(12).collect()
+    weights = H.fit_weights(spark.createDataFrame([(r.page_id, r.html) for r in rows], "page_id long, html string"))
+    inside, outside = Counter(), Counter()
+    for r in rows:
+        p = H.Page(r.html)
+        assert p.declared == 1
+        for kind, words, at in zip(p.kinds, p.words, p.inside):
+            (inside if at else outside)[kind] += max(1, words) if kind[0] == "w" else 1
+    for kind in {*inside, *outside}:
+        same = [k for k in {*inside, *outside} if k[0] == kind[0]]
+        i, o = (1 + sum(c[k] for k in same) for c in (inside, outside))
+        odds = math.log((inside[kind] + 0.5) / i) - math.log((outside[kind] + 0.5) / o)
+        low, high = (0.05, 3.0) if kind[0] == "w" else (-1.0 if kind == "t:cut" else -5.0, -0.02)
+        n, prior = inside[kind] + outside[kind], H.DEFAULTS.get(kind, H.DEFAULTS["w:text" if kind[0] == "w" else "t:other"])
+        assert abs(weights[kind] - (n * min(high, max(low, odds)) + H.PRIOR * prior) / (n + H.PRIOR)) < 1e-12
+    for _ in range(200):  # the region: best sum over all pairs of ends
+        body = "".join(rng.choice([f"<p>{rng.randrange(999)} w", "</p>", "<div>", "</div>", "<a href=x>l m</a>", "<ul><li>i", "</ul>", "<br>", "t u v"])
+                       for _ in range(rng.randrange(30)))
+        p = H.Page(body)
+        s = p.scores(H.DEFAULTS)
+        sums = {(a, b): sum(s[a:b + 1]) for a in range(len(s)) for b in range(a, len(s))}
+        best = max(sums.values(), default=0)
+        got = p.main_text(H.DEFAULTS)
+        if best <= 0:
+            assert got == ""
+            continue
+        texts = set()
+        for (a, b), v in sums.items():
+            if v > best - 1e-9:
+                parts = {}
+                for kind, t, k in zip(p.kinds, p.texts, p.block):
+                    if p.block[a] <= k <= p.block[b]:
+                        parts[k] = parts.get(k, "") + (t or (" " if kind == "t:br" else ""))
+                texts.add("\n".join(x for x in (" ".join(v.split()) for v in parts.values()) if x))
+        assert got in texts
+
+
 def test_blocks_references_and_broken_markup():
     assert text(page("<article><p>a<b>b</b> c<br>d</p><ul><li>x<li>y</ul>&lt;z&gt; &eacute;&#233;&#xe9; &nope;</article>")) == \
         "ab c d\nx\ny\n<z> ééé &nope;"
