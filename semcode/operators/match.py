@@ -3,8 +3,11 @@ cosine-similar reference vector, or "Other" below a threshold.
 
 One behaviour at every reference size.  Only (row number, vector) of a
 reference takes part in the search; class and node are joined to the winner
-afterwards, so texts never travel with the vectors.  Reference rows without a
-vector cannot be matched and are left out (``reference_report`` counts them).
+afterwards, so texts never travel with the vectors.  That join is a broadcast
+when class and node are within a checked size; else it is salted by the corpus
+row, as one reference (or a missing vector) may win a third of the corpus.
+Reference rows without a vector cannot be matched and are left out
+(``reference_report`` counts them).
 
 * **Broadcast plan** (reference matrix within a checked byte budget, or a
   streaming corpus): the matrix is broadcast in slices of at most
@@ -15,7 +18,11 @@ vector cannot be matched and are left out (``reference_report`` counts them).
   are written once to the shared checkpoint folder; references in R blocks meet
   the corpus in C chunks, one cogroup task per pair with sizes from the counts;
   winners are reduced by the internal number, so repeated or missing keys do
-  not mix.
+  not mix.  With ``keep_all`` the pairs also return their similarities.
+
+A stream cannot be cut into blocks: above the budget classify it batch by batch
+(``streaming.classify_stream.classify_batches``), where each batch takes the
+blocked plan; ``match`` itself broadcasts the reference to a stream at any size.
 
 Ties go to the lowest ``ref_id`` (then the reference's own order) in both
 plans; decisions use scores rounded to 9 decimals so that BLAS summation order
@@ -37,6 +44,8 @@ from semcode.session import checkpoint_dir
 OTHER = "Other"
 DEFAULT_BROADCAST_BYTES = 256 << 20   # reference matrix budget (doubles)
 DEFAULT_BLOCK_BYTES = 64 << 20        # one GEMM slice: rows x M x 8 bytes
+MAX_NAME_BYTES = 64 << 20             # class and node of the reference, to be broadcast
+SALTS = 16                            # parts of a winner's rows in the salted join
 
 
 def check_threshold(threshold: float) -> float:
@@ -173,9 +182,6 @@ def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",
     if n_ref == 0:
         raise ValueError("The reference set is empty.")
     fits = n_ref * dim * 8 <= max_broadcast_bytes
-    if keep_all and not fits:
-        raise ValueError("keep_all needs the broadcast plan: the reference set "
-                         f"({n_ref} x {dim}) is over max_broadcast_bytes")
     slices = _broadcast_slices(ref, dim, block_bytes) if fits or corpus.isStreaming else []
     # an explicit array<double>: the UDF reads Arrow buffers of doubles
     vectors = F.col(vec).cast("array<double>")
@@ -185,16 +191,29 @@ def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",
             found = found.withColumn("all_similarities", _similarity_udf(slices, dim)(vectors))
         found = found.withColumns({"__row": F.col("__match.row"), "similarity_score": F.col("__match.score")}).drop("__match")
     else:
-        found = _blocked(corpus, ref, vec, n_ref, dim, block_bytes)
-    out = found.join(ref.drop("__vec"), "__row", "left").select(
+        found = _blocked(corpus, ref, vec, n_ref, dim, block_bytes, keep_all)
+    salt = [c for c in (key, vec) if c in corpus.columns]
+    out = _named(found, ref.drop("__vec"), salt, min(max_broadcast_bytes, MAX_NAME_BYTES)).select(
         *[F.col(f"`{c}`") for c in corpus.columns], "best_ref_id", "best_class", "best_node", "similarity_score",
         *(["all_similarities"] if keep_all else []))
     out._broadcasts = slices
     return out
 
 
-def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int, block_bytes: int) -> DataFrame:
-    """Corpus columns + ``__row`` and ``similarity_score`` by reference blocks."""
+def _named(found: DataFrame, names: DataFrame, salt: list[str], budget: int) -> DataFrame:
+    """Class and node of the winner: broadcast within ``budget`` bytes, else salted."""
+    text = F.coalesce(F.octet_length("best_class"), F.lit(0)) + F.coalesce(F.octet_length("best_node"), F.lit(0))
+    if names.agg(F.sum(text + 64)).first()[0] <= budget:
+        return found.join(F.broadcast(names), "__row", "left")
+    names = names.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = found.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt]), F.lit(SALTS)))
+    return found.join(names, ["__row", "__salt"], "left")
+
+
+def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int, block_bytes: int,
+             keep_all: bool = False) -> DataFrame:
+    """Corpus columns + ``__row`` and ``similarity_score`` by reference blocks
+    (+ ``all_similarities`` with ``keep_all``)."""
     spark = corpus.sparkSession
     corpus = corpus.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
     ref_blocks = max(1, math.ceil(n_ref * dim * 8 / block_bytes))
@@ -218,12 +237,32 @@ def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int,
         return pa.table({"__id": q.column("__id"), "__row": r.column("__row").take(pa.array(j)),
                          "best_ref_id": r.column("best_ref_id").take(pa.array(j)), "similarity_score": pa.array(score)})
 
-    partial = (q_side.groupBy("__rb", "__cb").cogroup(ref_side.groupBy("__rb", "__cb"))
-               .applyInArrow(block, "__id long, __row long, best_ref_id long, similarity_score double"))
+    pairs = q_side.groupBy("__rb", "__cb").cogroup(ref_side.groupBy("__rb", "__cb"))
+    partial = pairs.applyInArrow(block, "__id long, __row long, best_ref_id long, similarity_score double")
     best = partial.groupBy("__id").agg(F.max_by(
         F.struct("__row", "similarity_score"),
         F.struct("similarity_score", -F.col("best_ref_id"), -F.col("__row"))).alias("__w"))
-    return corpus.join(best.select("__id", "__w.*"), "__id", "left").drop("__id")
+    found = corpus.join(best.select("__id", "__w.*"), "__id", "left")
+    if keep_all:
+        cell = pa.struct([("best_ref_id", pa.int64()), ("__row", pa.int64()), ("s", pa.float64())])
+
+        def every(q: pa.Table, r: pa.Table) -> pa.Table:
+            if not q.num_rows or not r.num_rows:
+                return pa.table({"__id": pa.array([], pa.int64()), "cells": pa.array([], pa.list_(cell))})
+            mat = _matrix(r.column("__vec").combine_chunks(), dim)
+            sim = _similarities(_matrix(q.column("__vec").combine_chunks(), dim), mat, np.sqrt(np.einsum("ij,ij->i", mat, mat)))
+            n, m = sim.shape
+            at = pa.array(np.tile(np.arange(m), n))
+            cells = pa.StructArray.from_arrays([r.column("best_ref_id").combine_chunks().take(at), r.column("__row").combine_chunks().take(at),
+                                                pa.array(sim.ravel())], fields=list(cell))
+            return pa.table({"__id": q.column("__id"),
+                             "cells": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), cells)})
+
+        cells = pairs.applyInArrow(every, "__id long, cells array<struct<best_ref_id:long,__row:long,s:double>>")
+        rows = cells.groupBy("__id").agg(F.transform(F.array_sort(F.flatten(F.collect_list("cells"))), lambda x: x["s"])
+                                         .alias("all_similarities"))
+        found = found.join(rows, "__id", "left")
+    return found.drop("__id")
 
 
 def apply_threshold(matches: DataFrame, threshold: float, *, score_col: str = "similarity_score",

@@ -5,6 +5,10 @@ shuffle-free, so the same operators run on a streaming DataFrame: new files
 are classified as they arrive against a static, broadcast reference set.  No
 watermark or state store is needed.  The sink is Parquet with its own
 checkpoint location so a restarted query resumes where it stopped.
+
+A reference above the broadcast budget needs the blocked plan, which shuffles:
+``classify_batches`` runs it on every micro-batch and writes each batch to a
+folder of its own, so that a batch that is run again replaces its first output.
 """
 
 from __future__ import annotations
@@ -41,3 +45,20 @@ def run_available(df: DataFrame, out_path: str, checkpoint_path: str, name: str
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+
+
+def classify_batches(stream: DataFrame, reference: DataFrame, threshold: float, out_path: str, checkpoint_path: str, *,
+                     key: str = "doc_id", vec: str = "embedding", columns: list[str] | None = None,
+                     max_broadcast_bytes: int = M.DEFAULT_BROADCAST_BYTES, block_bytes: int = M.DEFAULT_BLOCK_BYTES) -> None:
+    """Classify everything available now against a reference of any size; read
+    ``out_path`` as one Parquet table (partition column ``batch``)."""
+    def one(batch: DataFrame, number: int) -> None:
+        matches = M.match(batch, reference, key=key, vec=vec, max_broadcast_bytes=max_broadcast_bytes, block_bytes=block_bytes)
+        out = M.apply_threshold(matches, threshold)
+        out.select(*(columns or out.columns)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        M.release(matches)
+
+    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()

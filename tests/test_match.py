@@ -86,6 +86,25 @@ def test_keep_all_in_ref_order(spark, ref, docs):
     assert m[5]["all_similarities"] == pytest.approx([0.6, 0.6, 0.8, 0.0])  # ref_id 3, 5, 7, 9
 
 
+def test_keep_all_by_blocks(spark, ref, docs):
+    a, b = (_rows(M.match(docs, ref, keep_all=True, max_broadcast_bytes=x, block_bytes=y))
+            for x, y in ((M.DEFAULT_BROADCAST_BYTES, M.DEFAULT_BLOCK_BYTES), (0, 24)))
+    assert a == b and b[3]["all_similarities"] is None and len(b[4]["all_similarities"]) == 4
+    ref2 = spark.createDataFrame([(4, "A", "a", [1.0, 0.0]), (4, "B", "b", [0.0, 1.0]), (None, "N", "n", [1.0, 1.0])], REF_SCHEMA)
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (None, [0.0, 0.0])], DOC_SCHEMA)
+    a, b = (sorted(map(str, M.match(corpus, ref2, keep_all=True, max_broadcast_bytes=x, block_bytes=16).select(
+        "doc_id", "embedding", "all_similarities").collect())) for x in (M.DEFAULT_BROADCAST_BYTES, 0))
+    assert a == b
+
+
+def test_salted_names(spark):
+    ref = spark.createDataFrame([(1, "A", None, [1.0, 0.0]), (2, None, "b", [0.0, 1.0])], REF_SCHEMA)
+    corpus = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, F.array(F.lit(1.0), F.when(F.col("id") % 4 == 3, 2.0).otherwise(0.0)))
+                                     .alias("embedding"))
+    rows = [sorted(map(str, M.match(corpus, ref, max_broadcast_bytes=x).collect())) for x in (M.DEFAULT_BROADCAST_BYTES, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) == 400
+
+
 def test_blocked_plan_equals_broadcast_plan(spark):
     corpus, reference = I.embedding_corpus(spark, SF_SMALL), I.embedding_reference(spark, SF_SMALL)
     a = M.match(corpus, reference).select("doc_id", "best_ref_id", F.round("similarity_score", 9).alias("s"))

@@ -89,6 +89,21 @@ def test_stream_above_the_broadcast_budget(spark):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_stream_in_blocks_and_a_batch_run_again(spark):
+    from semcode.operators import match as M
+    schema = I.table(spark, SF_SMALL, "embeddings").schema
+    stream = (CS.file_stream(spark, SF_SMALL, schema, glob="embeddings.parquet")
+              .where(~I.is_reference("vec_id")).select(F.col("vec_id").alias("doc_id"), "embedding"))
+    ref = I.embedding_reference(spark, SF_SMALL)
+    base = os.path.join(checkpoint_dir(spark), f"s-{uuid.uuid4().hex}")
+    want = M.apply_threshold(M.match(I.embedding_corpus(spark, SF_SMALL), ref), 0.3).select("doc_id", "predicted_class", "matched_node")
+    for state in ("/state", "/state", "/lost"):  # the last run has lost its progress: its batch replaces the first
+        CS.classify_batches(stream, ref, 0.3, base + "/out", base + state, max_broadcast_bytes=0, block_bytes=4096,
+                            columns=["doc_id", "predicted_class", "matched_node"])
+        got = spark.read.parquet(base + "/out").drop("batch")
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
 def test_stream_equals_batch(spark):
     schema = I.table(spark, SF_SMALL, "embeddings").schema
     stream = (CS.file_stream(spark, SF_SMALL, schema, glob="embeddings.parquet")
