@@ -22,7 +22,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcode.functions.hashing import md5_u32
@@ -253,6 +253,52 @@ def knee_point(ks, inertias, sensitivity: float = KNEE_SENSITIVITY):
     return None
 
 
+def knee_curve(curve: DataFrame, x: str = "k", y: str = "inertia", group_cols=(),
+               sensitivity: float = KNEE_SENSITIVITY) -> DataFrame:
+    """``(group..., x, y, difference, is_knee)``: the knee rule of ``knee_point`` as
+    windows, for any number of curves at once (a task holds the points of a curve).
+    Curves of fewer than three points or without any fall have null differences
+    and no knee; points of a curve need distinct ``x``."""
+    group = list(group_cols)
+    whole, run = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(x)
+    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def scaled(c):
+        low, high = F.min(c).over(whole), F.max(c).over(whole)
+        return F.try_divide(F.col(c) - low, high - low)
+
+    d = (curve.select(*group, x, y).withColumn("_n", F.count(F.lit(1)).over(whole))
+         .withColumn("difference", F.when(F.col("_n") > 2, 1.0 - scaled(y) - scaled(x)))
+         .withColumn("_i", F.row_number().over(run)))
+    near = [F.coalesce(f("difference").over(run), F.col("difference")) for f in (F.lag, F.lead)]
+    top = (F.col("difference") >= near[0]) & (F.col("difference") >= near[1])
+    low = (F.col("difference") <= near[0]) & (F.col("difference") <= near[1])
+    d = d.withColumns({"_top": top, "_low": low, "_next": F.lead("difference").over(run)})
+
+    def latest(flag, value):
+        return F.last(F.when(F.col(flag), F.col(value)), ignorenulls=True).over(upto)
+
+    d = d.withColumns({"_t": latest("_top", "_i"), "_at": latest("_top", "difference"), "_m": latest("_low", "_i")})
+    limit = F.when(F.col("_m") >= F.col("_t"), 0.0).otherwise(F.col("_at") - sensitivity / (F.col("_n") - 1))
+    d = d.withColumn("_first", F.min(F.when(F.col("_next") < limit, F.struct("_i", "_t"))).over(whole))
+    return d.select(*group, x, y, "difference", F.coalesce(F.col("_first._t") == F.col("_i"), F.lit(False)).alias("is_knee"))
+
+
+def merged_inertias(df: DataFrame, vec: str = "embedding", cluster_col: str = "cluster") -> DataFrame:
+    """``(k, inertia)`` of the nested groupings in which the clusters from ``k - 1``
+    up (numbered from 0) are one; one read of the vectors, then sums per cluster."""
+    v = df.select(F.col(cluster_col).cast("int").alias("c"), F.col(vec).cast("array<double>").alias("v"))
+    own = v.groupBy("c").agg(F.count("v").alias("n"), F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("q"),
+                             vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("s"))
+    top = own.agg(F.max("c").alias("top")).withColumn("_g", F.lit(0))
+    ks = (own.withColumn("_g", F.lit(0)).join(F.broadcast(top), "_g")
+          .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("top") + 1))).withColumn("c", F.least("c", F.col("k") - 1)))
+    sums = ks.groupBy("k", "c").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+    squares = (ks.select("k", "c", F.posexplode("s").alias("d", "x")).groupBy("k", "c", "d").agg(F.sum("x").alias("x"))
+               .groupBy("k", "c").agg(F.sum(F.col("x") * F.col("x")).alias("ss")))
+    return sums.join(squares, ["k", "c"]).groupBy("k").agg(F.sum(F.col("q") - F.col("ss") / F.col("n")).alias("inertia"))
+
+
 def choose_k(metrics: DataFrame) -> tuple[int, str]:
     """Knee of the inertia curve, else the k with the best silhouette (first).
     The metric table has one row per k (bounded by ``max_k``)."""

@@ -15,6 +15,8 @@ from semcode.plans.registry import register, r6, r9
 
 N_BOOT = 1000   # the library's default
 N_SWEEP = 100
+N_GROUPS = 50   # groups of rows left out in turn by the jackknife
+N_BINS = 30
 LEVELS = (0.9, 0.95, 0.99)
 START, END, STEP = I.GRID
 GRID = TH.threshold_grid(START, END, STEP)
@@ -159,6 +161,25 @@ def q_boot_hist(spark, sf_dir):
     return h.groupBy("metric").agg(F.sum("n").alias("n"), F.min(fit).alias("bins_fit"))
 
 
+@register("jackknife_histogram", f"""WITH {I.EMB_SQL}, {PRED_SQL},
+per AS (SELECT doc_id % {N_GROUPS} AS g, count(*) FILTER (WHERE true_label = predicted_class) AS c, count(*) AS n FROM pred GROUP BY 1),
+reps AS (SELECT ((sum(c) OVER ()) - c)::DOUBLE / ((sum(n) OVER ()) - n)::DOUBLE AS value FROM per),
+rng AS (SELECT min(value) AS lo, max(value) AS hi FROM reps),
+b AS (SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((value - lo) / (hi - lo) * {N_BINS}) + 1, {N_BINS}) END AS INTEGER) AS bin, lo, hi
+      FROM reps, rng)
+SELECT 'accuracy' AS metric, bin, round(lo + (bin - 1) * (hi - lo) / {N_BINS}, 9) AS bin_lower, round(lo + bin * (hi - lo) / {N_BINS}, 9) AS bin_upper,
+       count(*) AS n FROM b GROUP BY bin, lo, hi""")
+def q_jackknife_hist(spark, sf_dir):
+    """Bins of the accuracy when one of 50 groups of rows is left out in turn: a
+    replicate table that is the same for every engine."""
+    p = thresholded(spark, sf_dir).select((F.col("doc_id") % N_GROUPS).alias("g"), (F.col("true_label") == F.col("predicted_class")).alias("hit"))
+    per = p.groupBy("g").agg(F.count_if("hit").alias("c"), F.count(F.lit(1)).alias("n")).withColumn("_g", F.lit(0))
+    whole = per.groupBy("_g").agg(F.sum("c").alias("all_c"), F.sum("n").alias("all_n"))
+    reps = per.join(whole, "_g").select(F.lit("accuracy").alias("metric"),
+                                        F.try_divide(F.col("all_c") - F.col("c"), F.col("all_n") - F.col("n")).alias("value"))
+    return B.histogram(reps, N_BINS).select("metric", "bin", r9("bin_lower").alias("bin_lower"), r9("bin_upper").alias("bin_upper"), "n")
+
+
 @register("bootstrap_cells_intervals", f"""WITH {CELLS_SQL}, {_METRICS_SQL}, lv AS ({_LEVEL_SQL})
 SELECT metric, level, round(value, 6) AS point, TRUE AS holds_point FROM pt, lv""")
 def q_boot_cells(spark, sf_dir):
