@@ -3,7 +3,11 @@ inertia, exact and fast silhouette, cluster sizes, 2-D projection.
 
 KMeans models of all k and restarts share their scans: a round computes the
 distances of each batch to the centres of all open models in one product and sends
-sums as large as the centres.  PCA is MLlib's.  The exact silhouette needs every
+sums as large as the centres.  ``method="coreset"`` fits them to a weighted summary
+instead: partitions reduce their rows to at most ``CORESET_ROWS`` groups (row count,
+vector sum, squared norms), groups of partitions merge them in a tree, the models run
+on the summary as Spark tasks, and one scan of all rows gives the exact inertia.
+PCA is MLlib's.  The exact silhouette needs every
 pairwise distance: rows are hash-split into B blocks and each (block, block)
 pair is one cogroup task that computes its distance tile with a GEMM and
 emits only per-(row, cluster) distance sums — N x k x B rows, never N² pairs.
@@ -17,7 +21,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -26,10 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcode.functions.hashing import md5_u32
+from semcode.session import checkpoint_dir
 
 TILE_BYTES = 64 << 20
 KNEE_SENSITIVITY = 1.0
 SEED_ROWS = 4096
+CORESET_ROWS = 1024     # groups of a coreset
+CORESET_FAN = 16        # coresets that one task merges
+CORESET_ROUNDS = 8      # sampling rounds of a reduction
 # Fixed values of the reference's KMeans: relative tolerance 1e-4 (scaled by
 # the mean per-dimension variance), at most 300 iterations.
 REL_TOL = 1e-4
@@ -146,13 +154,158 @@ def lloyd(data: DataFrame, vec: str, starts: dict, tol: float, max_iter: int = M
     return done
 
 
-def fit_kmeans(data: DataFrame, key: str, vec: str, ks: list[int], n_init: int, seed: int, tol: float) -> dict:
-    """By k the best of ``n_init`` restarts (inertia, first restart on ties)."""
+def fit_kmeans(data: DataFrame, key: str, vec: str, ks: list[int], n_init: int, seed: int, tol: float,
+               method: str = "full", polish: int = 0) -> dict:
+    """By k the best of ``n_init`` restarts (inertia, first restart on ties).
+
+    ``"full"`` runs every restart on all rows.  ``"coreset"`` runs them on a coreset and
+    the best of every k on all rows, for at most ``polish`` rounds (0: one scan, which
+    scores the centres)."""
     models = [(k, i) for k in ks for i in range(n_init)]
+    if method == "coreset":
+        best = coreset_fits(coreset(data, key, vec, seed=seed), models, seed, tol)
+        return lloyd(data, vec, best, tol, polish)
+    if method != "full":
+        raise ValueError(f"Unknown method: {method}")
     done = lloyd(data, vec, first_centres(data, key, vec, models, seed), tol)
     return {k: done[k, min((done[k, i][1], i) for i in range(n_init))[1]] for k in ks}
 
 
+_GROUPS = "part long, n double, sums array<double>, squares double"
+
+
+def _reduce(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, rows: int, rng):
+    """Groups merged to at most ``rows``: points are drawn in rounds by weighted squared
+    distance to those drawn before, and every group joins its nearest one.  Counts, sums
+    and squared norms are added, so their totals stay what they were."""
+    if len(n) <= rows:
+        return n, sums, squares
+    x = sums / n[:, None]
+    picked = np.array([rng.choice(len(x), p=n / n.sum())])
+    near = _squares(x, x[picked])[:, 0]
+    own = np.zeros(len(x), np.int64)
+    share = math.ceil((rows - 1) / CORESET_ROUNDS)
+    while len(picked) < rows:
+        far = n * near
+        far[picked] = 0.0
+        some = min(share, rows - len(picked), int((far > 0).sum()))
+        if not some:
+            break
+        new = rng.choice(len(x), some, replace=False, p=far / far.sum())
+        d = _squares(x, x[new])
+        j = d.argmin(1)
+        low = d[np.arange(len(x)), j]
+        closer = low < near
+        own[closer], near[closer] = len(picked) + j[closer], low[closer]
+        own[new], near[new] = len(picked) + np.arange(some), 0.0
+        picked = np.append(picked, new)
+    out = [np.zeros((len(picked), *v.shape[1:])) for v in (n, sums, squares)]
+    for total, v in zip(out, (n, sums, squares)):
+        np.add.at(total, own, v)
+    return out
+
+
+def _group_batch(part: int, n, sums, squares) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(n), part, np.int64)), pa.array(n),
+         pa.array(list(sums), pa.list_(pa.float64())), pa.array(squares)], names=["part", "n", "sums", "squares"])
+
+
+def coreset(data: DataFrame, key: str, vec: str = "embedding", rows: int = CORESET_ROWS, seed: int = 42,
+            fan: int = CORESET_FAN) -> DataFrame:
+    """``(n, sums, squares)``: at most ``rows`` groups of like vectors, with the number
+    of rows in each, the sum of their vectors and of their squared norms.
+
+    Every row with a vector is in exactly one group, so the totals are those of the table.
+    A partition streams its rows (ordered by key hash, so a retried task groups alike)
+    through a buffer of twice ``rows``; then ``fan`` coresets at a time are merged until
+    one is left.  A task holds ``fan`` x ``rows`` groups at most, at any table size.
+    Null vectors are left out; without any vector the result is empty."""
+    def scan(batches):
+        part = TaskContext.get().partitionId()
+        rng, held, count = np.random.default_rng([seed, part]), [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _vectors(b.column(0))
+            for lo in range(0, len(x), rows):
+                cut = x[lo:lo + rows]
+                held.append((np.ones(len(cut)), cut, (cut * cut).sum(1)))
+                count += len(cut)
+                if count > 2 * rows:
+                    held = [_reduce(*map(np.concatenate, zip(*held)), rows, rng)]
+                    count = len(held[0][0])
+        if held:
+            yield _group_batch(part, *_reduce(*map(np.concatenate, zip(*held)), rows, rng))
+
+    def merge(t: pa.Table) -> pa.Table:
+        up = t.column("up")[0].as_py()
+        t = t.sort_by([(c, "ascending") for c in ("part", "at")])
+        sums = _vectors(t.column("sums").combine_chunks())
+        out = _reduce(t.column("n").to_numpy(), sums, t.column("squares").to_numpy(), rows, np.random.default_rng([seed, up, level]))
+        return pa.Table.from_batches([_group_batch(up, *out)])
+
+    checkpoint_dir(data.sparkSession)
+    ordered = data.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), md5_u32(key).alias("h"),
+                                                        F.col(key).alias("k")).sortWithinPartitions("h", "k").select("v")
+    groups = ordered.mapInArrow(scan, _GROUPS).withColumn("at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    level = 0
+    while groups.agg(F.max("part") > F.min("part")).first()[0]:
+        level += 1
+        groups = (groups.withColumn("up", F.floor(F.col("part") / fan).cast("long")).groupBy("up").applyInArrow(merge, _GROUPS)
+                  .withColumn("at", F.monotonically_increasing_id()).checkpoint(eager=True))
+    return groups.select("n", "sums", "squares")
+
+
+def _weighted_lloyd(n, sums, squares, k: int, rng, tol: float, max_iter: int):
+    """(centres, inertia) of one restart on the groups of a coreset."""
+    x = sums / n[:, None]
+    inner = squares - n * (x * x).sum(1)  # spread inside the groups
+    at = [int(rng.choice(len(x), p=n / n.sum()))]
+    near = _squares(x, x[at])[:, 0]
+    while len(at) < k:
+        far = n * near
+        at.append(int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x))))
+        near = np.minimum(near, _squares(x, x[at[-1:]])[:, 0])
+    c = x[at]
+    for _ in range(max_iter):
+        one = np.zeros((k, len(x)))
+        one[_squares(x, c).argmin(1), np.arange(len(x))] = 1.0
+        size = one @ n
+        new = np.where(size[:, None] > 0, (one @ sums) / np.maximum(size, 1)[:, None], c)
+        moved, c = float(np.sqrt(((new - c) ** 2).sum())), new
+        if moved <= tol:
+            break
+    return c, float((n * _squares(x, c).min(1)).sum() + inner.sum())
+
+
+def coreset_fits(groups: DataFrame, models: list[tuple[int, int]], seed: int, tol: float, max_iter: int = MAX_ITER) -> dict:
+    """By k the centres of its best restart on a coreset.  Each (k, restart) is a Spark
+    row; the coreset, bounded by its number of groups, is broadcast to them, and one
+    model per k comes back."""
+    spark = groups.sparkSession
+    t = groups.orderBy("sums", "n", "squares").toArrow()
+    if not t.num_rows:
+        raise ValueError("No vectors to fit.")
+    sent = spark.sparkContext.broadcast((t.column("n").to_numpy(), _vectors(t.column("sums").combine_chunks()),
+                                         t.column("squares").to_numpy()))
+
+    def fit(batches):
+        for b in batches:
+            ks, restarts = (b.column(i).to_pylist() for i in range(2))
+            fits = [_weighted_lloyd(*sent.value, k, np.random.default_rng([seed, k, i]), tol, max_iter) for k, i in zip(ks, restarts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ks, pa.int32()), pa.array(restarts, pa.int32()), pa.array([f[1] for f in fits], pa.float64()),
+                 pa.array([f[0].ravel().tolist() for f in fits], pa.list_(pa.float64()))], names=["k", "i", "cost", "centres"])
+
+    asked = spark.createDataFrame(models, "k int, i int")
+    rows = (asked.repartition(min(len(models), spark.sparkContext.defaultParallelism), "k", "i")
+            .mapInArrow(fit, "k int, i int, cost double, centres array<double>")
+            .groupBy("k").agg(F.min_by("centres", F.struct("cost", "i")).alias("centres")).collect())
+    sent.destroy()
+    return {r["k"]: np.array(r["centres"]).reshape(r["k"], -1) for r in rows}
+
+
 def assign(df: DataFrame, vec: str, centres: np.ndarray) -> DataFrame:
     """``df`` with ``cluster``, the number of the nearest centre (the first on ties)."""
     def near(v: pa.Array) -> pa.Array:
@@ -199,17 +352,18 @@ def k_range(n_rows: int, max_k: int = 20) -> list[int]:
 
 
 def k_search(df: DataFrame, key: str, vec: str = "embedding", max_k: int = 20, n_init: int = 10,
-             seed: int = 42, silhouette: str = "fast") -> DataFrame:
+             seed: int = 42, silhouette: str = "fast", method: str = "full") -> DataFrame:
     """``(k, inertia, silhouette)`` for every k of the range; the silhouette is the
     linear one unless ``"exact"`` (all pairs) is asked for.
 
     All (k, restart) models advance together: every round scans the rows once, and
-    one more scan scores the best model of every k.
+    one more scan scores the best model of every k.  With ``method="coreset"`` the
+    models are fitted to a coreset, and three scans remain at any number of rounds.
     """
     data = df.select(key, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ks = k_range(data.count(), max_k)
-        best = fit_kmeans(data, key, vec, ks, n_init, seed, kmeans_tolerance(data, vec))
+        best = fit_kmeans(data, key, vec, ks, n_init, seed, kmeans_tolerance(data, vec), method)
         if silhouette == "exact":
             score = {k: silhouette_exact(assign(data, vec, best[k][0]), key, vec).first()["silhouette"] for k in ks}
         else:
@@ -309,12 +463,15 @@ def choose_k(metrics: DataFrame) -> tuple[int, str]:
     return int(pdf["k"].iloc[int(np.argmax(pdf["silhouette"].to_numpy()))]), "silhouette"
 
 
-def kmeans_model(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10, key: str | None = None):
+def kmeans_model(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, n_init: int = 10, key: str | None = None,
+                 method: str = "full", polish: int = 0):
     """(rows with their ``cluster``, centres as lists, inertia) of the best restart.
-    ``key`` (the first column by default) orders the rows for the starts."""
+    ``key`` (the first column by default) orders the rows for the starts; ``method``
+    and ``polish`` as in ``fit_kmeans``."""
     data = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        centres, cost, *_ = fit_kmeans(data, key or df.columns[0], vec, [k], n_init, seed, kmeans_tolerance(data, vec))[k]
+        centres, cost, *_ = fit_kmeans(data, key or df.columns[0], vec, [k], n_init, seed, kmeans_tolerance(data, vec),
+                                       method, polish)[k]
         rows = assign(data, vec, centres).checkpoint(eager=True)
         return rows, centres.tolist(), float(cost)
     finally:
