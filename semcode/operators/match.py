@@ -14,11 +14,15 @@ Reference rows without a vector cannot be matched and are left out
   ``block_bytes`` and a scalar Arrow UDF computes one GEMM per batch and
   slice.  Only the vector column crosses into Python; the search is one narrow
   stage over the corpus.
-* **Blocked plan** (above the budget): corpus rows get an internal number and
-  are written once to the shared checkpoint folder; references in R blocks meet
-  the corpus in C chunks, one cogroup task per pair with sizes from the counts;
-  winners are reduced by the internal number, so repeated or missing keys do
-  not mix.  With ``keep_all`` the pairs also return their similarities.
+* **Tree plan** (above the budget): corpus rows get an internal number and are
+  written once to the shared checkpoint folder.  References are clustered (centres
+  from a coreset, broadcast) and packed into bins of at most ``block_bytes``, a large
+  cluster over several.  A row first meets its nearest cluster; then only the clusters
+  whose angle to it less their widest angle allows a score as good as the one found.
+  One cogroup task per bin and chunk of rows, sizes from the counts; winners are
+  reduced by the internal number, so repeated or missing keys do not mix.
+* **Blocked plan** (``keep_all`` above the budget): references in R hash blocks meet
+  the corpus in C chunks and the pairs return all similarities.
 
 A stream cannot be cut into blocks: above the budget classify it batch by batch
 (``streaming.classify_stream.classify_batches``), where each batch takes the
@@ -32,13 +36,15 @@ cannot flip them.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcode.functions.vectors import SCORE_DECIMALS
+from semcode.functions.vectors import SCORE_DECIMALS, l2_normalize
+from semcode.operators.cluster import CORESET_ROWS, coreset, coreset_fits
 from semcode.session import checkpoint_dir
 
 OTHER = "Other"
@@ -46,6 +52,8 @@ DEFAULT_BROADCAST_BYTES = 256 << 20   # reference matrix budget (doubles)
 DEFAULT_BLOCK_BYTES = 64 << 20        # one GEMM slice: rows x M x 8 bytes
 MAX_NAME_BYTES = 64 << 20             # class and node of the reference, to be broadcast
 SALTS = 16                            # parts of a winner's rows in the salted join
+MAX_CENTRES = 256                     # clusters of a large reference
+ANGLE_SLACK = 1e-6                    # rounding of cosines and angles in a bound
 
 
 def check_threshold(threshold: float) -> float:
@@ -191,7 +199,12 @@ def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",
             found = found.withColumn("all_similarities", _similarity_udf(slices, dim)(vectors))
         found = found.withColumns({"__row": F.col("__match.row"), "similarity_score": F.col("__match.score")}).drop("__match")
     else:
-        found = _blocked(corpus, ref, vec, n_ref, dim, block_bytes, keep_all)
+        corpus_rows = corpus.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
+        if keep_all:
+            found = _blocked(corpus_rows, ref, vec, n_ref, dim, block_bytes)
+        else:
+            best = tree_search(corpus_rows.select("__id", vectors.alias("__vec")), ref, n_ref, dim, block_bytes).drop("cells")
+            found = corpus_rows.join(best, "__id", "left").drop("__id")
     salt = [c for c in (key, vec) if c in corpus.columns]
     out = _named(found, ref.drop("__vec"), salt, min(max_broadcast_bytes, MAX_NAME_BYTES)).select(
         *[F.col(f"`{c}`") for c in corpus.columns], "best_ref_id", "best_class", "best_node", "similarity_score",
@@ -210,12 +223,153 @@ def _named(found: DataFrame, names: DataFrame, salt: list[str], budget: int) ->
     return found.join(names, ["__row", "__salt"], "left")
 
 
-def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int, block_bytes: int,
-             keep_all: bool = False) -> DataFrame:
-    """Corpus columns + ``__row`` and ``similarity_score`` by reference blocks
-    (+ ``all_similarities`` with ``keep_all``)."""
+class _Tree(NamedTuple):
+    """Clusters of a reference: the last one holds the zero vectors."""
+    centres: np.ndarray     # unit vectors
+    reach: np.ndarray       # widest angle of a cluster's references to its centre
+    size: np.ndarray
+    first: np.ndarray       # first bin of a cluster
+    parts: np.ndarray       # bins that it takes
+
+    def cosines(self, x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        return (x / np.where(norm > 0, norm, 1.0)[:, None]) @ self.centres.T
+
+    def nearest(self, x: np.ndarray):
+        """(cluster, its cosine) for references; zero vectors go to the last cluster."""
+        cos = self.cosines(x)[:, :-1]
+        c = cos.argmax(1)
+        zero = ~x.any(1)
+        return np.where(zero, len(self.centres) - 1, c).astype(np.int32), np.where(zero, 0.0, cos[np.arange(len(x)), c])
+
+    def wanted(self, x: np.ndarray, best: np.ndarray | None) -> np.ndarray:
+        """Rows x clusters: those to search first (``best`` is None), or those that may
+        hold a score as good as ``best`` besides."""
+        cos = self.cosines(x)
+        own = np.where(self.size > 0, cos, -np.inf).argmax(1)
+        zero = ~x.any(1)  # scores 0 everywhere: the smallest id of all clusters counts
+        if best is None:
+            want = np.zeros(cos.shape, bool)
+            want[np.arange(len(x)), own] = True
+            want[zero] = True
+        else:
+            bound = np.cos(np.maximum(np.arccos(np.clip(cos, -1.0, 1.0)) - self.reach, 0.0))
+            bound[:, -1] = 0.0
+            want = bound + ANGLE_SLACK >= best[:, None]
+            want[np.arange(len(x)), own] = False
+            want[zero] = False
+        return want & (self.size > 0)
+
+
+def _reference_tree(ref: DataFrame, n_ref: int, dim: int, block_bytes: int):
+    """(tree, reference rows with their cluster ``__c`` and bin ``__bin``)."""
+    k = max(1, min(MAX_CENTRES, math.ceil(math.sqrt(n_ref))))
+    unit = ref.select("__row", l2_normalize("__vec").alias("u")).where(F.exists("u", lambda x: x != 0))
+    groups = coreset(unit, "__row", "u", rows=max(CORESET_ROWS, 4 * k))
+    centres = np.zeros((1, dim)) if groups.isEmpty() else coreset_fits(groups, [(k, 0)], 0, 1e-3)[k]
+    norm = np.sqrt((centres * centres).sum(1))
+    centres = np.concatenate([centres / np.where(norm > 0, norm, 1.0)[:, None], np.zeros((1, dim))])
+    zeros = np.zeros(len(centres), np.int64)
+    tree = _Tree(centres, zeros, zeros, zeros, zeros)
+
+    def near(vec: pa.Array) -> pa.Array:
+        c, cos = tree.nearest(_matrix(vec, dim))
+        return pa.StructArray.from_arrays([pa.array(c), pa.array(cos)], names=["c", "cos"])
+
+    ref = ref.withColumn("__n", F.arrow_udf(near, "c int, cos double")("__vec")).select("__row", "best_ref_id", "__vec", "__n.c", "__n.cos")
+    stats = ref.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("cos")).collect()
+    size, reach = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in stats:
+        size[r["c"]], reach[r["c"]] = r["n"], math.acos(max(-1.0, min(1.0, r["cos"])))
+    first, parts, bin_, full = zeros.copy(), zeros + 1, 0, 0
+    for c, n in enumerate(size.tolist()):
+        parts[c] = max(1, math.ceil(n * dim * 8 / block_bytes))
+        if full and full + n * dim * 8 > block_bytes:
+            bin_, full = bin_ + 1, 0
+        first[c], bin_, full = bin_, bin_ + int(parts[c]) - 1, full + n * dim * 8
+        if parts[c] > 1:
+            bin_, full = bin_ + 1, 0
+    spot = [F.array(*[F.lit(int(v)) for v in a]) for a in (first, parts)]
+    ref = ref.withColumn("__bin", spot[0][F.col("c")] + F.pmod(F.xxhash64("__row"), spot[1][F.col("c")]).cast("int"))
+    return tree._replace(reach=reach, size=size, first=first, parts=parts), ref
+
+
+def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """``(__id, __row, similarity_score, cells)`` of the best reference of every row
+    ``(__id, __vec)`` that has a vector; ``cells`` counts the similarities computed."""
+    spark = rows.sparkSession
+    tree, ref = _reference_tree(ref, n_ref, dim, block_bytes)
+    rows = rows.where(F.col("__vec").isNotNull())
+    sent = spark.sparkContext.broadcast(tree)
+
+    def route(batches):
+        """A row once per bin that holds clusters it has to meet, with their numbers."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = sent.value
+            x = _matrix(b.column(1), dim)
+            want = t.wanted(x, b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else None)
+            for bin_ in range(int((t.first + t.parts).max())):
+                held = np.flatnonzero((t.first <= bin_) & (bin_ < t.first + t.parts))
+                at = np.flatnonzero(want[:, held].any(1))
+                if len(at):
+                    i, c = np.nonzero(want[np.ix_(at, held)])
+                    ends = np.searchsorted(i, np.arange(len(at) + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.full(len(at), bin_, np.int32)),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(held[c].astype(np.int32)))],
+                        names=["__id", "__vec", "__bin", "clusters"])
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        n = q.num_rows if r.num_rows else 0
+        row, ref_id, score, cells = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, np.int64)
+        if n:
+            r = r.sort_by([("best_ref_id", "ascending"), ("__row", "ascending")])
+            x, mat = (_matrix(t.column("__vec").combine_chunks(), dim) for t in (q, r))
+            own, rid = r.column("c").to_numpy(), r.column("__row").to_numpy()
+            key = r.column("best_ref_id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
+            lists = q.column("clusters").combine_chunks()
+            owner, asked = np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            for c in np.unique(own):
+                at, here = owner[asked == c], np.flatnonzero(own == c)
+                if not len(at):
+                    continue
+                j, s = _best(x[at], mat[here], max(1, block_bytes // (8 * len(here))))
+                k, i = key[here][j], rid[here][j]
+                cells[at] += len(here)
+                tie = (s == score[at]) & ((k < ref_id[at]) | (k == ref_id[at]) & (i < row[at]))
+                win = (s > score[at]) | tie
+                row[at[win]], ref_id[at[win]], score[at[win]] = i[win], k[win], s[win]
+        keep = cells > 0
+        return pa.table({"__id": q.column("__id").filter(pa.array(keep)) if n else pa.array([], pa.int64()), "__row": row[keep],
+                         "ref": ref_id[keep], "similarity_score": score[keep], "cells": cells[keep]})
+
+    def search(asked: DataFrame) -> DataFrame:
+        routed = asked.mapInArrow(route, "__id long, __vec array<double>, __bin int, clusters array<int>")
+        chunks = [(r["__bin"], max(1, math.ceil(r["count"] * dim * 8 / block_bytes))) for r in routed.groupBy("__bin").count().collect()]
+        sizes = F.broadcast(spark.createDataFrame(chunks, "__bin int, __chunks int"))  # one row per bin
+        q = routed.join(sizes, "__bin").withColumn("__cb", F.pmod(F.xxhash64("__id"), F.col("__chunks")).cast("int")).drop("__chunks")
+        r = ref.join(sizes, "__bin").withColumn("__cb", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunks", "cos")
+        return (q.groupBy("__bin", "__cb").cogroup(r.groupBy("__bin", "__cb"))
+                .applyInArrow(meet, "__id long, __row long, ref long, similarity_score double, cells long"))
+
+    def winners(parts: DataFrame) -> DataFrame:
+        order = F.struct("similarity_score", -F.col("ref"), -F.col("__row"))
+        return (parts.groupBy("__id").agg(F.max_by(F.struct("__row", "ref", "similarity_score"), order).alias("w"), F.sum("cells").alias("cells"))
+                .select("__id", "w.*", "cells"))
+
+    near = winners(search(rows)).checkpoint(eager=True)
+    more = search(rows.join(near.select("__id", "similarity_score"), "__id"))
+    out = winners(near.unionByName(more)).drop("ref").checkpoint(eager=True)
+    sent.destroy()
+    return out
+
+
+def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int, block_bytes: int) -> DataFrame:
+    """Corpus columns + ``__row``, ``similarity_score`` and ``all_similarities`` by
+    reference blocks, for corpus rows with a number ``__id``."""
     spark = corpus.sparkSession
-    corpus = corpus.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
     ref_blocks = max(1, math.ceil(n_ref * dim * 8 / block_bytes))
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                  math.ceil(corpus.count() * dim * 8 / block_bytes))
@@ -243,25 +397,24 @@ def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int,
         F.struct("__row", "similarity_score"),
         F.struct("similarity_score", -F.col("best_ref_id"), -F.col("__row"))).alias("__w"))
     found = corpus.join(best.select("__id", "__w.*"), "__id", "left")
-    if keep_all:
-        cell = pa.struct([("best_ref_id", pa.int64()), ("__row", pa.int64()), ("s", pa.float64())])
-
-        def every(q: pa.Table, r: pa.Table) -> pa.Table:
-            if not q.num_rows or not r.num_rows:
-                return pa.table({"__id": pa.array([], pa.int64()), "cells": pa.array([], pa.list_(cell))})
-            mat = _matrix(r.column("__vec").combine_chunks(), dim)
-            sim = _similarities(_matrix(q.column("__vec").combine_chunks(), dim), mat, np.sqrt(np.einsum("ij,ij->i", mat, mat)))
-            n, m = sim.shape
-            at = pa.array(np.tile(np.arange(m), n))
-            cells = pa.StructArray.from_arrays([r.column("best_ref_id").combine_chunks().take(at), r.column("__row").combine_chunks().take(at),
-                                                pa.array(sim.ravel())], fields=list(cell))
-            return pa.table({"__id": q.column("__id"),
-                             "cells": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), cells)})
-
-        cells = pairs.applyInArrow(every, "__id long, cells array<struct<best_ref_id:long,__row:long,s:double>>")
-        rows = cells.groupBy("__id").agg(F.transform(F.array_sort(F.flatten(F.collect_list("cells"))), lambda x: x["s"])
-                                         .alias("all_similarities"))
-        found = found.join(rows, "__id", "left")
+    cell = pa.struct([("best_ref_id", pa.int64()), ("__row", pa.int64()), ("s", pa.float64())])
+
+    def every(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return pa.table({"__id": pa.array([], pa.int64()), "cells": pa.array([], pa.list_(cell))})
+        mat = _matrix(r.column("__vec").combine_chunks(), dim)
+        sim = _similarities(_matrix(q.column("__vec").combine_chunks(), dim), mat, np.sqrt(np.einsum("ij,ij->i", mat, mat)))
+        n, m = sim.shape
+        at = pa.array(np.tile(np.arange(m), n))
+        cells = pa.StructArray.from_arrays([r.column("best_ref_id").combine_chunks().take(at), r.column("__row").combine_chunks().take(at),
+                                            pa.array(sim.ravel())], fields=list(cell))
+        return pa.table({"__id": q.column("__id"),
+                         "cells": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), cells)})
+
+    cells = pairs.applyInArrow(every, "__id long, cells array<struct<best_ref_id:long,__row:long,s:double>>")
+    rows = cells.groupBy("__id").agg(F.transform(F.array_sort(F.flatten(F.collect_list("cells"))), lambda x: x["s"])
+                                     .alias("all_similarities"))
+    found = found.join(rows, "__id", "left")
     return found.drop("__id")
 
 

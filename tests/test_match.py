@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,35 @@ def test_class_distribution_and_rate(spark):
     assert rates == sorted(rates, reverse=True)
     dist = M.class_distribution(M.apply_threshold(m, 0.3), top=None)
     assert dist.agg(F.sum("n")).first()[0] == m.count()
+
+
+def _numbered_inputs(spark, corpus, reference):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(corpus)], "__id long, __vec array<double>")
+    ref = spark.createDataFrame([(i, v) for i, v in enumerate(reference)], "ref_id long, embedding array<double>").withColumns(
+        {"class": F.lit("c"), "node": F.lit("n")})
+    return rows, M._numbered(ref, "ref_id", "class", "node", "embedding")
+
+
+@pytest.mark.parametrize("block_bytes", [64, 4096, M.DEFAULT_BLOCK_BYTES])
+def test_tree_search_is_exact_and_skips_clusters(spark, block_bytes):
+    rng = np.random.default_rng(11)
+    spots = np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    draw = lambda n, hot: spots[np.where(rng.random(n) < hot, 0, rng.integers(0, 8, n))] + rng.normal(0, 0.05, (n, 8))
+    reference = np.concatenate([draw(240, 0.4), np.zeros((3, 8))])
+    reference[50:60] = reference[40:50]                                  # ties: the lower id wins
+    corpus = np.concatenate([draw(200, 0.4), np.zeros((2, 8)), -spots[:1], reference[50:53] * 7])
+    rows, ref = _numbered_inputs(spark, [*corpus.tolist(), None], reference.tolist())
+    got = {r["__id"]: r for r in M.tree_search(rows, ref, len(reference), 8, block_bytes)
+           .join(ref.select("__row", "best_ref_id"), "__row").collect()}
+    j, score = M._best(corpus, reference, 1000)
+    assert len(got) == len(corpus)
+    for i in range(len(corpus)):
+        assert (got[i]["best_ref_id"], got[i]["similarity_score"]) == (j[i], score[i])
+    assert sum(r["cells"] for r in got.values()) < 0.5 * len(corpus) * len(reference)
+
+
+def test_tree_search_of_zero_references_and_no_rows(spark):
+    rows, ref = _numbered_inputs(spark, [[1.0, 2.0], [0.0, 0.0], None], [[0.0, 0.0]] * 5)
+    got = M.tree_search(rows, ref, 5, 2, 16).join(ref, "__row").select("__id", "best_ref_id", "similarity_score").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 0.0), (1, 0, 0.0)]
+    assert M.tree_search(rows.where("__id > 1"), ref, 5, 2, 16).count() == 0
