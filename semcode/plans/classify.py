@@ -19,6 +19,7 @@ from semcode.operators import labels as L
 from semcode.operators import match as M
 from semcode.operators import prep as P
 from semcode.operators import threshold as TH
+from semcode.operators import vector_store as VS
 from semcode.operators.partitioning import spread
 from semcode.session import checkpoint_dir
 from semcode.sources import sinks as SK
@@ -26,18 +27,29 @@ from semcode.sources import tables as ST
 
 
 def prepare_reference(reference: DataFrame, key: str = "ref_id", class_col: str = "class",
-                      node_col: str = "node", dim: int = EN.DEFAULT_DIM, encoder=None) -> DataFrame:
+                      node_col: str = "node", dim: int = EN.DEFAULT_DIM, encoder=None,
+                      store: str | None = None, model: str | None = None) -> DataFrame:
     """``ref_id, class, node, embedding`` — the coded examples, encoded.
-    ``encoder`` is an ``encoder_factory`` for ``encode_with``; default: hashed."""
+    ``encoder`` is an ``encoder_factory`` for ``encode_with``; default: hashed.
+    ``store`` is a folder that keeps the vectors of ``model`` for later runs."""
     ref = reference.select(F.col(key).alias("ref_id"), F.col(class_col).cast("string").alias("class"),
                            F.col(node_col).cast("string").alias("node"))
+    return _encoded(ref, "node", dim, encoder, store, model)
+
+
+def _encoded(df: DataFrame, text_col: str, dim: int, encoder, store: str | None, model: str | None) -> DataFrame:
+    if store is not None:
+        if encoder is not None and model is None:
+            raise ValueError("A stored encoder needs a model name.")
+        return VS.encode_stored(df, text_col, store, model or f"hashed-{dim}", encoder or (lambda: EN.hashing_encoder(dim))).rows
     if encoder is None:
-        return EN.hashed_encode(ref, "node", dim=dim)
-    return EN.encode_with(ref, "node", encoder)
+        return EN.hashed_encode(df, text_col, dim=dim)
+    return EN.encode_with(df, text_col, encoder)
 
 
 def encode_corpus(corpus: DataFrame, text_col: str = "text", dim: int = EN.DEFAULT_DIM,
-                  encoder=None, null_policy: str = "empty", key: str | None = "doc_id") -> DataFrame:
+                  encoder=None, null_policy: str = "empty", key: str | None = "doc_id",
+                  store: str | None = None, model: str | None = None) -> DataFrame:
     """``null_policy``: ``"empty"`` encodes null text as "" (library rule),
     ``"drop"`` drops those rows (add-on rule)."""
     corpus = spread(corpus, key if key in corpus.columns else None)
@@ -45,19 +57,19 @@ def encode_corpus(corpus: DataFrame, text_col: str = "text", dim: int = EN.DEFAU
         corpus = P.drop_missing(corpus, [text_col])
     elif null_policy != "empty":
         raise ValueError(f"Unknown null policy: {null_policy}")
-    if encoder is None:
-        return EN.hashed_encode(corpus, text_col, dim=dim)
-    return EN.encode_with(corpus, text_col, encoder)
+    return _encoded(corpus, text_col, dim, encoder, store, model)
 
 
 def classify(corpus: DataFrame, reference: DataFrame, threshold: float, *, key: str = "doc_id",
              text_col: str = "text", dim: int = EN.DEFAULT_DIM, encoder=None,
-             null_policy: str = "empty", keep_embedding: bool = False) -> DataFrame:
+             null_policy: str = "empty", keep_embedding: bool = False,
+             store: str | None = None, model: str | None = None) -> DataFrame:
     """Corpus columns + ``best_ref_id, best_class, best_node, similarity_score,
-    predicted_class, matched_node``."""
+    predicted_class, matched_node``.  With a ``store``, texts that an earlier run
+    (tuning, say) encoded are read from it."""
     M.check_threshold(threshold)
-    ref = prepare_reference(reference, dim=dim, encoder=encoder)
-    enc = encode_corpus(corpus, text_col, dim, encoder, null_policy, key)
+    ref = prepare_reference(reference, dim=dim, encoder=encoder, store=store, model=model)
+    enc = encode_corpus(corpus, text_col, dim, encoder, null_policy, key, store, model)
     out = M.apply_threshold(M.match(enc, ref, key=key), threshold)
     return out if keep_embedding else out.drop("embedding")
 

@@ -10,6 +10,7 @@ from semcode.operators import encode as EN
 from semcode.operators import evaluate as E
 from semcode.operators import match as M
 from semcode.operators import threshold as TH
+from semcode.operators import vector_store as VS
 from semcode.operators.partitioning import spread
 from semcode.plans import classify as C
 from semcode.plans import inputs as I
@@ -62,6 +63,34 @@ def q_embed_corpus_sql(spark, sf_dir):
     return out.select("doc_id", F.col("bucket").cast("int").alias("bucket"), r6("value").alias("value"))
 
 
+def _store_runs(spark, sf_dir):
+    """(labelled documents, then all documents, then all again) through one store."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = docs.join(I.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    path = scratch_path(spark, "vectors")
+    return [VS.encode_stored(d, "text", path, f"hashed-{DIM}", lambda: EN.hashing_encoder(DIM)) for d in (labelled, docs, docs)]
+
+
+@register("embed_stored", f"""WITH {_vec_sql('v', 'documents', 'doc_id', 'text')}
+SELECT doc_id, bucket, round(value, 6) AS value FROM v""")
+def q_embed_stored(spark, sf_dir):
+    """All documents from a store that earlier runs filled."""
+    return _long(_store_runs(spark, sf_dir)[-1].rows, "doc_id")
+
+
+@register("embed_store_runs", """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT count(DISTINCT t) AS every, (SELECT count(DISTINCT t) FROM d SEMI JOIN labels USING (doc_id)) AS lab,
+             (SELECT count(*) FROM d SEMI JOIN labels USING (doc_id)) AS rows1, count(*) AS rows2 FROM d)
+SELECT CAST(run AS INTEGER) AS run, CAST(CASE run WHEN 1 THEN rows1 ELSE rows2 END AS BIGINT) AS n_rows,
+       CAST(CASE run WHEN 1 THEN lab WHEN 2 THEN every - lab ELSE 0 END AS BIGINT) AS n_encoded FROM range(1, 4) r(run), n""")
+def q_embed_store_runs(spark, sf_dir):
+    """Rows and newly encoded texts of each run: none in the last."""
+    runs = _store_runs(spark, sf_dir)
+    parts = [r.rows.where(F.col("embedding").isNotNull()).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(i).alias("run"), "n_rows", F.lit(r.n_encoded).cast("bigint").alias("n_encoded")) for i, r in enumerate(runs, 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("embed_reference", f"""WITH {I.DOC_SQL}, {_vec_sql('v', 'dref', 'ref_id', 'node')}
 SELECT v.ref_id, dref.class, v.bucket, round(v.value, 6) AS value FROM v JOIN dref USING (ref_id)""")
 def q_embed_reference(spark, sf_dir):

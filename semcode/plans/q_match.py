@@ -29,6 +29,15 @@ def q_match_top1(spark, sf_dir):
         "doc_id", "best_ref_id", "best_class", "best_node", r9("similarity_score").alias("similarity_score"))
 
 
+@register("match_tree", f"""
+WITH {I.EMB_SQL}
+SELECT doc_id, best_ref_id, best_class, round(similarity_score, 9) AS similarity_score FROM best""")
+def q_match_tree(spark, sf_dir):
+    """The same winners by the plan for references above the broadcast budget."""
+    m = M.match(I.embedding_corpus(spark, sf_dir), I.embedding_reference(spark, sf_dir), max_broadcast_bytes=0)
+    return m.select("doc_id", "best_ref_id", "best_class", r9("similarity_score").alias("similarity_score"))
+
+
 PRED_SQL = f"""
 pred AS (SELECT *, CASE WHEN similarity_score >= {T} THEN best_class ELSE 'Other' END AS predicted_class,
                    CASE WHEN similarity_score >= {T} THEN best_node ELSE '' END AS matched_node FROM best)"""
