@@ -7,7 +7,7 @@ sums as large as the centres.  ``method="coreset"`` fits them to a weighted summ
 instead: partitions reduce their rows to at most ``CORESET_ROWS`` groups (row count,
 vector sum, squared norms), groups of partitions merge them in a tree, the models run
 on the summary as Spark tasks, and one scan of all rows gives the exact inertia.
-PCA is MLlib's.  The exact silhouette needs every
+PCA is MLlib's, or ``pca_subspace``, whose scans return thin matrices only.  The exact silhouette needs every
 pairwise distance: rows are hash-split into B blocks and each (block, block)
 pair is one cogroup task that computes its distance tile with a GEMM and
 emits only per-(row, cluster) distance sums — N x k x B rows, never N² pairs.
@@ -594,3 +594,82 @@ def pca_2d(df: DataFrame, key: str, vec: str = "embedding"):
     arr = vector_to_array("pcs")
     points = model.transform(cdata).select(key, (arr[0] * F.lit(signs[0])).alias("pc1"), (arr[1] * F.lit(signs[1])).alias("pc2"))
     return points, [float(v) for v in model.explainedVariance.toArray()]
+
+
+KRYLOV_EXTRA = 8       # random vectors beside the components asked for
+KRYLOV_STEPS = 30      # scans at most; the basis has steps x (components + extra) columns
+
+
+def _covariance_times(data: DataFrame, vec: str, mean: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """The sample covariance times a thin matrix: one scan, partial sums per partition."""
+    sent = data.sparkSession.sparkContext.broadcast((mean, block))
+
+    def run(batches):
+        m, q = sent.value
+        total, rows = np.zeros(q.shape), 0
+        for b in batches:
+            if b.num_rows:
+                x = _vectors(b.column(0)) - m
+                total += x.T @ (x @ q)
+                rows += len(x)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    row = data.select(vec).mapInArrow(run, "s array<double>").agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()
+    sent.destroy()
+    return row["s"].toArray().reshape(block.shape) / (n - 1)
+
+
+def principal_axes(data: DataFrame, vec: str = "embedding", components: int = 2, tol: float = 1e-8, seed: int = 42):
+    """(mean, axes as columns, explained-variance shares) by a randomised block Krylov
+    space: every scan multiplies the covariance with the newest block, which is then
+    made orthogonal to the basis; the axes are the best ones within it.  It ends when
+    their residuals are below ``tol`` x the largest variance, when the basis spans the
+    space, or after ``KRYLOV_STEPS`` scans.  No dimension x dimension matrix is made.
+    Null vectors take no part; fewer than two rows raise."""
+    x = data.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias(vec))
+    v = array_to_vector(vec)
+    row = x.agg(Summarizer.mean(v).alias("m"), Summarizer.variance(v).alias("v"), F.count(vec).alias("n")).first()
+    if row["n"] < 2:
+        raise ValueError("Principal axes need at least two rows with a vector.")
+    mean, total = row["m"].toArray(), float(row["v"].toArray().sum())
+    dim = len(mean)
+    components = min(components, dim)
+    if total <= 0:
+        return mean, np.eye(dim)[:, :components], [0.0] * components
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, min(dim, components + KRYLOV_EXTRA))))[0]
+    basis, image = np.zeros((dim, 0)), np.zeros((dim, 0))
+    for _ in range(KRYLOV_STEPS):
+        basis = np.concatenate([basis, block], 1)
+        image = np.concatenate([image, _covariance_times(x, vec, mean, block, row["n"])], 1)
+        small = basis.T @ image
+        value, turn = np.linalg.eigh((small + small.T) / 2)
+        value, turn = value[::-1][:components], turn[:, ::-1][:, :components]
+        left = np.linalg.norm(image @ turn - basis @ turn * value, axis=0)
+        new = image[:, -block.shape[1]:]
+        for _ in range(2):  # twice is enough against rounding
+            new = new - basis @ (basis.T @ new)
+        u, size, _ = np.linalg.svd(new, full_matrices=False)
+        block = u[:, size > 1e-12 * value[0]][:, :dim - basis.shape[1]]
+        if left.max() <= tol * value[0] or not block.shape[1]:
+            break
+    axes = basis @ turn
+    top = axes[np.abs(axes).argmax(0), np.arange(components)]
+    return mean, axes * np.where(top < 0, -1.0, 1.0), [float(x) / total for x in value]
+
+
+def pca_subspace(df: DataFrame, key: str, vec: str = "embedding", components: int = 2, tol: float = 1e-8, seed: int = 42):
+    """(points ``(key, pc1, ...)``, explained-variance shares) as ``pca_2d``, for vectors
+    too wide for a covariance matrix on the driver.  A null vector has null scores."""
+    mean, axes, shares = principal_axes(df, vec, components, tol, seed)
+
+    def score(v: pa.Array) -> pa.Array:
+        ok = v.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(v), axes.shape[1]))
+        if ok.any():
+            out[ok] = (_vectors(v.drop_null()) - mean) @ axes
+        return pa.StructArray.from_arrays([pa.array(c, mask=~ok) for c in out.T], names=[f"pc{i + 1}" for i in range(axes.shape[1])])
+
+    kind = ", ".join(f"pc{i + 1} double" for i in range(axes.shape[1]))
+    points = df.select(key, F.arrow_udf(score, kind)(F.col(vec).cast("array<double>")).alias("_p")).select(key, "_p.*")
+    return points, shares

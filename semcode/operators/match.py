@@ -50,6 +50,7 @@ from semcode.session import checkpoint_dir
 OTHER = "Other"
 DEFAULT_BROADCAST_BYTES = 256 << 20   # reference matrix budget (doubles)
 DEFAULT_BLOCK_BYTES = 64 << 20        # one GEMM slice: rows x M x 8 bytes
+PAIR_BLOCK_BYTES = 1 << 20            # rows and references of a task that returns pairs
 MAX_NAME_BYTES = 64 << 20             # class and node of the reference, to be broadcast
 SALTS = 16                            # parts of a winner's rows in the salted join
 MAX_CENTRES = 256                     # clusters of a large reference
@@ -216,7 +217,7 @@ def match(corpus: DataFrame, reference: DataFrame, *, key: str = "doc_id",
 def _named(found: DataFrame, names: DataFrame, salt: list[str], budget: int) -> DataFrame:
     """Class and node of the winner: broadcast within ``budget`` bytes, else salted."""
     text = F.coalesce(F.octet_length("best_class"), F.lit(0)) + F.coalesce(F.octet_length("best_node"), F.lit(0))
-    if names.agg(F.sum(text + 64)).first()[0] <= budget:
+    if (names.agg(F.sum(text + 64)).first()[0] or 0) <= budget:
         return found.join(F.broadcast(names), "__row", "left")
     names = names.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     found = found.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt]), F.lit(SALTS)))
@@ -253,13 +254,22 @@ class _Tree(NamedTuple):
             want[np.arange(len(x)), own] = True
             want[zero] = True
         else:
-            bound = np.cos(np.maximum(np.arccos(np.clip(cos, -1.0, 1.0)) - self.reach, 0.0))
-            bound[:, -1] = 0.0
-            want = bound + ANGLE_SLACK >= best[:, None]
+            want = self._bound(cos) + ANGLE_SLACK >= best[:, None]
             want[np.arange(len(x)), own] = False
             want[zero] = False
         return want & (self.size > 0)
 
+    def reachable(self, x: np.ndarray, threshold: float) -> np.ndarray:
+        """Rows x clusters: those that may hold a score of at least ``threshold``."""
+        want = self._bound(self.cosines(x)) + ANGLE_SLACK >= threshold
+        want[~x.any(1)] = threshold <= 0
+        return want & (self.size > 0)
+
+    def _bound(self, cos: np.ndarray) -> np.ndarray:
+        bound = np.cos(np.maximum(np.arccos(np.clip(cos, -1.0, 1.0)) - self.reach, 0.0))
+        bound[:, -1] = 0.0
+        return bound
+
 
 def _reference_tree(ref: DataFrame, n_ref: int, dim: int, block_bytes: int):
     """(tree, reference rows with their cluster ``__c`` and bin ``__bin``)."""
@@ -294,22 +304,16 @@ def _reference_tree(ref: DataFrame, n_ref: int, dim: int, block_bytes: int):
     return tree._replace(reach=reach, size=size, first=first, parts=parts), ref
 
 
-def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """``(__id, __row, similarity_score, cells)`` of the best reference of every row
-    ``(__id, __vec)`` that has a vector; ``cells`` counts the similarities computed."""
-    spark = rows.sparkSession
-    tree, ref = _reference_tree(ref, n_ref, dim, block_bytes)
-    rows = rows.where(F.col("__vec").isNotNull())
-    sent = spark.sparkContext.broadcast(tree)
-
+def _by_bins(asked: DataFrame, ref: DataFrame, sent, wanted, meet, schema: str, dim: int, block_bytes: int) -> DataFrame:
+    """``meet(rows, references)`` for every bin and chunk of the rows ``(__id, __vec, ...)``
+    that have to meet it; ``wanted(tree, vectors, batch)`` says which clusters those are."""
     def route(batches):
         """A row once per bin that holds clusters it has to meet, with their numbers."""
         for b in batches:
             if not b.num_rows:
                 continue
             t = sent.value
-            x = _matrix(b.column(1), dim)
-            want = t.wanted(x, b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else None)
+            want = wanted(t, _matrix(b.column(1), dim), b)
             for bin_ in range(int((t.first + t.parts).max())):
                 held = np.flatnonzero((t.first <= bin_) & (bin_ < t.first + t.parts))
                 at = np.flatnonzero(want[:, held].any(1))
@@ -321,6 +325,30 @@ def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_byt
                          pa.ListArray.from_arrays(pa.array(ends), pa.array(held[c].astype(np.int32)))],
                         names=["__id", "__vec", "__bin", "clusters"])
 
+    routed = asked.mapInArrow(route, "__id long, __vec array<double>, __bin int, clusters array<int>")
+    chunks = [(r["__bin"], max(1, math.ceil(r["count"] * dim * 8 / block_bytes))) for r in routed.groupBy("__bin").count().collect()]
+    sizes = F.broadcast(asked.sparkSession.createDataFrame(chunks, "__bin int, __chunks int"))  # one row per bin
+    q = routed.join(sizes, "__bin").withColumn("__cb", F.pmod(F.xxhash64("__id"), F.col("__chunks")).cast("int")).drop("__chunks")
+    r = ref.join(sizes, "__bin").withColumn("__cb", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunks", "cos")
+    return q.groupBy("__bin", "__cb").cogroup(r.groupBy("__bin", "__cb")).applyInArrow(meet, schema)
+
+
+def _asked(q: pa.Table):
+    """(row position, cluster) of every cluster that the rows of a bin ask for."""
+    lists = q.column("clusters").combine_chunks()
+    return np.repeat(np.arange(q.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+
+def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """``(__id, __row, similarity_score, cells)`` of the best reference of every row
+    ``(__id, __vec)`` that has a vector; ``cells`` counts the similarities computed."""
+    tree, ref = _reference_tree(ref, n_ref, dim, block_bytes)
+    rows = rows.where(F.col("__vec").isNotNull())
+    sent = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def wanted(t: _Tree, x: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        return t.wanted(x, b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else None)
+
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
         n = q.num_rows if r.num_rows else 0
         row, ref_id, score, cells = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, np.int64)
@@ -329,8 +357,7 @@ def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_byt
             x, mat = (_matrix(t.column("__vec").combine_chunks(), dim) for t in (q, r))
             own, rid = r.column("c").to_numpy(), r.column("__row").to_numpy()
             key = r.column("best_ref_id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
-            lists = q.column("clusters").combine_chunks()
-            owner, asked = np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            owner, asked = _asked(q)
             for c in np.unique(own):
                 at, here = owner[asked == c], np.flatnonzero(own == c)
                 if not len(at):
@@ -346,13 +373,8 @@ def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_byt
                          "ref": ref_id[keep], "similarity_score": score[keep], "cells": cells[keep]})
 
     def search(asked: DataFrame) -> DataFrame:
-        routed = asked.mapInArrow(route, "__id long, __vec array<double>, __bin int, clusters array<int>")
-        chunks = [(r["__bin"], max(1, math.ceil(r["count"] * dim * 8 / block_bytes))) for r in routed.groupBy("__bin").count().collect()]
-        sizes = F.broadcast(spark.createDataFrame(chunks, "__bin int, __chunks int"))  # one row per bin
-        q = routed.join(sizes, "__bin").withColumn("__cb", F.pmod(F.xxhash64("__id"), F.col("__chunks")).cast("int")).drop("__chunks")
-        r = ref.join(sizes, "__bin").withColumn("__cb", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunks", "cos")
-        return (q.groupBy("__bin", "__cb").cogroup(r.groupBy("__bin", "__cb"))
-                .applyInArrow(meet, "__id long, __row long, ref long, similarity_score double, cells long"))
+        return _by_bins(asked, ref, sent, wanted, meet, "__id long, __row long, ref long, similarity_score double, cells long",
+                        dim, block_bytes)
 
     def winners(parts: DataFrame) -> DataFrame:
         order = F.struct("similarity_score", -F.col("ref"), -F.col("__row"))
@@ -366,6 +388,50 @@ def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_byt
     return out
 
 
+def similar_pairs(corpus: DataFrame, reference: DataFrame, threshold: float, *, key: str = "doc_id", vec: str = "embedding",
+                  ref_key: str = "ref_id", class_col: str = "class", block_bytes: int = PAIR_BLOCK_BYTES) -> DataFrame:
+    """``(key, ref_id, class, similarity)`` of every corpus row and reference whose cosine
+    is at least ``threshold``; rows and references without a vector are in no pair.
+
+    A row meets only the clusters of the reference whose angle bound reaches the
+    threshold.  A task holds ``block_bytes`` of rows and of references, which bounds its
+    pairs.  The result is written when called."""
+    t = check_threshold(threshold)
+    spark = corpus.sparkSession
+    ref = _numbered(reference, ref_key, class_col, class_col, vec)
+    n_ref, dim = reference_stats(ref, "__vec")
+    rows = corpus.select(F.col(key).alias("__key"), F.col(vec).cast("array<double>").alias("__vec")).where(F.col("__vec").isNotNull())
+    rows = rows.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    if n_ref == 0:
+        rows = rows.limit(0)
+    tree, placed = _reference_tree(ref, n_ref, dim, block_bytes)
+    sent = spark.sparkContext.broadcast(tree)
+
+    def wanted(tree: _Tree, x: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        return tree.reachable(x, t)
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if q.num_rows and r.num_rows:
+            x, mat = (_matrix(v.column("__vec").combine_chunks(), dim) for v in (q, r))
+            ids, rid, own = q.column("__id").to_numpy(), r.column("__row").to_numpy(), r.column("c").to_numpy()
+            owner, asked = _asked(q)
+            for c in np.unique(own):
+                at, here = owner[asked == c], np.flatnonzero(own == c)
+                sim = _similarities(x[at], mat[here], np.sqrt(np.einsum("ij,ij->i", mat[here], mat[here])))
+                i, j = np.nonzero(sim >= t)
+                out.append((ids[at[i]], rid[here[j]], sim[i, j]))
+        cols = [np.concatenate(v) for v in zip(*out)]
+        return pa.table({"__id": cols[0], "__row": cols[1], "similarity": cols[2]})
+
+    pairs = _by_bins(rows.select("__id", "__vec"), placed, sent, wanted, meet, "__id long, __row long, similarity double",
+                     dim, block_bytes).checkpoint(eager=True)
+    sent.destroy()
+    found = pairs.join(rows.select("__id", "__key"), "__id")
+    return _named(found, ref.drop("__vec"), ["__id"], MAX_NAME_BYTES).select(
+        F.col("__key").alias(key), F.col("best_ref_id").alias("ref_id"), F.col("best_class").alias("class"), "similarity")
+
+
 def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int, block_bytes: int) -> DataFrame:
     """Corpus columns + ``__row``, ``similarity_score`` and ``all_similarities`` by
     reference blocks, for corpus rows with a number ``__id``."""

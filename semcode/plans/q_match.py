@@ -38,6 +38,29 @@ def q_match_tree(spark, sf_dir):
     return m.select("doc_id", "best_ref_id", "best_class", r9("similarity_score").alias("similarity_score"))
 
 
+@register("similar_pairs", f"""
+WITH {I.EMB_SQL}
+SELECT doc_id, ref_id, class, round(s, 9) AS similarity FROM sim WHERE s >= {T}""")
+def q_similar_pairs(spark, sf_dir):
+    """Every corpus row and reference at or above the threshold."""
+    p = M.similar_pairs(I.embedding_corpus(spark, sf_dir), I.embedding_reference(spark, sf_dir), T)
+    return p.select("doc_id", "ref_id", "class", r9("similarity").alias("similarity"))
+
+
+@register("similar_pair_classes", f"""
+WITH {I.EMB_SQL}
+SELECT true_label, class, count(*)::BIGINT AS n_pairs, count(DISTINCT doc_id)::BIGINT AS n_rows, round(avg(s), 6) AS avg_similarity
+FROM sim WHERE s >= {T} GROUP BY 1, 2""")
+def q_similar_pair_classes(spark, sf_dir):
+    """The pairs by true label and reference class."""
+    corpus = I.embedding_corpus(spark, sf_dir)
+    p = M.similar_pairs(corpus, I.embedding_reference(spark, sf_dir), T)
+    per = p.groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("similarity").alias("s"))
+    return (per.join(corpus.select("doc_id", "true_label"), "doc_id").groupBy("true_label", "class")
+            .agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_rows"), (F.sum("s") / F.sum("n")).alias("a"))
+            .select("true_label", "class", "n_pairs", "n_rows", r6("a").alias("avg_similarity")))
+
+
 PRED_SQL = f"""
 pred AS (SELECT *, CASE WHEN similarity_score >= {T} THEN best_class ELSE 'Other' END AS predicted_class,
                    CASE WHEN similarity_score >= {T} THEN best_node ELSE '' END AS matched_node FROM best)"""

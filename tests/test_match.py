@@ -153,3 +153,23 @@ def test_tree_search_of_zero_references_and_no_rows(spark):
     got = M.tree_search(rows, ref, 5, 2, 16).join(ref, "__row").select("__id", "best_ref_id", "similarity_score").collect()
     assert sorted(map(tuple, got)) == [(0, 0, 0.0), (1, 0, 0.0)]
     assert M.tree_search(rows.where("__id > 1"), ref, 5, 2, 16).count() == 0
+
+
+@pytest.mark.parametrize("threshold, block_bytes", [(0.9, 256), (0.3, 1 << 20), (0.0, 512)])
+def test_similar_pairs_equal_all_pairs(spark, threshold, block_bytes):
+    rng = np.random.default_rng(2)
+    reference = np.concatenate([rng.normal(size=(60, 4)), np.zeros((2, 4))])
+    corpus = np.concatenate([rng.normal(size=(50, 4)), np.zeros((1, 4)), reference[:3]])
+    rows = spark.createDataFrame([(i % 40, v) for i, v in enumerate([*corpus.tolist(), None])], "doc_id long, embedding array<double>")
+    ref = spark.createDataFrame([(i, f"c{i % 3}", v) for i, v in enumerate([*reference.tolist(), None])],
+                                "ref_id long, class string, embedding array<double>")
+    sim = M._similarities(corpus, reference, np.sqrt((reference ** 2).sum(1)))
+    want = sorted((i % 40, j, f"c{j % 3}", sim[i, j]) for i, j in zip(*np.nonzero(sim >= threshold)))
+    assert sorted(map(tuple, M.similar_pairs(rows, ref, threshold, block_bytes=block_bytes).collect())) == want
+
+
+def test_similar_pairs_of_nothing(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, embedding array<double>")
+    ref = spark.createDataFrame([(1, "c", None)], "ref_id long, class string, embedding array<double>")
+    assert M.similar_pairs(rows, ref, 0.5).count() == 0
+    assert M.similar_pairs(rows.where("doc_id > 1"), ref.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0))), 0.5).count() == 0
