@@ -7,8 +7,9 @@ sums as large as the centres.  ``method="coreset"`` fits them to a weighted summ
 instead: partitions reduce their rows to at most ``CORESET_ROWS`` groups (row count,
 vector sum, squared norms), groups of partitions merge them in a tree, the models run
 on the summary as Spark tasks, and one scan of all rows gives the exact inertia.
-PCA is MLlib's, or ``pca_subspace``, whose scans return thin matrices only.  The exact silhouette needs every
-pairwise distance: rows are hash-split into B blocks and each (block, block)
+PCA is MLlib's, or ``pca_subspace``, whose scans return thin matrices only.
+
+The exact silhouette needs every pairwise distance: rows are hash-split into B blocks and each (block, block)
 pair is one cogroup task that computes its distance tile with a GEMM and
 emits only per-(row, cluster) distance sums — N x k x B rows, never N² pairs.
 Block size is chosen from the row count so each task holds a bounded tile.
