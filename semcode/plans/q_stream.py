@@ -15,9 +15,14 @@ STREAM_SQL = f"""WITH {I.EMB_SQL}, {PRED_SQL}
 SELECT doc_id, true_label, predicted_class, round(similarity_score, 9) AS similarity_score FROM pred"""
 
 
+SCHEMA = "doc_id long, true_label string, predicted_class string, similarity_score double"
+COLUMNS = ["doc_id", "true_label", "predicted_class", "similarity_score"]
+
+
 def _stream(spark, sf_dir):
+    """The table as a stream of its files: one file, or the part files of its folder."""
     schema = I.table(spark, sf_dir, "embeddings").schema
-    return (CS.file_stream(spark, sf_dir, schema, glob="embeddings.parquet")
+    return (CS.file_stream(spark, f"{sf_dir}/embeddings.parquet", schema)
             .where(~I.is_reference("vec_id"))
             .select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("true_label"), "embedding"))
 
@@ -30,9 +35,8 @@ def q_stream_classify(spark, sf_dir):
     stream = _stream(spark, sf_dir)
     out = CS.classify_stream(stream, I.embedding_reference(spark, sf_dir), I.THRESHOLD)
     base = scratch_path(spark, "stream-classify")
-    CS.run_available(out.select("doc_id", "true_label", "predicted_class", "similarity_score"),
-                     base + "/out", base + "/state")
-    res = spark.read.parquet(base + "/out")
+    CS.run_available(out.select(*COLUMNS), base + "/out", base + "/state")
+    res = CS.output(spark, base + "/out", SCHEMA)
     return res.select("doc_id", "true_label", "predicted_class", r9("similarity_score").alias("similarity_score"))
 
 
@@ -42,6 +46,6 @@ def q_stream_classify_batches(spark, sf_dir):
     micro-batch meets the reference in blocks."""
     base = scratch_path(spark, "stream-batches")
     CS.classify_batches(_stream(spark, sf_dir), I.embedding_reference(spark, sf_dir), I.THRESHOLD, base + "/out", base + "/state",
-                        columns=["doc_id", "true_label", "predicted_class", "similarity_score"], max_broadcast_bytes=0)
-    return spark.read.parquet(base + "/out").select("doc_id", "true_label", "predicted_class",
-                                                    r9("similarity_score").alias("similarity_score"))
+                        columns=COLUMNS, max_broadcast_bytes=0)
+    return CS.output(spark, base + "/out", SCHEMA).select("doc_id", "true_label", "predicted_class",
+                                                          r9("similarity_score").alias("similarity_score"))

@@ -34,6 +34,14 @@ def file_stream(spark: SparkSession, directory: str, schema, glob: str | None =
     return r.parquet(directory)
 
 
+def output(spark: SparkSession, out_path: str, schema) -> DataFrame:
+    """The table that a finished run has written; empty if no file had arrived."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out_path)
+
+
 def run_available(df: DataFrame, out_path: str, checkpoint_path: str, name: str | None = None) -> None:
     """Process everything available now, append to Parquet, then stop."""
     w = (df.writeStream.format("parquet").option("path", out_path)

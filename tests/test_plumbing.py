@@ -117,3 +117,17 @@ def test_stream_equals_batch(spark):
                              0.3).select("doc_id", "predicted_class")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_stream_queries_read_a_folder_of_part_files(spark, tmp_path):
+    """A table may be a folder of part files, one file, or hold no row."""
+    from semcode.plans.catalog import QUERIES
+    e = I.table(spark, SF_SMALL, "embeddings")
+    for name, rows, parts in (("parts", e, 3), ("empty", e.where(I.is_reference("vec_id")), 1)):
+        d = str(tmp_path / name)
+        rows.repartition(parts).write.parquet(f"{d}/embeddings.parquet")
+        want = {r.vec_id for r in rows.where(~I.is_reference("vec_id")).collect()}
+        for q in ("stream_classify", "stream_classify_batches"):
+            got = QUERIES[q](spark, d).collect()
+            assert len(got) == len(want) and {r.doc_id for r in got} == want
+    assert CS.output(spark, str(tmp_path / "none"), "doc_id long").count() == 0
