@@ -77,11 +77,14 @@ def _matrix(values, dim: int) -> np.ndarray:
 
 
 def _similarities(x: np.ndarray, ref: np.ndarray, ref_norm: np.ndarray) -> np.ndarray:
-    """Cosine matrix, 0 where either side has zero norm, rounded."""
-    dots = x @ ref.T
+    """Cosine matrix, 0 where either side has zero norm, rounded (in place: two matrices
+    of that size are held)."""
+    sim = x @ ref.T
     denom = np.outer(np.sqrt(np.einsum("ij,ij->i", x, x)), ref_norm)
-    safe = np.where(denom == 0.0, 1.0, denom)
-    return np.round(np.where(denom == 0.0, 0.0, dots / safe), SCORE_DECIMALS)
+    zero = denom == 0.0
+    np.divide(sim, denom, out=sim, where=~zero)
+    sim[zero] = 0.0
+    return np.round(sim, SCORE_DECIMALS, out=sim)
 
 
 def reference_stats(reference: DataFrame, vec: str = "embedding"):
