@@ -20,9 +20,8 @@ COLUMNS = ["doc_id", "true_label", "predicted_class", "similarity_score"]
 
 
 def _stream(spark, sf_dir):
-    """The table as a stream of its files: one file, or the part files of its folder."""
     schema = I.table(spark, sf_dir, "embeddings").schema
-    return (CS.file_stream(spark, f"{sf_dir}/embeddings.parquet", schema)
+    return (CS.table_stream(spark, f"{sf_dir}/embeddings.parquet", schema)
             .where(~I.is_reference("vec_id"))
             .select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("true_label"), "embedding"))
 

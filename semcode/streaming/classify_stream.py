@@ -34,6 +34,15 @@ def file_stream(spark: SparkSession, directory: str, schema, glob: str | None =
     return r.parquet(directory)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table as a stream of its files: one file, or the part files of a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return file_stream(spark, path, schema)
+    folder, name = path.rsplit("/", 1)
+    return file_stream(spark, folder, schema, glob=name)
+
+
 def output(spark: SparkSession, out_path: str, schema) -> DataFrame:
     """The table that a finished run has written; empty if no file had arrived."""
     p = spark._jvm.org.apache.hadoop.fs.Path(out_path)

@@ -121,11 +121,17 @@ def test_stream_equals_batch(spark):
 
 def test_stream_queries_read_a_folder_of_part_files(spark, tmp_path):
     """A table may be a folder of part files, one file, or hold no row."""
+    import pyarrow.parquet as pq
+
     from semcode.plans.catalog import QUERIES
     e = I.table(spark, SF_SMALL, "embeddings")
-    for name, rows, parts in (("parts", e, 3), ("empty", e.where(I.is_reference("vec_id")), 1)):
+    for name, rows, parts in (("parts", e, 3), ("empty", e.where(I.is_reference("vec_id")), 1), ("file", e, 0)):
         d = str(tmp_path / name)
-        rows.repartition(parts).write.parquet(f"{d}/embeddings.parquet")
+        if parts:
+            rows.repartition(parts).write.parquet(f"{d}/embeddings.parquet")
+        else:
+            os.makedirs(d)
+            pq.write_table(rows.toArrow(), f"{d}/embeddings.parquet")
         want = {r.vec_id for r in rows.where(~I.is_reference("vec_id")).collect()}
         for q in ("stream_classify", "stream_classify_batches"):
             got = QUERIES[q](spark, d).collect()
