@@ -10,7 +10,8 @@ equal sets are one class, and no pairs are listed.
    that level allows (plus a reserve against empty segments), so linked sets
    share at least one equal, non-empty segment.  Sets with an equal segment are
    joined to blocks.  No link crosses blocks; segments hold several n-grams, so
-   common words, lines or passages alone do not make a block.
+   common words, lines or passages alone do not make a block.  Chains of segments
+   do: prefix filtering cuts every block into the parts that may hold a link.
 2. *Prefix trees.*  The sets of a block, ordered by frequency and hash, are stored
    in a compressed trie.  Each set traverses it level by level: overlaps are
    counted once per shared path, and a subtree is pruned when its sizes, or the
@@ -44,7 +45,7 @@ from semcode.llm.bytesnp import LOWER, SpanHash, chunks, mix, utf8, word_spans
 from semcode.llm.shared import components, discard, materialize, tidy
 
 CELL_GRAMS = 2_000_000
-REFINE_GRAMS = 200_000
+REFINE_GRAMS = 0  # blocks above it are cut by prefixes first; 0: all, so that the work grows with their sets
 _M = np.random.Generator(np.random.PCG64(815)).integers(1, 2**64 - 1, 64, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 

@@ -148,3 +148,14 @@ def test_components_of_chains_stars_and_cliques(spark):
     got = [tuple(r) for r in components(df).collect()]
     assert sorted(got) == sorted((x, root(x)) for x in linked)
     assert components(df.limit(0)).collect() == []
+
+
+def test_every_block_is_cut_by_prefixes(spark, monkeypatch):
+    """The prefix step takes all sets that share a segment, not those of large blocks
+    only: a threshold made its rows grow faster than the input."""
+    rows, cut, whole = near_copies(4), [], J._refined
+    monkeypatch.setattr(J, "_refined", lambda members, *a: cut.append({r.rep for r in members.collect()}) or whole(members, *a))
+    out = got(spark.createDataFrame(rows, "doc_id long, text string"), k=5, num=80)
+    assert out == brute(rows, 5, 80, 100)
+    linked = {c for _, _, c in out if sum(c == x for _, _, x in out) > 1}
+    assert len(cut) == 1 and linked <= cut[0]
