@@ -11,8 +11,8 @@ Reference rows without a vector cannot be matched and are left out
 
 * **Broadcast plan** (reference matrix within a checked byte budget, or a
   streaming corpus): the matrix is broadcast in slices of at most
-  ``block_bytes`` and a scalar Arrow UDF computes one GEMM per batch and
-  slice.  Only the vector column crosses into Python; the search is one narrow
+  ``block_bytes`` and a scalar Arrow UDF multiplies each batch with it, tile by
+  tile.  Only the vector column crosses into Python; the search is one narrow
   stage over the corpus.
 * **Tree plan** (above the budget): corpus rows get an internal number and are
   written once to the shared checkpoint folder.  References are clustered (centres
@@ -50,6 +50,7 @@ from semcode.session import checkpoint_dir
 OTHER = "Other"
 DEFAULT_BROADCAST_BYTES = 256 << 20   # reference matrix budget (doubles)
 DEFAULT_BLOCK_BYTES = 64 << 20        # one GEMM slice: rows x M x 8 bytes
+TILE_BYTES = 8 << 20                  # similarities that are computed at once
 PAIR_BLOCK_BYTES = 1 << 20            # rows and references of a task that returns pairs
 MAX_NAME_BYTES = 64 << 20             # class and node of the reference, to be broadcast
 SALTS = 16                            # parts of a winner's rows in the salted join
@@ -98,15 +99,21 @@ def reference_report(reference: DataFrame, vec: str = "embedding") -> DataFrame:
     return reference.agg(F.count(F.lit(1)).alias("n_reference"), F.count_if(F.col(vec).isNull()).alias("n_without_vector"))
 
 
-def _best(x: np.ndarray, mat: np.ndarray, chunk_rows: int):
-    """(position, score) of the first best reference row for each row of ``x``."""
-    norm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
-    best, score = np.empty(len(x), np.int64), np.empty(len(x))
-    for s in range(0, len(x), chunk_rows):
-        sim = _similarities(x[s:s + chunk_rows], mat, norm)
-        j = sim.argmax(axis=1)  # first maximum: rows are in reference order
-        best[s:s + chunk_rows] = j
-        score[s:s + chunk_rows] = sim[np.arange(len(sim)), j]
+def _best(x: np.ndarray, mat: np.ndarray, block_bytes: int):
+    """(position, score) of the first best reference row for each row of ``x``, by square
+    tiles; a matrix of single precision is widened tile by tile."""
+    side = max(1, math.isqrt(min(block_bytes, TILE_BYTES) // 8))
+    best, score = np.full(len(x), -1, np.int64), np.full(len(x), -np.inf)
+    for m in range(0, len(mat), side):
+        part = mat[m:m + side].astype(np.float64, copy=False)
+        norm = np.sqrt(np.einsum("ij,ij->i", part, part))
+        for s in range(0, len(x), side):
+            sim = _similarities(x[s:s + side], part, norm)
+            j = sim.argmax(axis=1)  # first maximum: rows are in reference order
+            top, cut = sim[np.arange(len(sim)), j], slice(s, s + side)
+            better = top > score[cut]  # an equal score keeps the earlier tile
+            best[cut] = np.where(better, m + j, best[cut])
+            score[cut] = np.where(better, top, score[cut])
     return best, score
 
 
@@ -120,7 +127,7 @@ def _search_udf(slices, dim: int, block_bytes: int):
             best_row, best_score = np.full(len(x), -1, np.int64), np.full(len(x), -np.inf)
             for bc in slices:
                 rows, mat = bc.value
-                j, sc = _best(x, mat, max(1, block_bytes // (8 * len(mat))))
+                j, sc = _best(x, mat, block_bytes)
                 better = sc > best_score  # an equal score keeps the earlier slice
                 best_row[better], best_score[better] = rows[j[better]], sc[better]
             row[ok], score[ok] = best_row, best_score
@@ -141,6 +148,7 @@ def _similarity_udf(slices, dim: int):
         sim = np.zeros((int(ok.sum()), m))
         if len(sim):
             x = _matrix(vec.drop_null(), dim)
+            mats = [r.astype(np.float64, copy=False) for r in mats]
             sim = np.concatenate([_similarities(x, r, np.sqrt(np.einsum("ij,ij->i", r, r))) for r in mats], axis=1)
         ends = np.concatenate(([0], np.cumsum(np.where(ok, m, 0))))
         mask = pa.array(np.append(~ok, False))
@@ -161,11 +169,19 @@ def _numbered(reference: DataFrame, ref_key: str, class_col: str, node_col: str,
             .checkpoint(eager=True))
 
 
+def _narrow(mat: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        single = mat.astype(np.float32)
+    return single if np.array_equal(single, mat, equal_nan=True) else mat
+
+
 def _broadcast_slices(ref: DataFrame, dim: int, block_bytes: int):
     """The vectors in ``ref_id`` order, in broadcast slices (the total is within
-    the checked budget)."""
+    the checked budget).  Every worker holds a copy, so numbers that single precision
+    holds exactly (a table of floats) are sent as such."""
     t = ref.select("best_ref_id", "__row", "__vec").orderBy("best_ref_id", "__row").toArrow()
     rows, mat = t.column("__row").to_numpy(), _matrix(t.column("__vec").combine_chunks(), dim)
+    mat = _narrow(mat)
     step = max(1, block_bytes // (8 * max(1, dim)))
     sc = ref.sparkSession.sparkContext
     return [sc.broadcast((rows[i:i + step], mat[i:i + step])) for i in range(0, len(rows), step)]
@@ -365,7 +381,7 @@ def tree_search(rows: DataFrame, ref: DataFrame, n_ref: int, dim: int, block_byt
                 at, here = owner[asked == c], np.flatnonzero(own == c)
                 if not len(at):
                     continue
-                j, s = _best(x[at], mat[here], max(1, block_bytes // (8 * len(here))))
+                j, s = _best(x[at], mat[here], block_bytes)
                 k, i = key[here][j], rid[here][j]
                 cells[at] += len(here)
                 tie = (s == score[at]) & ((k < ref_id[at]) | (k == ref_id[at]) & (i < row[at]))
@@ -448,7 +464,6 @@ def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int,
     q_side = (corpus.select("__id", F.col(vec).cast("array<double>").alias("__vec")).where(F.col("__vec").isNotNull())
               .withColumn("__cb", F.pmod(F.xxhash64("__id"), F.lit(chunks)))
               .withColumn("__rb", F.explode(F.sequence(F.lit(0), F.lit(ref_blocks - 1)))))
-    chunk_rows = max(1, block_bytes // (8 * max(1, math.ceil(n_ref / ref_blocks))))
 
     def block(q: pa.Table, r: pa.Table) -> pa.Table:
         if not q.num_rows or not r.num_rows:
@@ -456,7 +471,7 @@ def _blocked(corpus: DataFrame, ref: DataFrame, vec: str, n_ref: int, dim: int,
                              "best_ref_id": pa.array([], pa.int64()), "similarity_score": pa.array([], pa.float64())})
         r = r.sort_by([("best_ref_id", "ascending"), ("__row", "ascending")])
         j, score = _best(_matrix(q.column("__vec").combine_chunks(), dim), _matrix(r.column("__vec").combine_chunks(), dim),
-                         chunk_rows)
+                         block_bytes)
         return pa.table({"__id": q.column("__id"), "__row": r.column("__row").take(pa.array(j)),
                          "best_ref_id": r.column("best_ref_id").take(pa.array(j)), "similarity_score": pa.array(score)})
 

@@ -173,3 +173,24 @@ def test_similar_pairs_of_nothing(spark):
     ref = spark.createDataFrame([(1, "c", None)], "ref_id long, class string, embedding array<double>")
     assert M.similar_pairs(rows, ref, 0.5).count() == 0
     assert M.similar_pairs(rows.where("doc_id > 1"), ref.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0))), 0.5).count() == 0
+
+
+def test_search_holds_small_tiles_and_narrow_references(spark, monkeypatch):
+    """A worker holds one tile of similarities at a time, and single precision of a
+    reference that it holds exactly."""
+    rng, sizes, whole = np.random.default_rng(3), [], M._similarities
+    x, ref = rng.normal(size=(700, 8)), rng.normal(size=(2500, 8)).astype(np.float32)
+    ref[1200] = ref[5]
+    x[9] = ref[5]
+    monkeypatch.setattr(M, "_similarities", lambda a, b, n: sizes.append((len(a) * len(b), b.dtype)) or whole(a, b, n))
+    j, s = M._best(x, ref, 64 << 20)
+    assert max(n * 8 for n, _ in sizes) <= M.TILE_BYTES and {d for _, d in sizes} == {np.dtype(float)} and len(sizes) > 1
+    every = whole(x, ref.astype(float), np.sqrt((ref.astype(float) ** 2).sum(1)))
+    assert (j == every.argmax(1)).all() and (s == every.max(1)).all() and j[9] == 5
+    rows = [(i, "c", "n", v) for i, v in enumerate(ref[:40].tolist())]
+    kind = "ref_id long, class string, node string, embedding array<{}>"
+    for vectors, held in (("float", np.float32), ("double", np.float32)):
+        table = M._numbered(spark.createDataFrame(rows, kind.format(vectors)), "ref_id", "class", "node", "embedding")
+        assert [bc.value[1].dtype for bc in M._broadcast_slices(table, 8, 64 << 20)] == [held]
+    third = M._numbered(spark.createDataFrame([(1, "c", "n", [1 / 3] * 8)], kind.format("double")), "ref_id", "class", "node", "embedding")
+    assert M._broadcast_slices(third, 8, 64 << 20)[0].value[1].dtype == np.float64
