@@ -53,7 +53,7 @@ DEFAULT_BLOCK_BYTES = 64 << 20        # one GEMM slice: rows x M x 8 bytes
 TILE_BYTES = 8 << 20                  # similarities that are computed at once
 PAIR_BLOCK_BYTES = 1 << 20            # rows and references of a task that returns pairs
 MAX_NAME_BYTES = 64 << 20             # class and node of the reference, to be broadcast
-SALTS = 16                            # parts of a winner's rows in the salted join
+SALTS = 4                             # parts of a winner's rows in the salted join, each with a copy of its names
 MAX_CENTRES = 256                     # clusters of a large reference
 ANGLE_SLACK = 1e-6                    # rounding of cosines and angles in a bound
 

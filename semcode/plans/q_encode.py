@@ -170,11 +170,11 @@ def q_classify(spark, sf_dir):
     """End to end from files: load corpus (CSV) and reference, encode, match,
     threshold, write the result (CSV) and read it back."""
     base = scratch_path(spark, "classify")
-    SK.save_results(I.table(spark, sf_dir, "documents").select("doc_id", "text"), base + "/corpus", fmt="csv")
+    SK.save_results(I.table(spark, sf_dir, "documents").select("doc_id", "text"), base + "/corpus", fmt="csv", compression="zstd")
     ref = I.doc_reference(spark, sf_dir).select("class", F.col("node").alias("matching_node"), "ref_id")
     SK.save_results(ref, base + "/reference")
     back = C.classify_files(spark, base + "/corpus", base + "/reference", DOC_T, base + "/out", text_col="text",
-                            corpus_fmt="csv", fmt="csv")
+                            corpus_fmt="csv", fmt="csv", compression="zstd")
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "predicted_class", F.md5("matched_node").alias("matched_node_md5"),
                        r9("similarity_score").alias("similarity_score"))
 

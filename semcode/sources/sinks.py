@@ -6,12 +6,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semcode.sources.tables import csv_reader
+from semcode.sources.tables import ZSTD, csv_reader
 
 
 def save_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                 partition_by=None) -> None:
+                 partition_by=None, compression: str | None = None) -> None:
+    """``compression`` names the codec of the part files, which ``csv_reader`` knows by
+    their extension; by default it is the format's own (none for CSV)."""
     w = df.write.mode(mode)
+    if compression:
+        w = w.option("compression", ZSTD if (fmt, compression) == ("csv", "zstd") else compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 #: stands for a missing CSV field while reading, so that a quoted "" stays ""
 MISSING = "\u0000missing"
+#: zstd for text files: the codec that comes with Spark's Parquet needs no native Hadoop library
+ZSTD = "org.apache.parquet.hadoop.codec.ZstandardCodec"
 
 
 def csv_reader(spark: SparkSession, multi_line: bool = True):
     """Quoted CSV with a header; only fields without any character are null.
     ``multi_line=False`` lets one large file be read by many tasks."""
     return (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
-            .option("escape", '"').option("nullValue", MISSING))
+            .option("escape", '"').option("nullValue", MISSING).option("io.compression.codecs", ZSTD))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,

@@ -1,6 +1,7 @@
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from semcode.operators.partitioning import spread
@@ -53,6 +54,31 @@ def test_csv_keeps_empty_apart_from_missing(spark):
     assert ST.null_report(ST.load_corpus(spark, path, "text", fmt="csv"), ["text"]).first()["nulls_text"] == 2
 
 
+def test_csv_in_zstd_reads_back(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, 'x\n"y", z'), (4, "long " * 50_000 + "end")], "doc_id long, text string")
+    path = os.path.join(checkpoint_dir(spark), f"t-{uuid.uuid4().hex}")
+    SK.save_results(df, path, fmt="csv", compression="zstd")
+    local = path.removeprefix("file:")
+    assert sum(os.path.getsize(os.path.join(local, f)) for f in os.listdir(local)) < 5_000
+    assert sorted(map(tuple, SK.read_results(spark, path, df.schema, fmt="csv").collect())) == sorted(map(tuple, df.collect()))
+    assert ST.load_corpus(spark, path, "text", fmt="csv", null_values=()).count() == 4
+
+
+def test_classify_holds_its_files_in_little_disk(spark, tmp_path):
+    """Long references win most rows, and a result names its reference twice."""
+    from semcode import session
+    from semcode.plans import q_encode as Q
+    rng = np.random.default_rng(0)
+    words = np.array([f"{w:x}" for w in rng.integers(0, 1 << 40, 4_000)])
+    texts = [" ".join(rng.choice(words, 5_000 if i % 4 == 0 else 60)) for i in range(240)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Q.q_classify(spark, str(tmp_path))
+    base = session._SCRATCH[-1][1].removeprefix("file:")
+    held = sum(os.path.getsize(os.path.join(at, f)) for at, _, fs in os.walk(base) for f in fs)
+    assert got.count() == 240 and held < 2 * sum(map(len, texts))
+
+
 def test_checkpoint_dir_is_read_from_session(spark):
     d = checkpoint_dir(spark)
     assert d and spark.sparkContext.getCheckpointDir() is not None
